@@ -4,7 +4,7 @@ whatever order the partitions arrive in; only ratios are double."""
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import MONEY
+from ..schemas import AVERAGE, MONEY, TOTAL
 
 
 def money(amount: Column) -> Column:
@@ -12,6 +12,13 @@ def money(amount: Column) -> Column:
     return F.round(amount, 2).cast(MONEY)
 
 
+def per_day(total: Column, days: int, digits: int = 4) -> Column:
+    """Total over a number of calendar days. A decimal division, so a tie at the last
+    digit is rounded half up on the exact quotient and not on a binary neighbour."""
+    quotient = total.cast(TOTAL) / F.lit(days).cast("decimal(4,0)")
+    return F.round(quotient, digits).cast(AVERAGE if digits == 4 else MONEY)
+
+
 def parse_amount(text: Column, type_: str) -> Column:
     """Text amount of a feed; text that is no number becomes NULL."""
     return text.try_cast(type_)

@@ -7,9 +7,9 @@ zero and no calendar has to be generated.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import as_date, stable_id
+from ..functions import as_date, per_day, stable_id
 from ..functions.dates import days_before
-from ..schemas import MONEY, PERCENT, TOTAL
+from ..schemas import AVERAGE, MONEY, PERCENT, TOTAL
 from ..sources.tables import scoped
 
 CURRENT_DAYS = 7
@@ -51,6 +51,13 @@ def _avg(column: str, days: int) -> Column:
     return F.coalesce(F.col(column), F.lit(0)).cast("double") / days
 
 
+def _avg_usd(column: str, days: int) -> Column:
+    return per_day(F.coalesce(F.col(column), F.lit(0)), days, 2)
+
+
+CURRENT, BASELINE = ("cur", CURRENT_DAYS), ("base", BASELINE_DAYS)
+
+
 def _shape(df, type_, severity, service, region, current, baseline, pct, description) -> DataFrame:
     return df.select(
         "tenant_id", "aws_account_id",
@@ -70,13 +77,15 @@ def spend_spikes(costs, as_of, by_region=False, threshold_pct=SPIKE_PCT, tenant_
     """Scopes whose daily mean rose by more than 50 % over a positive baseline."""
     keys = ["service", "region"] if by_region else ["service"]
     sums = window_sums(costs, as_of, keys, tenant_id, aws_account_id)
-    current, baseline = _avg("cur", CURRENT_DAYS), _avg("base", BASELINE_DAYS)
+    current, baseline = _avg(*CURRENT), _avg(*BASELINE)
     pct = (current - baseline) / baseline * 100
     fired = sums.where((baseline > 0) & F.col("cur").isNotNull()).where(pct > threshold_pct)
     severity = F.when(pct < 100, "info").when(pct < 200, "warning").otherwise("critical")
     region = F.col("region") if by_region else F.lit(None)
     text = F.concat(F.col("service"), F.lit(" daily spend is above its 90-day mean"))
-    return _shape(fired, "spend_spike", severity, F.col("service"), region, current, baseline, pct, text)
+    return _shape(
+        fired, "spend_spike", severity, F.col("service"), region, _avg_usd(*CURRENT), _avg_usd(*BASELINE), pct, text
+    )
 
 
 def new_services(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFrame:
@@ -86,7 +95,7 @@ def new_services(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFrame
     text = F.concat(F.col("service"), F.lit(" was not used in the 90 days before"))
     return _shape(
         fresh, "new_service", F.lit("info"), F.col("service"), F.lit(None),
-        _avg("cur", CURRENT_DAYS), F.lit(0.0), F.lit(0.0), text,
+        _avg_usd(*CURRENT), F.lit(0), F.lit(0.0), text,
     )
 
 
@@ -107,7 +116,7 @@ def regional_shift(costs, as_of, points=SHIFT_POINTS, tenant_id=None, aws_accoun
     text = F.concat(F.lit("Share of "), F.col("region"), F.lit(" in account spend shifted"))
     return _shape(
         moved, "regional_shift", severity, F.lit(None), F.col("region"),
-        _avg("cur", CURRENT_DAYS), _avg("base", BASELINE_DAYS), change, text,
+        _avg_usd(*CURRENT), _avg_usd(*BASELINE), change, text,
     )
 
 
@@ -118,7 +127,7 @@ def weekday_stats(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFram
     daily = (
         window_rows(costs, as_of, tenant_id, aws_account_id)
         .groupBy("tenant_id", "aws_account_id", "date")
-        .agg(F.sum("cost_usd").cast("double").alias("day_total"))
+        .agg(F.sum("cost_usd").cast(TOTAL).alias("day_total"))
     )
     current = is_current(as_of)
     past = F.when(~current, F.col("day_total"))
@@ -126,7 +135,7 @@ def weekday_stats(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFram
         F.max(F.when(current, F.col("date"))).alias("date"),
         F.max(F.when(current, F.col("day_total"))).alias("day_total"),
         F.avg(past).alias("mean"),
-        F.stddev_samp(past).alias("sd"),
+        F.stddev_samp(past.cast("double")).alias("sd"),
         F.count(past).alias("samples"),
     )
 
@@ -136,9 +145,10 @@ def seasonal_deviation(costs, as_of, z_min=SEASONAL_Z, tenant_id=None, aws_accou
     stats = weekday_stats(costs, as_of, tenant_id, aws_account_id)
     usable = stats.where(
         F.col("day_total").isNotNull() & (F.col("samples") >= SEASONAL_MIN_SAMPLES) & (F.col("sd") > 0)
-    ).withColumn("z", (F.col("day_total") - F.col("mean")) / F.col("sd"))
-    odd = usable.where(F.abs("z") >= z_min)
-    pct = F.when(F.col("mean") != 0, (F.col("day_total") - F.col("mean")) / F.col("mean") * 100)
+    )
+    total, mean = F.col("day_total").cast("double"), F.col("mean").cast("double")
+    odd = usable.withColumn("z", (total - mean) / F.col("sd")).where(F.abs("z") >= z_min)
+    pct = F.when(mean != 0, (total - mean) / mean * 100)
     severity = F.when(F.abs("z") < 2 * z_min, "warning").otherwise("critical")
     text = F.concat(F.lit("Spend of "), F.col("date").cast("string"), F.lit(" is unusual for its weekday"))
     return _shape(
@@ -155,13 +165,10 @@ def filled_moments(total: str, n_days: int) -> dict[str, Column]:
     y = F.col(total)
     k, mean = F.count(y), F.avg(y)
     m2 = F.coalesce(F.var_pop(y) * k, F.lit(0.0)) + F.coalesce(mean * mean * k * (n_days - k) / n_days, F.lit(0.0))
-    lowest, highest = F.coalesce(F.min(y), F.lit(0.0)), F.coalesce(F.max(y), F.lit(0.0))
     return {
         "avg": F.coalesce(F.sum(y), F.lit(0.0)) / n_days,
         "m2": m2,
         "stddev": F.sqrt(m2 / (n_days - 1)),
-        "min": F.when(k < n_days, F.least(lowest, F.lit(0.0))).otherwise(lowest),
-        "max": F.when(k < n_days, F.greatest(highest, F.lit(0.0))).otherwise(highest),
     }
 
 
@@ -175,20 +182,32 @@ def baseline_stats(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFra
     current = is_current(as_of)
     series = daily.select(
         "tenant_id", "aws_account_id",
-        F.when(~current, F.col("t")).cast("double").alias("b"),
-        F.when(current, F.col("t")).cast("double").alias("c"),
-        F.when(current, F.col("t")).alias("c_exact"),
+        F.when(~current, F.col("t")).alias("b"),
+        F.when(current, F.col("t")).alias("c"),
+        F.when(~current, F.col("t")).cast("double").alias("b_double"),
     )
-    b, c = filled_moments("b", BASELINE_DAYS), filled_moments("c", CURRENT_DAYS)
+
+    def lowest(c, days):
+        low = F.coalesce(F.min(c), F.lit(0))
+        return F.when(F.count(c) < days, F.least(low, F.lit(0))).otherwise(low)
+
+    def highest(c, days):
+        high = F.coalesce(F.max(c), F.lit(0))
+        return F.when(F.count(c) < days, F.greatest(high, F.lit(0))).otherwise(high)
+
+    def usd(column):
+        return F.round(column, 4).cast(AVERAGE)
+
+    total_b, total_c = (F.coalesce(F.sum(c), F.lit(0)) for c in "bc")
     return series.groupBy("tenant_id", "aws_account_id").agg(
-        F.round(b["avg"], 4).alias("avg_daily"),
-        F.round(b["stddev"], 4).alias("std_dev"),
-        F.round(b["min"], 4).alias("min_daily"),
-        F.round(b["max"], 4).alias("max_daily"),
-        F.round(F.coalesce(F.sum("c_exact"), F.lit(0)), 2).cast(MONEY).alias("current_total"),
-        F.round(c["avg"], 4).alias("current_avg"),
-        F.round(c["max"], 4).alias("current_peak"),
-        F.round(c["min"], 4).alias("current_low"),
+        per_day(total_b, BASELINE_DAYS).alias("avg_daily"),
+        F.round(filled_moments("b_double", BASELINE_DAYS)["stddev"], 4).alias("std_dev"),
+        usd(lowest("b", BASELINE_DAYS)).alias("min_daily"),
+        usd(highest("b", BASELINE_DAYS)).alias("max_daily"),
+        F.round(total_c, 2).cast(MONEY).alias("current_total"),
+        per_day(total_c, CURRENT_DAYS).alias("current_avg"),
+        usd(highest("c", CURRENT_DAYS)).alias("current_peak"),
+        usd(lowest("c", CURRENT_DAYS)).alias("current_low"),
     )
 
 

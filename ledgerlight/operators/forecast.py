@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import as_date, month_end, month_start, stable_id
+from ..functions import as_date, month_end, month_start, per_day, stable_id
 from ..functions.dates import days_before
 from ..schemas import MONEY, TOTAL
 from ..sources.tables import scoped
@@ -67,6 +67,7 @@ def account_series(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFra
     mtd = F.coalesce(F.sum(F.when(F.col("date") >= F.lit(month_start(as_of)), F.col("total"))), F.lit(0))
     return daily.groupBy("tenant_id", "aws_account_id").agg(
         mtd.cast(TOTAL).alias("mtd"),
+        F.sum("total").cast(TOTAL).alias("sum_total"),
         cross.alias("sxy"),
         moments["avg"].alias("mean"),
         moments["m2"].alias("syy"),
@@ -157,7 +158,7 @@ def forecast_interval(costs, as_of, days_ahead: int = 30, tenant_id=None, aws_ac
         "tenant_id", "aws_account_id",
         F.lit(as_date(as_of)).alias("period_start"),
         F.lit(period_end).alias("period_end"),
-        F.round(mean, 2).cast(MONEY).alias("mean_usd"),
+        per_day(F.col("sum_total") * days_ahead, HISTORY_DAYS, 2).alias("mean_usd"),
         F.round(mean - half, 2).cast(MONEY).alias("lower_usd"),
         F.round(mean + half, 2).cast(MONEY).alias("upper_usd"),
     )

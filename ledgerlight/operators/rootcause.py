@@ -8,9 +8,6 @@ from ..functions.dates import days_before
 from ..schemas import TOTAL
 from ..sources.tables import scoped
 
-BUCKET = "1 hour"
-
-
 def change_pairs(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 60) -> DataFrame:
     """Changes of the same account between ``lead_minutes`` before an anomaly and its end.
 
@@ -52,6 +49,28 @@ def rca_change_correlation(anomalies: DataFrame, changes: DataFrame, lead_minute
     return pairs.join(ranks, ["anomaly_id", "distance"]).drop("distance")
 
 
+def change_sessions(changes: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Bursts of changes per account: a burst ends when nothing happens for the gap.
+
+    Changes are summed to minutes first, so the window over an account holds at most
+    one row per minute however many changes there are. With a gap of at least a
+    minute this does not move any boundary.
+    """
+    if gap_minutes < 1:
+        raise ValueError("the gap must be at least one minute")
+    gap = F.expr(f"interval {int(gap_minutes)} minutes")
+    minutes = changes.groupBy("aws_account_id", F.date_trunc("minute", "changed_at").alias("minute")).agg(
+        F.count("*").alias("c"), F.min("changed_at").alias("lo"), F.max("changed_at").alias("hi")
+    )
+    w = Window.partitionBy("aws_account_id").orderBy("minute")
+    quiet = F.lag("hi").over(w)
+    starts = minutes.withColumn("new", F.when(F.col("lo") < quiet + gap, 0).otherwise(1))
+    numbered = starts.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("aws_account_id", "session").agg(
+        F.min("lo").alias("started_at"), (F.max("hi") + gap).alias("ended_at"), F.sum("c").alias("changes")
+    ).drop("session")
+
+
 def rca_contribution(costs: DataFrame, as_of, window_days: int = 30, by=("service", "region"), tenant_id=None) -> DataFrame:
     """What each slice adds to the change of its account between two windows.
 

@@ -5,7 +5,7 @@ hot its key is in the facts."""
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import money, pct_change
+from ..functions import money, pct_change, per_day
 from ..schemas import TOTAL
 from ..sources.tables import scoped
 
@@ -27,8 +27,8 @@ def rolling_spend(costs, tenant_id=None, aws_account_id=None, current_days: int
     return daily.select(
         "tenant_id", "service", "date",
         F.col("day_total").cast(TOTAL).alias("day_total"),
-        F.round(cur.cast("double") / current_days, 4).alias("current_avg"),
-        F.round(F.coalesce(base, F.lit(0)).cast("double") / baseline_days, 4).alias("baseline_avg"),
+        per_day(cur, current_days).alias("current_avg"),
+        per_day(F.coalesce(base, F.lit(0)), baseline_days).alias("baseline_avg"),
     )
 
 

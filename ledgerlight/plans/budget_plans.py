@@ -139,7 +139,7 @@ FROM ({ALERTS_SQL})) n
 WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM stored_alerts f
   WHERE f.state = 'firing' AND f.tenant_id = n.tenant_id AND f.budget_id = n.budget_id)
 UNION ALL SELECT tenant_id, NULL, aws_account_id, 'spend_spike', severity, 'Spend spike: ' || service,
-  cast(round(current_value, 2) AS DECIMAL(24,2)), cast(round(baseline_value, 2) AS DECIMAL(24,2)),
+  current_value, cast(baseline_value AS DECIMAL(24,2)),
   cast(round(cast(round(percent_change, 2) AS DECIMAL(18,2)), 1) AS DECIMAL(18,1))
 FROM anomaly_list WHERE anomaly_type = 'spend_spike'""",
 )
@@ -170,8 +170,8 @@ def alert_lifecycle(spark, sf):
     "alert_event_types",
     f"""SELECT tenant_id, budget_id, aws_account_id, 'budget_threshold' AS alert_type, severity, current_usd AS current_value, limit_usd AS threshold_value
 FROM ({ALERTS_SQL})
-UNION ALL SELECT tenant_id, NULL, aws_account_id, 'spend_spike', severity, cast(round(current_value, 2) AS DECIMAL(24,2)),
-  cast(round(baseline_value, 2) AS DECIMAL(24,2)) FROM anomaly_list WHERE anomaly_type = 'spend_spike'
+UNION ALL SELECT tenant_id, NULL, aws_account_id, 'spend_spike', severity, current_value,
+  cast(baseline_value AS DECIMAL(24,2)) FROM anomaly_list WHERE anomaly_type = 'spend_spike'
 UNION ALL SELECT tenant_id, NULL, aws_account_id, 'idle_resource', 'info', monthly_cost_usd, NULL FROM inventory WHERE is_idle
 UNION ALL SELECT tenant_id, budget_id, aws_account_id, 'forecast_breach', CASE WHEN days_to_breach <= 3 THEN 'critical' ELSE 'warning' END,
   cast(round(projected_month_end_usd, 2) AS DECIMAL(24,2)), budget_limit FROM breaches WHERE budget_breach_probability > 0.5""",

@@ -10,7 +10,7 @@ from ..operators import trends as T
 from ..sources import sample
 from ..sources.sample import AS_OF
 from .registry import query
-from .views import D
+from .views import D, exact_div
 
 M2 = "cast(round({0}, 2) AS DECIMAL(24,2))"
 SUM6 = "cast(sum(cost_usd) AS DECIMAL(28,6))"
@@ -128,9 +128,9 @@ def multi_account_rollup(spark, sf):
 
 @query(
     "rolling_7d_spend",
-    """SELECT d.tenant_id, d.service, d.date, cast(any_value(d.t) AS DECIMAL(28,6)) AS day_total,
-  round(sum(o.t) FILTER (WHERE o.date > d.date - 7)::DOUBLE / 7, 4) AS current_avg,
-  round(coalesce(sum(o.t) FILTER (WHERE o.date <= d.date - 7), 0)::DOUBLE / 90, 4) AS baseline_avg
+    f"""SELECT d.tenant_id, d.service, d.date, cast(any_value(d.t) AS DECIMAL(28,6)) AS day_total,
+  {exact_div("sum(o.t) FILTER (WHERE o.date > d.date - 7)", '7', 4)} AS current_avg,
+  {exact_div("coalesce(sum(o.t) FILTER (WHERE o.date <= d.date - 7), 0)", '90', 4)} AS baseline_avg
 FROM (SELECT tenant_id, service, date, sum(cost_usd) AS t FROM cost_records GROUP BY ALL) d
 JOIN (SELECT tenant_id, service, date, sum(cost_usd) AS t FROM cost_records GROUP BY ALL) o
   ON o.tenant_id = d.tenant_id AND o.service = d.service AND o.date <= d.date AND o.date > d.date - 97
@@ -221,7 +221,7 @@ JOIN (SELECT tenant_id, aws_account_id, sum(CASE WHEN date >= {D} - 30 THEN cost
 # ---- anomalies -------------------------------------------------------------------
 
 ANOMALY_SQL = f"""SELECT tenant_id, aws_account_id, anomaly_type, severity, service, region,
-  cast(round(current_value, 2) AS DECIMAL(24,2)) AS current_value, cast(round(baseline_value, 2) AS DECIMAL(24,2)) AS baseline_value,
+  current_value, cast(baseline_value AS DECIMAL(24,2)) AS baseline_value,
   cast(round(percent_change, 2) AS DECIMAL(18,2)) AS percent_change, description FROM anomaly_list"""
 
 
@@ -242,20 +242,20 @@ plain(
     "weekday_baseline",
     lambda costs, as_of: A.weekday_stats(costs, as_of).select(
         "tenant_id", "aws_account_id", (F.col("weekday") - 1).cast("bigint").alias("weekday"), "samples",
-        F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"),
+        F.round("mean", 4).cast("decimal(24,4)").alias("mean"), F.round("sd", 4).alias("sd"),
     ),
-    """SELECT coalesce(b.tenant_id, c.tenant_id) AS tenant_id, coalesce(b.aws_account_id, c.aws_account_id) AS aws_account_id,
-  coalesce(b.wd, c.wd) AS weekday, coalesce(n, 0) AS samples, round(m, 4) AS mean, round(sd, 4) AS sd
+    f"""SELECT coalesce(b.tenant_id, c.tenant_id) AS tenant_id, coalesce(b.aws_account_id, c.aws_account_id) AS aws_account_id,
+  coalesce(b.wd, c.wd) AS weekday, coalesce(n, 0) AS samples, {exact_div('s', 'n', 4)} AS mean, round(sd, 4) AS sd
 FROM weekday_baseline b FULL JOIN (SELECT tenant_id, aws_account_id, dayofweek(date) AS wd FROM day_totals WHERE is_cur) c
   ON b.tenant_id = c.tenant_id AND b.aws_account_id = c.aws_account_id AND b.wd = c.wd""",
 )
 plain(
     "baseline_stats", A.baseline_stats,
-    f"""SELECT tenant_id, aws_account_id, round(avg(y) FILTER (WHERE NOT cur), 4) AS avg_daily,
-  round(stddev_samp(y) FILTER (WHERE NOT cur), 4) AS std_dev, round(min(y) FILTER (WHERE NOT cur), 4) AS min_daily,
-  round(max(y) FILTER (WHERE NOT cur), 4) AS max_daily, {m2('sum(t) FILTER (WHERE cur)')} AS current_total,
-  round(avg(y) FILTER (WHERE cur), 4) AS current_avg, round(max(y) FILTER (WHERE cur), 4) AS current_peak,
-  round(min(y) FILTER (WHERE cur), 4) AS current_low
+    f"""SELECT tenant_id, aws_account_id, {exact_div('sum(t) FILTER (WHERE NOT cur)', '90', 4)} AS avg_daily,
+  round(stddev_samp(y) FILTER (WHERE NOT cur), 4) AS std_dev, cast(round(min(t) FILTER (WHERE NOT cur), 4) AS DECIMAL(24,4)) AS min_daily,
+  cast(round(max(t) FILTER (WHERE NOT cur), 4) AS DECIMAL(24,4)) AS max_daily, {m2('sum(t) FILTER (WHERE cur)')} AS current_total,
+  {exact_div('sum(t) FILTER (WHERE cur)', '7', 4)} AS current_avg, cast(round(max(t) FILTER (WHERE cur), 4) AS DECIMAL(24,4)) AS current_peak,
+  cast(round(min(t) FILTER (WHERE cur), 4) AS DECIMAL(24,4)) AS current_low
 FROM (SELECT a.tenant_id, a.aws_account_id, c.date, c.date >= {D} - 7 AS cur, coalesce(s.t, 0) AS t, coalesce(s.t, 0)::DOUBLE AS y
   FROM (SELECT DISTINCT tenant_id, aws_account_id FROM recent_days) a
   CROSS JOIN (SELECT {D} - 97 + unnest(range(97))::INTEGER AS date) c

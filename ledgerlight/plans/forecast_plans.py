@@ -9,7 +9,7 @@ from ..sources import sample
 from ..sources.sample import AS_OF
 from .budget_plans import status_sql
 from .registry import query
-from .views import D
+from .views import D, exact_div
 
 for _name, _op, _method in [
     ("forecast_linear", FC.forecast_linear, "linear"),
@@ -26,7 +26,7 @@ for _name, _op, _method in [
 @query(
     "forecast_interval",
     f"""SELECT tenant_id, aws_account_id, {D} AS period_start, {D} + 30 AS period_end,
-  cast(round(mean * 30, 2) AS DECIMAL(24,2)) AS mean_usd,
+  {exact_div('s * 30', '60', 2)} AS mean_usd,
   cast(round(mean * 30 - 1.2816 * sd * sqrt(30), 2) AS DECIMAL(24,2)) AS lower_usd,
   cast(round(mean * 30 + 1.2816 * sd * sqrt(30), 2) AS DECIMAL(24,2)) AS upper_usd FROM fits""",
 )

@@ -160,3 +160,14 @@ FROM (SELECT a.anomaly_id, c.*, cast(floor((epoch_us(a.start_at) - epoch_us(c.ch
 )
 def rca_change_correlation(spark, sf):
     return RC.rca_change_correlation(event_anomalies(spark, sf), sample.resource_changes(spark, sf))
+
+
+@query(
+    "rca_change_sessions",
+    """SELECT aws_account_id, min(changed_at) AS started_at, max(changed_at) + INTERVAL 30 MINUTE AS ended_at, count(*) AS changes FROM (
+SELECT *, sum(CASE WHEN changed_at - prev < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY aws_account_id ORDER BY changed_at, change_id) AS s
+FROM (SELECT *, lag(changed_at) OVER (PARTITION BY aws_account_id ORDER BY changed_at, change_id) AS prev FROM changes))
+GROUP BY aws_account_id, s""",
+)
+def rca_change_sessions(spark, sf):
+    return RC.change_sessions(sample.resource_changes(spark, sf))

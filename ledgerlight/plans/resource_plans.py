@@ -68,20 +68,21 @@ def idle_resources(spark, sf):
 
 
 SCALARS = ["tenant_id", "total_usd", "period_days", "service_count", "idle_resources", "total_resource_types"]
-OVERVIEW_SQL = f"""SELECT t.tenant_id, cast(round(t.total, 2) AS DECIMAL(24,2)) AS total_usd, 30 AS period_days,
-  least(20, s.n) AS service_count, least(20, i.idle_resources) AS idle_resources, least(20, y.n) AS total_resource_types,
-  s.top AS top_services, r.top AS top_regions, i.total_resources
+OVERVIEW_SQL = f"""SELECT t.tenant_id, cast(round(coalesce(t.total, 0), 2) AS DECIMAL(24,2)) AS total_usd, 30 AS period_days,
+  least(20, coalesce(s.n, 0)) AS service_count, least(20, coalesce(i.idle_resources, 0)) AS idle_resources,
+  least(20, coalesce(y.n, 0)) AS total_resource_types, coalesce(s.top, '[]') AS top_services, coalesce(r.top, '[]') AS top_regions,
+  coalesce(i.total_resources, 0) AS total_resources
 FROM (SELECT tenant_id, sum(cost_usd) FILTER (WHERE date >= {D} - 30) AS total FROM cost_records GROUP BY 1) t
-JOIN (SELECT tenant_id, count(*) AS n, '[' || string_agg('{{"service":"' || service || '","service_group":"' || service_group
+LEFT JOIN (SELECT tenant_id, count(*) AS n, '[' || string_agg('{{"service":"' || service || '","service_group":"' || service_group
       || '","total_usd":' || cast(m AS VARCHAR) || '}}', ',' ORDER BY m DESC, c DESC, service) FILTER (WHERE rn <= 10) || ']' AS top
   FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY m DESC, c DESC, service) AS rn FROM (
     SELECT tenant_id, service, service_group, sum(cost_usd) AS c, cast(round(sum(cost_usd), 2) AS DECIMAL(24,2)) AS m
     FROM cost_records WHERE date >= {D} - 30 GROUP BY 1, 2, 3)) GROUP BY 1) s USING (tenant_id)
-JOIN (SELECT tenant_id, '[' || string_agg('{{"region":"' || region || '","total_usd":' || cast(m AS VARCHAR) || '}}', ',' ORDER BY m DESC, region) || ']' AS top
+LEFT JOIN (SELECT tenant_id, '[' || string_agg('{{"region":"' || region || '","total_usd":' || cast(m AS VARCHAR) || '}}', ',' ORDER BY m DESC, region) || ']' AS top
   FROM (SELECT tenant_id, region, cast(round(sum(cost_usd), 2) AS DECIMAL(24,2)) AS m
     FROM cost_records WHERE date >= {D} - 30 GROUP BY 1, 2) GROUP BY 1) r USING (tenant_id)
-JOIN ({SUMMARY}) i USING (tenant_id)
-JOIN (SELECT tenant_id, count(DISTINCT resource_type) AS n FROM inventory GROUP BY 1) y USING (tenant_id)"""
+LEFT JOIN ({SUMMARY}) i USING (tenant_id)
+LEFT JOIN (SELECT tenant_id, count(DISTINCT resource_type) AS n FROM inventory GROUP BY 1) y USING (tenant_id)"""
 
 
 def overview_df(spark, sf):

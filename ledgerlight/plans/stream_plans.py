@@ -15,3 +15,104 @@ def event_stream(spark, sf):
     """The event table as a file stream."""
     schema = sample.table(spark, sf, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def event_records(ev):
+    """Events as restated cost records of their account, day, type and region; later
+    events (by id) replace the cost."""
+    lines = sample.event_lines(ev).withColumns(
+        {
+            "id": F.substring(
+                F.sha2(F.concat_ws(":", "aws_account_id", F.col("date").cast("string"), "service", "region"), 256), 1, 20
+            ),
+            "account_alias": F.concat(F.lit("event-"), F.col("event_id").cast("string")),
+            "granularity": F.lit("DAILY"),
+            "provider": F.lit("aws"),
+            "service_group": F.lit("other"),
+            "usage_quantity": F.lit(1),
+            "usage_unit": F.lit(""),
+            "tags": F.expr("cast(map() as map<string,string>)"),
+            "ingested_at": F.col("ts"),
+            "raw_service_name": F.col("service"),
+            "created_at": F.col("ts"),
+            "seq": F.col("event_id"),
+        }
+    )
+    return lines.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in COST_RECORDS.fields], "seq")
+
+
+DAILY_SQL = "SELECT tenant_id, service, date, cast(sum(cost_usd) AS DECIMAL(28,6)) AS total_usd FROM tagged_lines GROUP BY 1, 2, 3"
+
+
+@query("stream_daily_spend", DAILY_SQL)
+def stream_daily_spend(spark, sf):
+    agg = S.stream_daily_spend(sample.event_lines(event_stream(spark, sf)))
+    out = S.run_dir(spark, "daily-spend")
+    S.run_updates(agg, f"{out}/table", f"{out}/checkpoint")
+    return S.latest_updates(spark, f"{out}/table", agg.schema, ["date", "tenant_id", "service"])
+
+
+REGION = "['us-east-1', 'us-west-2', 'eu-west-1'][1 + user_id % 3]"
+
+
+@query(
+    "stream_upsert_cost",
+    f"""SELECT id, arg_min(alias, event_id) AS account_alias, arg_max(cost, event_id) AS cost_usd, arg_max(ts, event_id) AS ingested_at,
+  min(ts) FILTER (WHERE event_id = first) AS created_at
+FROM (SELECT *, min(event_id) OVER (PARTITION BY id) AS first FROM (
+  SELECT event_id, ts, cast(value AS DECIMAL(18,6)) AS cost, 'event-' || event_id AS alias,
+  substr(sha256(concat_ws(':', {event_account()}, cast(cast(ts AS DATE) AS VARCHAR), event_type, {REGION})), 1, 20) AS id FROM events))
+GROUP BY id""",
+)
+def stream_upsert_cost(spark, sf):
+    out = S.run_dir(spark, "upsert")
+    S.stream_upsert_cost(event_records(event_stream(spark, sf)), f"{out}/table", f"{out}/checkpoint")
+    return merge_on_read(spark, f"{out}/table").select("id", "account_alias", "cost_usd", "ingested_at", "created_at")
+
+
+def event_alerts(ev):
+    """Every event as an alert on its user's budget; clicks belong to no budget."""
+    account_no = (F.col("user_id") % 20).cast("int")
+    return ev.select(
+        sample.pick(sample.TENANTS, F.floor(account_no / 4)).alias("tenant_id"),
+        F.when(F.col("event_type") != "click", F.concat(F.lit("b-"), F.col("user_id").cast("string"))).alias("budget_id"),
+        sample.account_id(account_no).alias("aws_account_id"),
+        F.lit("firing").alias("state"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+@query(
+    "stream_alert_dedup",
+    f"""SELECT tenant_id, budget_id, count(*) AS alerts FROM (
+SELECT DISTINCT {event_tenant()} AS tenant_id, 'b-' || user_id AS budget_id, 0 AS event_id FROM events WHERE event_type <> 'click'
+UNION ALL SELECT {event_tenant()}, NULL, event_id FROM events WHERE event_type = 'click') GROUP BY 1, 2""",
+)
+def stream_alert_dedup(spark, sf):
+    out = S.run_dir(spark, "alerts")
+    S.stream_alert_dedup(event_alerts(event_stream(spark, sf)), f"{out}/table", f"{out}/checkpoint")
+    stored = spark.read.schema("tenant_id string, budget_id string, aws_account_id string, state string").parquet(f"{out}/table")
+    return stored.groupBy("tenant_id", "budget_id").agg(F.count("*").alias("alerts"))
+
+
+@query(
+    "stream_hourly_spikes",
+    """SELECT tenant_id, aws_account_id, hour, cast(cur AS DECIMAL(28,6)) AS current_usd, cast(base AS DECIMAL(28,6)) AS baseline_usd,
+  round((cur::DOUBLE / 48 - base::DOUBLE / 240) / (base::DOUBLE / 240) * 100, 2) AS percent_change
+FROM (SELECT h.tenant_id, h.aws_account_id, h.hour, sum(o.t) FILTER (WHERE o.hour > h.hour - INTERVAL 48 HOUR) AS cur,
+    sum(o.t) FILTER (WHERE o.hour <= h.hour - INTERVAL 48 HOUR) AS base
+  FROM (SELECT tenant_id, aws_account_id, date_trunc('hour', ts) AS hour, sum(cost_usd) AS t FROM tagged_lines GROUP BY ALL) h
+  JOIN (SELECT tenant_id, aws_account_id, date_trunc('hour', ts) AS hour, sum(cost_usd) AS t FROM tagged_lines GROUP BY ALL) o
+    ON o.tenant_id = h.tenant_id AND o.aws_account_id = h.aws_account_id AND o.hour <= h.hour AND o.hour > h.hour - INTERVAL 288 HOUR
+  GROUP BY ALL)
+WHERE base > 0 AND (cur::DOUBLE / 48 - base::DOUBLE / 240) / (base::DOUBLE / 240) * 100 > 50""",
+)
+def stream_hourly_spikes(spark, sf):
+    """Two days against the ten before them, as the table holds one month."""
+    agg = S.stream_hourly_spend(sample.event_lines(event_stream(spark, sf)))
+    out = S.run_dir(spark, "hourly")
+    S.run_updates(agg, f"{out}/table", f"{out}/checkpoint")
+    hourly = S.latest_updates(spark, f"{out}/table", agg.schema, ["hour", "tenant_id", "aws_account_id"])
+    return S.hourly_spikes(hourly, current_days=2, baseline_days=10)
+
+

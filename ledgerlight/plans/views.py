@@ -15,6 +15,14 @@ def values(items) -> str:
     return "[" + ", ".join(f"'{i}'" for i in items) + "]"
 
 
+def exact_div(total: str, days: str, digits: int) -> str:
+    """A six-decimal total over a whole number, rounded half up in integer arithmetic."""
+    unit = f"cast({days} AS HUGEINT) * {10 ** (6 - digits)}"
+    whole = f"cast(({total}) * 1000000 AS HUGEINT)"
+    quotient = f"((2 * abs({whole}) + {unit}) // (2 * {unit}) * sign({whole}))"
+    return f"cast(cast({quotient} AS DECIMAL(28,0)) * cast({10 ** -digits:.{digits}f} AS DECIMAL({digits + 1},{digits})) AS DECIMAL(24,{digits}))"
+
+
 def group_case(col: str) -> str:
     exact = " ".join(f"WHEN {col} IN ({', '.join(repr(n) for n in names)}) THEN '{g}'" for g, names in SERVICE_GROUPS.items())
     parts = " ".join(
@@ -153,7 +161,7 @@ SELECT event_id, {event_tenant()} AS tenant_id, {event_account()} AS aws_account
 FROM events""",
     "agent_log": f"""
 SELECT *, input_tokens + output_tokens AS tokens_used, cast(round((input_tokens * cast(i AS DECIMAL(6,2))
-    + output_tokens * cast(o AS DECIMAL(6,2))) / 1000000, 6) AS DECIMAL(18,6)) AS cost_usd FROM (
+    + output_tokens * cast(o AS DECIMAL(6,2))) * 0.000001, 6) AS DECIMAL(18,6)) AS cost_usd FROM (
 SELECT *, CASE WHEN api_model LIKE '%claude%' THEN 3 WHEN api_model LIKE '%gpt-4o%' THEN 2.5 WHEN api_model LIKE '%gpt-4%' THEN 30 ELSE 0.5 END AS i,
   CASE WHEN api_model LIKE '%claude%' THEN 15 WHEN api_model LIKE '%gpt-4o%' THEN 10 WHEN api_model LIKE '%gpt-4%' THEN 60 ELSE 1.5 END AS o FROM (
 SELECT event_id AS run_no, {event_tenant()} AS tenant_id,
@@ -177,38 +185,39 @@ SELECT *, date >= {D} - 7 AS is_cur FROM cost_records WHERE date >= {D} - 97 AND
     "anomaly_list": f"""
 SELECT tenant_id, aws_account_id, 'spend_spike' AS anomaly_type,
   CASE WHEN pct < 100 THEN 'info' WHEN pct < 200 THEN 'warning' ELSE 'critical' END AS severity,
-  service, NULL AS region, c AS current_value, b AS baseline_value, pct AS percent_change,
-  service || ' daily spend is above its 90-day mean' AS description
-FROM (SELECT *, (c - b) / b * 100 AS pct FROM (
-  SELECT tenant_id, aws_account_id, service, sum(cost_usd) FILTER (WHERE is_cur)::DOUBLE / 7 AS c,
-    sum(cost_usd) FILTER (WHERE NOT is_cur)::DOUBLE / 90 AS b FROM recent_days GROUP BY ALL) WHERE b > 0)
+  service, NULL AS region, {exact_div('c', '7', 2)} AS current_value, {exact_div('b', '90', 2)} AS baseline_value,
+  pct AS percent_change, service || ' daily spend is above its 90-day mean' AS description
+FROM (SELECT *, (c::DOUBLE / 7 - b::DOUBLE / 90) / (b::DOUBLE / 90) * 100 AS pct FROM (
+  SELECT tenant_id, aws_account_id, service, sum(cost_usd) FILTER (WHERE is_cur) AS c,
+    sum(cost_usd) FILTER (WHERE NOT is_cur) AS b FROM recent_days GROUP BY ALL) WHERE b > 0)
 WHERE pct > 50
 UNION ALL
-SELECT c.tenant_id, c.aws_account_id, 'new_service', 'info', c.service, NULL, sum(cost_usd)::DOUBLE / 7, 0, 0,
+SELECT c.tenant_id, c.aws_account_id, 'new_service', 'info', c.service, NULL, {exact_div('sum(cost_usd)', '7', 2)}, 0, 0,
   c.service || ' was not used in the 90 days before'
 FROM recent_days c WHERE is_cur AND NOT EXISTS (SELECT 1 FROM recent_days p WHERE NOT p.is_cur AND p.tenant_id = c.tenant_id
   AND p.aws_account_id = c.aws_account_id AND p.service = c.service)
 GROUP BY c.tenant_id, c.aws_account_id, c.service HAVING sum(cost_usd) > 0
 UNION ALL
 SELECT tenant_id, aws_account_id, 'regional_shift', CASE WHEN abs(cs - bs) < 20 THEN 'info' ELSE 'warning' END, NULL, region,
-  c / 7, b / 90, cs - bs, 'Share of ' || region || ' in account spend shifted'
-FROM (SELECT r.*, c / ac * 100 AS cs, b / ab * 100 AS bs FROM (
-    SELECT tenant_id, aws_account_id, region, coalesce(sum(cost_usd) FILTER (WHERE is_cur), 0)::DOUBLE AS c,
-      coalesce(sum(cost_usd) FILTER (WHERE NOT is_cur), 0)::DOUBLE AS b FROM recent_days GROUP BY ALL) r
+  {exact_div('c', '7', 2)}, {exact_div('b', '90', 2)}, cs - bs, 'Share of ' || region || ' in account spend shifted'
+FROM (SELECT r.*, c::DOUBLE / ac * 100 AS cs, b::DOUBLE / ab * 100 AS bs FROM (
+    SELECT tenant_id, aws_account_id, region, coalesce(sum(cost_usd) FILTER (WHERE is_cur), 0) AS c,
+      coalesce(sum(cost_usd) FILTER (WHERE NOT is_cur), 0) AS b FROM recent_days GROUP BY ALL) r
   JOIN (SELECT tenant_id, aws_account_id, sum(cost_usd) FILTER (WHERE is_cur)::DOUBLE AS ac,
       sum(cost_usd) FILTER (WHERE NOT is_cur)::DOUBLE AS ab FROM recent_days GROUP BY ALL) a USING (tenant_id, aws_account_id)
   WHERE ac > 0 AND ab > 0)
 WHERE abs(cs - bs) >= 10
 UNION ALL
 SELECT tenant_id, aws_account_id, 'unusual_pattern', CASE WHEN abs(z) < 6 THEN 'warning' ELSE 'critical' END, NULL, NULL,
-  t, m, (t - m) / m * 100, 'Spend of ' || cast(date AS VARCHAR) || ' is unusual for its weekday'
-FROM (SELECT d.*, m, (t - m) / sd AS z FROM day_totals d JOIN weekday_baseline w USING (tenant_id, aws_account_id)
+  cast(round(t, 2) AS DECIMAL(24,2)), {exact_div('s', 'n', 2)}, (t::DOUBLE - m) / m * 100,
+  'Spend of ' || cast(date AS VARCHAR) || ' is unusual for its weekday'
+FROM (SELECT d.*, m, w.s, w.n, (t::DOUBLE - m) / sd AS z FROM day_totals d JOIN weekday_baseline w USING (tenant_id, aws_account_id)
   WHERE d.is_cur AND w.wd = dayofweek(d.date) AND n >= 4 AND sd > 0)
 WHERE abs(z) >= 3""",
     "day_totals": """
-SELECT tenant_id, aws_account_id, date, is_cur, sum(cost_usd)::DOUBLE AS t FROM recent_days GROUP BY ALL""",
+SELECT tenant_id, aws_account_id, date, is_cur, sum(cost_usd) AS t FROM recent_days GROUP BY ALL""",
     "weekday_baseline": """
-SELECT tenant_id, aws_account_id, dayofweek(date) AS wd, avg(t) AS m, stddev_samp(t) AS sd, count(*) AS n
+SELECT tenant_id, aws_account_id, dayofweek(date) AS wd, sum(t) AS s, avg(t::DOUBLE) AS m, stddev_samp(t::DOUBLE) AS sd, count(*) AS n
 FROM day_totals WHERE NOT is_cur GROUP BY ALL""",
     # Sixty days of account totals on a full calendar.
     "series": f"""
@@ -222,7 +231,7 @@ SELECT {D} + i AS date, 60 + i AS x FROM (SELECT unnest(range(16))::INTEGER AS i
     "fits": """
 SELECT tenant_id, aws_account_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2,
   regr_slope(ln(yp), x) AS lb, regr_intercept(ln(yp), x) AS la,
-  regr_r2(ln(yp), x) AS lr2, stddev_samp(y) AS sd, avg(y) AS mean,
+  regr_r2(ln(yp), x) AS lr2, count(yp) AS positive_days, stddev_samp(y) AS sd, avg(y) AS mean, sum(total) AS s,
   cast(sum(total) FILTER (WHERE date >= DATE '2001-09-01') AS DECIMAL(28,6)) AS mtd
 FROM (SELECT *, CASE WHEN y > 0 THEN y END AS yp FROM series) GROUP BY tenant_id, aws_account_id""",
     "forecasts": """
@@ -233,7 +242,7 @@ FROM fits CROSS JOIN future GROUP BY tenant_id, aws_account_id
 UNION ALL
 SELECT tenant_id, aws_account_id, 'exponential', any_value(mtd), round(any_value(mtd)::DOUBLE + sum(exp(la + lb * x)), 4),
   round(greatest(0, least(1, any_value(lr2))), 4)
-FROM fits CROSS JOIN future WHERE lb IS NOT NULL GROUP BY tenant_id, aws_account_id
+FROM fits CROSS JOIN future WHERE positive_days >= 2 GROUP BY tenant_id, aws_account_id
 UNION ALL
 SELECT f.tenant_id, f.aws_account_id, 'seasonal', any_value(f.mtd), round(any_value(f.mtd)::DOUBLE + sum(w.m), 4),
   round(greatest(0, least(1, any_value(v.r2))), 4)

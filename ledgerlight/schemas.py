@@ -13,6 +13,7 @@ TOTAL = "decimal(28,6)"  # an unrounded sum of COST
 USAGE_TOTAL = "decimal(28,4)"
 MONEY = "decimal(24,2)"  # a displayed amount
 PERCENT = "decimal(18,2)"
+AVERAGE = "decimal(24,4)"
 
 COST_RECORDS = T.StructType.fromDDL(
     f"""id string, tenant_id string, aws_account_id string, account_alias string,

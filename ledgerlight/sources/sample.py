@@ -196,8 +196,11 @@ def resource_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost lines with a tag map; every fifth line carries no tags."""
-    ev = table(spark, sf_dir, "events")
+    """Cost lines with a tag document; every fifth line carries no tags."""
+    return event_lines(table(spark, sf_dir, "events"))
+
+
+def event_lines(ev: DataFrame) -> DataFrame:
     account_no = (F.col("user_id") % 20).cast("int")
     return ev.select(
         "event_id",
@@ -213,9 +216,13 @@ def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resource_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error"))
+    return event_changes(table(spark, sf_dir, "events"))
+
+
+def event_changes(ev: DataFrame) -> DataFrame:
+    """Sign-ups count as created, errors as terminated resources."""
     account_no = (F.col("user_id") % 20).cast("int")
-    return ev.select(
+    return ev.where(F.col("event_type").isin("signup", "error")).select(
         F.col("event_id").alias("change_id"),
         account_id(account_no).alias("aws_account_id"),
         F.concat(F.lit("i-"), F.col("user_id").cast("string")).alias("resource_id"),

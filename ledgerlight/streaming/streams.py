@@ -35,6 +35,20 @@ def run_available(stream: DataFrame, checkpoint: str, on_batch, mode: str = "app
     query.awaitTermination()
 
 
+def event_time(df: DataFrame, column: str) -> DataFrame:
+    """Event time as an instant, as watermarks need one. A wall-clock column counts as UTC
+    whatever the session's time zone is."""
+    if dict(df.dtypes)[column] != "timestamp_ntz":
+        return df
+    instant = F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone())
+    return df.withColumn(column, instant)
+
+
+def utc_wall(instant):
+    """UTC wall-clock time of an instant."""
+    return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+
+
 def stream_daily_spend(lines: DataFrame, keys=("tenant_id", "service"), late: str = LATE) -> DataFrame:
     """Spend per day and service of a stream with ``ts`` and ``cost_usd``.
 
@@ -42,10 +56,10 @@ def stream_daily_spend(lines: DataFrame, keys=("tenant_id", "service"), late: st
     per open day and service, combined before the shuffle.
     """
     return (
-        lines.withWatermark("ts", late)
+        event_time(lines, "ts").withWatermark("ts", late)
         .groupBy(F.window("ts", "1 day").alias("w"), *keys)
         .agg(F.sum("cost_usd").cast(TOTAL).alias("total_usd"))
-        .select(F.col("w.start").cast("date").alias("date"), *keys, "total_usd")
+        .select(utc_wall(F.col("w.start")).cast("date").alias("date"), *keys, "total_usd")
     )
 
 
@@ -101,10 +115,10 @@ def stream_hourly_spend(lines: DataFrame, keys=("tenant_id", "aws_account_id"),
     """Spend per hour. Sliding a 7-day window by the hour over raw rows would copy every
     row 168 times; hours are summed first and slid over afterwards."""
     return (
-        lines.withWatermark("ts", late)
+        event_time(lines, "ts").withWatermark("ts", late)
         .groupBy(F.window("ts", "1 hour").alias("w"), *keys)
         .agg(F.sum("cost_usd").cast(TOTAL).alias("total_usd"))
-        .select(F.col("w.start").alias("hour"), *keys, "total_usd")
+        .select(utc_wall(F.col("w.start")).alias("hour"), *keys, "total_usd")
     )
 
 
@@ -134,8 +148,8 @@ def hourly_spikes(
 def stream_change_sessions(changes: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Bursts of resource changes per account: a session ends after a quiet gap."""
     return (
-        changes.withWatermark("changed_at", late)
+        event_time(changes, "changed_at").withWatermark("changed_at", late)
         .groupBy(F.session_window("changed_at", gap).alias("s"), "aws_account_id")
         .agg(F.count("*").alias("changes"))
-        .select("aws_account_id", F.col("s.start").alias("started_at"), F.col("s.end").alias("ended_at"), "changes")
+        .select("aws_account_id", utc_wall(F.col("s.start")).alias("started_at"), utc_wall(F.col("s.end")).alias("ended_at"), "changes")
     )
