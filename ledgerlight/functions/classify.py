@@ -1,7 +1,5 @@
 """Service name -> service group."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,18 +46,21 @@ NAME_FRAGMENTS = [
 ]
 
 
-def service_group(service: Column) -> Column:
-    """Group of a service name: exact name first, then fragments, else ``other``.
+def _quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def service_group(column: str) -> Column:
+    """Group of the service name in a column: exact name first, then fragments, else
+    ``other``.
 
-    A chain of hash lookups and substring tests, so it stays inside codegen.
-    Apply it after aggregating by service: the name is then tested once per
-    group instead of once per usage line.
+    One CASE of hash lookups and substring tests, so it stays inside codegen. Apply
+    it after aggregating by service: the name is then tested once per group instead
+    of once per usage line.
     """
-    lower = F.lower(service)
-    chain = F.when(service.isNull(), F.lit("other"))
-    for group, names in SERVICE_GROUPS.items():
-        chain = chain.when(service.isin(names), F.lit(group))
-    for group, fragments in NAME_FRAGMENTS:
-        hit = reduce(lambda a, b: a | b, [lower.contains(f) for f in fragments])
-        chain = chain.when(hit, F.lit(group))
-    return chain.otherwise(F.lit("other"))
+    exact = [f"WHEN {column} IN ({_quoted(names)}) THEN '{group}'" for group, names in SERVICE_GROUPS.items()]
+    fragments = [
+        "WHEN " + " OR ".join(f"contains(lower({column}), '{f}')" for f in parts) + f" THEN '{group}'"
+        for group, parts in NAME_FRAGMENTS
+    ]
+    return F.expr(f"CASE {' '.join(exact + fragments)} ELSE 'other' END")

@@ -18,13 +18,18 @@ RECORD = [
 RECORD_SQL = ", ".join(RECORD)
 
 
-@query("usage_to_cost_rollup", "SELECT * FROM cost_rollup")
+@query(
+    "usage_to_cost_rollup",
+    "SELECT tenant_id, aws_account_id, date, service, raw_region, cost_usd, usage_quantity FROM cost_rollup",
+)
 def usage_to_cost_rollup(spark, sf):
     return feed.usage_to_cost_rollup(sample.usage_lines(spark, sf))
 
 
 def nested_pages(rollup):
     """Roll-up lines as the provider's nested pages, one per account and day."""
+    if "usage_unit" not in rollup.columns:
+        rollup = rollup.withColumn("usage_unit", F.lit("Units"))
     group = F.struct(
         F.array("service", "raw_region").alias("Keys"),
         F.create_map(
@@ -45,15 +50,23 @@ def nested_pages(rollup):
     return pages.select("tenant_id", "aws_account_id", "account_alias", F.array(period).alias("ResultsByTime"))
 
 
-@query("cost_feed_daily", f"SELECT {RECORD_SQL} FROM cost_records WHERE date >= {D} - 32 AND date < {D}")
+@query(
+    "cost_feed_daily",
+    f"SELECT * REPLACE ('Units' AS usage_unit) FROM (SELECT {RECORD_SQL} FROM cost_records WHERE date >= {D} - 32 AND date < {D})",
+)
 def cost_feed_daily(spark, sf):
-    pages = nested_pages(feed.usage_to_cost_rollup(sample.usage_lines(spark, sf)))
+    pages = nested_pages(sample.cost_rollup(spark, sf))
     return feed.cost_feed_daily(feed.feed_lines(pages), AS_OF).select(*RECORD)
 
 
+def monthly_records(spark, sf):
+    monthly = feed.cost_feed_monthly(sample.usage_lines(spark, sf), AS_OF)
+    return monthly.withColumn("account_alias", sample.account_alias())
+
+
 @query("cost_feed_monthly", f"SELECT {RECORD_SQL} FROM monthly_records")
 def cost_feed_monthly(spark, sf):
-    return feed.cost_feed_monthly(sample.usage_lines(spark, sf), AS_OF).select(*RECORD)
+    return monthly_records(spark, sf).select(*RECORD)
 
 
 @query(
@@ -62,9 +75,8 @@ def cost_feed_monthly(spark, sf):
 UNION ALL SELECT {RECORD_SQL} FROM monthly_records""",
 )
 def daily_plus_monthly(spark, sf):
-    lines = sample.usage_lines(spark, sf)
-    daily = feed.cost_feed_daily(feed.usage_to_cost_rollup(lines), AS_OF)
-    return feed.daily_plus_monthly(daily, feed.cost_feed_monthly(lines, AS_OF)).select(*RECORD)
+    daily = feed.cost_feed_daily(sample.cost_rollup(spark, sf), AS_OF)
+    return feed.daily_plus_monthly(daily, monthly_records(spark, sf)).select(*RECORD)
 
 
 @query("scan_cost_records", f"SELECT {RECORD_SQL} FROM cost_records")
@@ -94,7 +106,7 @@ def account_alias_enrich(spark, sf):
 @query("service_group_classify", f"SELECT service, {group_case('service')} AS service_group, count(*) AS lines FROM usage_lines GROUP BY 1, 2")
 def service_group_classify(spark, sf):
     counted = sample.usage_lines(spark, sf).groupBy("service").agg(F.count("*").alias("lines"))
-    return counted.select("service", service_group(F.col("service")).alias("service_group"), "lines")
+    return counted.select("service", service_group("service").alias("service_group"), "lines")
 
 
 @query("record_id", f"SELECT {rec_id('raw_region')} AS id, count(*) AS lines FROM usage_lines GROUP BY 1")
@@ -135,7 +147,7 @@ def format_money_query(spark, sf):
 def restated_batch(spark, sf):
     """A re-pull of the last 32 days in which every record appears twice: first with a
     new alias and 5 % more cost, then with 10 % more."""
-    pull = feed.cost_feed_daily(feed.usage_to_cost_rollup(sample.usage_lines(spark, sf)), AS_OF)
+    pull = feed.cost_feed_daily(sample.cost_rollup(spark, sf), AS_OF)
     raised = F.explode(
         F.array(
             F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("1.05").cast("decimal(4,2)").alias("f"), F.lit("renamed").alias("a")),

@@ -196,7 +196,7 @@ def active_recommendations(spark, sf):
     stored = recs.withColumns(
         {
             "status": sample.pick(
-                ["pending", "accepted", "rejected", "implemented", "archived"], F.ascii(F.substring("id", 1, 1)) % 5
+                ["pending", "accepted", "rejected", "implemented", "archived"], "ascii(substr(id, 1, 1)) % 5"
             ),
             "expires_at": CREATED + F.make_dt_interval(shift),
         }

@@ -72,13 +72,12 @@ def stream_upsert_cost(spark, sf):
 
 def event_alerts(ev):
     """Every event as an alert on its user's budget; clicks belong to no budget."""
-    account_no = (F.col("user_id") % 20).cast("int")
-    return ev.select(
-        sample.pick(sample.TENANTS, F.floor(account_no / 4)).alias("tenant_id"),
-        F.when(F.col("event_type") != "click", F.concat(F.lit("b-"), F.col("user_id").cast("string"))).alias("budget_id"),
-        sample.account_id(account_no).alias("aws_account_id"),
-        F.lit("firing").alias("state"),
-        F.col("event_id").alias("seq"),
+    return ev.selectExpr(
+        f"{sample.TENANT_OF_USER} AS tenant_id",
+        "CASE WHEN event_type != 'click' THEN concat('b-', user_id) END AS budget_id",
+        f"{sample.ACCOUNT_OF_USER} AS aws_account_id",
+        "'firing' AS state",
+        "event_id AS seq",
     )
 
 

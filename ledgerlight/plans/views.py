@@ -67,7 +67,7 @@ JOIN supplier ON l_suppkey = s_suppkey)""",
     "cost_rollup": f"""
 SELECT {ACCOUNT_KEYS}, date, service, raw_region,
   cast(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd, cast(sum(usage_quantity) AS DECIMAL(18,4)) AS usage_quantity,
-  'Units' AS usage_unit
+  '' AS usage_unit
 FROM usage_lines WHERE record_type NOT IN ('Credit', 'Refund')
 GROUP BY {ACCOUNT_KEYS}, date, service, raw_region""",
     "cost_records": f"""

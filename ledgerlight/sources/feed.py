@@ -11,7 +11,7 @@ from ..functions.dates import days_before
 from ..schemas import COST, COST_FEED, COST_RECORDS, USAGE
 
 EXCLUDED_RECORD_TYPES = ("Credit", "Refund")  # fixed values
-FEED_KEY = ["tenant_id", "aws_account_id", "account_alias", "date", "service", "raw_region"]
+FEED_KEY = ["tenant_id", "aws_account_id", "date", "service", "raw_region"]
 
 
 def read_cost_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -53,32 +53,47 @@ def usage_to_cost_rollup(lines: DataFrame) -> DataFrame:
     Credits and refunds are left out (an unknown record type stays in). This is
     the one big shuffle of the engine: sums are combined map-side first, so a hot
     account or service costs one partial row per task, and the key carries the
-    day, so it spreads over all reducers.
+    day, so it spreads over all reducers. The key holds only what identifies a line;
+    the alias is looked up per account afterwards.
+
+    Lines may carry a ``usage_unit``; a cell whose lines differ gets ``N/A``. Text
+    cannot be kept in a hash aggregation's buffer, so the unit joins the key first
+    and the few units of a cell are merged in a second, small step.
     """
     kept = lines.where(~F.coalesce(F.col("record_type"), F.lit("")).isin(*EXCLUDED_RECORD_TYPES))
-    return kept.groupBy(*FEED_KEY).agg(
+    key = FEED_KEY + [c for c in ("account_alias", "usage_unit") if c in lines.columns]
+    sums = kept.groupBy(*key).agg(
+        F.sum("cost_usd").cast(COST).alias("cost_usd"), F.sum("usage_quantity").cast(USAGE).alias("usage_quantity")
+    )
+    if "usage_unit" not in key:
+        return sums
+    unit = F.when(F.min("usage_unit") == F.max("usage_unit"), F.min("usage_unit")).otherwise("N/A")
+    return sums.groupBy(*[c for c in key if c != "usage_unit"]).agg(
         F.sum("cost_usd").cast(COST).alias("cost_usd"),
         F.sum("usage_quantity").cast(USAGE).alias("usage_quantity"),
-        F.max("usage_unit").alias("usage_unit"),
+        unit.alias("usage_unit"),
     )
 
 
-def _as_cost_records(df: DataFrame, ingested_at: Column) -> DataFrame:
-    full = df.withColumns(
-        {
-            "provider": F.lit("aws"),
-            "service_group": service_group(F.col("service")),
-            "tags": F.expr("cast(map() as map<string,string>)"),
-            "ingested_at": ingested_at,
-            "created_at": ingested_at,
-            "raw_service_name": F.col("service"),
-        }
+def _as_cost_records(df: DataFrame, as_of) -> DataFrame:
+    """Complete and order the columns. Without an alias an account goes by its id."""
+    stamp = f"timestamp_ntz'{as_date(as_of).isoformat()} 00:00:00'"
+    added = {
+        "provider": "'aws'",
+        "tags": "map()",
+        "ingested_at": stamp,
+        "created_at": stamp,
+        "raw_service_name": "service",
+        "account_alias": "aws_account_id",
+        "usage_unit": "''",
+    }
+    known = df.withColumn("service_group", service_group("service"))
+    return known.selectExpr(
+        *[
+            f"cast({f.name if f.name in known.columns else added[f.name]} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in COST_RECORDS.fields
+        ]
     )
-    return full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in COST_RECORDS.fields])
-
-
-def _stamp(as_of) -> Column:
-    return F.lit(f"{as_date(as_of).isoformat()} 00:00:00").cast("timestamp_ntz")
 
 
 def to_daily_records(rollup: DataFrame, as_of) -> DataFrame:
@@ -98,7 +113,7 @@ def to_daily_records(rollup: DataFrame, as_of) -> DataFrame:
             "region": normalise_region(F.col("raw_region")),
         }
     )
-    return _as_cost_records(daily, _stamp(as_of))
+    return _as_cost_records(daily, as_of)
 
 
 def cost_feed_daily(rollup: DataFrame, as_of, days_back: int = 32) -> DataFrame:
@@ -116,7 +131,7 @@ def cost_feed_monthly(lines: DataFrame, as_of, months_back_: int = 6) -> DataFra
     monthly = (
         lines.where(window)
         .groupBy(
-            "tenant_id", "aws_account_id", "account_alias",
+            "tenant_id", "aws_account_id", *[c for c in ["account_alias"] if c in lines.columns],
             F.trunc("date", "MM").alias("date"), "service",
         )
         .agg(F.sum("cost_usd").alias("cost_usd"))
@@ -132,7 +147,7 @@ def cost_feed_monthly(lines: DataFrame, as_of, months_back_: int = 6) -> DataFra
             }
         )
     )
-    return _as_cost_records(monthly, _stamp(as_of))
+    return _as_cost_records(monthly, as_of)
 
 
 def daily_plus_monthly(daily: DataFrame, monthly: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import stable_id
 from ..schemas import COST, MONEY, USAGE
 from . import feed
 
@@ -31,25 +31,36 @@ RESOURCE_TYPES = ["ec2_instance", "rds_instance", "s3_bucket", "ebs_volume"]
 BUDGET_FACTORS = ["0.40", "0.55", "1.00"]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its schema is read from a footer once, not on every use."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
 
+def _list(values: list) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
-def pick(values: list, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
+def pick(values: list, index: str) -> Column:
+    """The entry of a list at a position given as SQL text."""
+    return F.expr(f"get({_list(values)}, cast({index} AS int))")
 
-def tenant_ix(tenant: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(t) for t in TENANTS]), tenant).cast("int") - 1
 
+TENANT_IX = f"(cast(array_position({_list(TENANTS)}, {{0}}) AS int) - 1)"
 
-def account_id(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 12, "0")
 
+def account_id(number: str) -> Column:
+    return F.expr(f"lpad(cast({number} AS string), 12, '0')")
 
-def account_alias(account: Column) -> Column:
+
+def account_alias(column: str = "aws_account_id") -> Column:
     """Accounts ending in 7 have no alias and show their id."""
-    return F.when(account.endswith("7"), account).otherwise(F.concat(F.lit("team-"), account))
+    return F.expr(f"CASE WHEN endswith({column}, '7') THEN {column} ELSE concat('team-', {column}) END")
 
 
 def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,54 +68,48 @@ def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    owner = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    joined = li.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        supplier, F.col("l_suppkey") == F.col("s_suppkey")
-    )
-    free = (F.col("l_discount") == 0.1) & (F.col("l_tax") == 0)
-    credit = F.col("l_returnflag") == "R"
-    account = account_id(tenant_ix(F.col("c_mktsegment")) * 4 + F.col("l_orderkey") % 4)
-    return joined.select(
-        F.col("c_mktsegment").alias("tenant_id"),
-        account.alias("aws_account_id"),
-        account_alias(account).alias("account_alias"),
-        F.col("l_shipdate").cast("date").alias("date"),
-        pick(SERVICES, F.col("l_partkey") % 16).alias("service"),
-        pick(REGIONS, F.col("s_nationkey") % 6).alias("raw_region"),
-        F.when(credit & (F.col("l_linenumber") == 7), "Credit")
-        .when(credit & (F.col("l_linenumber") == 6), "Refund")
-        .otherwise("Usage")
-        .alias("record_type"),
-        F.when(free, F.lit(0.0))
-        .otherwise(F.col("l_extendedprice") * (1 - F.col("l_discount")) / 100)
-        .cast(COST)
-        .alias("cost_usd"),
-        F.when(free, F.lit(0.0)).otherwise(F.col("l_quantity")).cast(USAGE).alias("usage_quantity"),
-        F.lit("Units").alias("usage_unit"),
+    owner = orders.join(customer, F.expr("o_custkey = c_custkey"))
+    joined = li.join(owner, F.expr("l_orderkey = o_orderkey")).join(supplier, F.expr("l_suppkey = s_suppkey"))
+    free = "l_discount = 0.1D AND l_tax = 0"
+    return joined.selectExpr(
+        "c_mktsegment AS tenant_id",
+        f"lpad(cast({TENANT_IX.format('c_mktsegment')} * 4 + l_orderkey % 4 AS string), 12, '0') AS aws_account_id",
+        "cast(l_shipdate AS date) AS date",
+        f"get({_list(SERVICES)}, cast(l_partkey % 16 AS int)) AS service",
+        f"get({_list(REGIONS)}, cast(s_nationkey % 6 AS int)) AS raw_region",
+        """CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'Credit'
+            WHEN l_returnflag = 'R' AND l_linenumber = 6 THEN 'Refund' ELSE 'Usage' END AS record_type""",
+        f"cast(CASE WHEN {free} THEN 0D ELSE l_extendedprice * (1 - l_discount) / 100 END AS {COST}) AS cost_usd",
+        f"cast(CASE WHEN {free} THEN 0D ELSE l_quantity END AS {USAGE}) AS usage_quantity",
     )
 
 
 def cost_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DAILY cost records of the whole usage history."""
-    return feed.to_daily_records(feed.usage_to_cost_rollup(usage_lines(spark, sf_dir)), AS_OF)
+    return feed.to_daily_records(cost_rollup(spark, sf_dir), AS_OF)
+
+
+def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolled-up usage with the alias of its account."""
+    rollup = feed.usage_to_cost_rollup(usage_lines(spark, sf_dir))
+    return rollup.withColumn("account_alias", account_alias())
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four accounts per tenant; some without alias."""
-    tenants = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tenant_id")).distinct()
-    rows = tenants.select(
-        "tenant_id",
-        F.explode(F.sequence(tenant_ix(F.col("tenant_id")) * 4, tenant_ix(F.col("tenant_id")) * 4 + 3)).alias("n"),
-    )
-    account = account_id(F.col("n"))
-    return rows.select(
-        "tenant_id",
-        account.alias("aws_account_id"),
-        F.when(account.endswith("7"), F.lit("")).otherwise(F.concat(F.lit("team-"), account)).alias("account_alias"),
-        F.lit("pending").alias("status"),
-        F.lit(None).cast("timestamp_ntz").alias("last_synced_at"),
-        F.lit(None).cast("string").alias("last_error"),
-        F.date_add(F.lit(dt.date(2001, 1, 1)), F.col("n") * 3).alias("created_at"),
+    tenants = table(spark, sf_dir, "customer").selectExpr("c_mktsegment AS tenant_id").distinct()
+    first = TENANT_IX.format("tenant_id") + " * 4"
+    return (
+        tenants.selectExpr("tenant_id", f"explode(sequence({first}, {first} + 3)) AS n")
+        .withColumn("aws_account_id", account_id("n"))
+        .selectExpr(
+            "tenant_id", "aws_account_id",
+            "CASE WHEN endswith(aws_account_id, '7') THEN '' ELSE concat('team-', aws_account_id) END AS account_alias",
+            "'pending' AS status",
+            "cast(NULL AS timestamp_ntz) AS last_synced_at",
+            "cast(NULL AS string) AS last_error",
+            "date_add(DATE'2001-01-01', n * 3) AS created_at",
+        )
     )
 
 
@@ -115,9 +120,8 @@ def budgets(spark: SparkSession, sf_dir: str, costs: DataFrame | None = None) ->
     rows per tenant add a zero limit and a scope without any spend.
     """
     costs = cost_records(spark, sf_dir) if costs is None else costs
-    august = costs.where(
-        (F.col("date") >= F.lit(dt.date(2001, 8, 1))) & (F.col("date") < F.lit(dt.date(2001, 9, 1)))
-    )
+    august = costs.where("date >= DATE'2001-08-01' AND date < DATE'2001-09-01'")
+    factors = ", ".join(f"'{f}'" for f in BUDGET_FACTORS)
     cells = (
         august.groupBy("tenant_id", "aws_account_id", "service_group", "region")
         .agg(F.sum("cost_usd").alias("cost_usd"))
@@ -126,42 +130,32 @@ def budgets(spark: SparkSession, sf_dir: str, costs: DataFrame | None = None) ->
             "tenant_id", "aws_account_id", "service_group", "region",
         )
         .agg(F.sum("cost_usd").alias("spend"))
-        .select(
-            "tenant_id", "aws_account_id", "service_group", "region", "spend",
-            F.explode(F.array(*[F.lit(f) for f in BUDGET_FACTORS])).alias("factor"),
+        .selectExpr("*", f"explode(array({factors})) AS factor")
+        .selectExpr(
+            "tenant_id", "aws_account_id", "service_group", "region", "factor",
+            f"cast(round(spend * cast(factor AS decimal(4,2)), 2) AS {MONEY}) AS limit_usd",
         )
-        .withColumn("limit_usd", F.round(F.col("spend") * F.col("factor").cast("decimal(4,2)"), 2).cast(MONEY))
     )
-    tenants = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tenant_id")).distinct()
-    none = F.lit(None).cast("string")
-    extra = tenants.select(
-        "tenant_id",
-        none.alias("aws_account_id"),
-        none.alias("service_group"),
-        F.explode(F.array(F.lit("nowhere-1"), F.lit("us-east-1"))).alias("region"),
-    ).select(
-        "*",
-        F.lit("0.00").alias("factor"),
-        F.when(F.col("region") == "nowhere-1", F.lit(100)).otherwise(F.lit(0)).cast(MONEY).alias("limit_usd"),
+    extra = table(spark, sf_dir, "customer").selectExpr("c_mktsegment AS tenant_id").distinct().selectExpr(
+        "tenant_id", "cast(NULL AS string) AS aws_account_id", "cast(NULL AS string) AS service_group",
+        f"inline(array(struct('nowhere-1' AS region, '0.00' AS factor, cast(100 AS {MONEY}) AS limit_usd),"
+        f" struct('us-east-1' AS region, '0.00' AS factor, cast(0 AS {MONEY}) AS limit_usd)))",
     )
-    rows = cells.select("tenant_id", "aws_account_id", "service_group", "region", "factor", "limit_usd").unionByName(
-        extra.select("tenant_id", "aws_account_id", "service_group", "region", "factor", "limit_usd")
-    )
-    star = [F.coalesce(F.col(c), F.lit("*")) for c in ("aws_account_id", "service_group", "region")]
-    ident = F.concat_ws("/", F.lit("b"), F.col("tenant_id"), *star, F.col("factor"))
-    digest = F.sha2(ident, 256)
-    return rows.select(
-        ident.alias("id"),
-        "tenant_id", "aws_account_id",
-        F.concat(F.lit("Budget "), ident).alias("name"),
-        "service_group", "region", "limit_usd",
-        F.when(F.substring(digest, 2, 1) < "8", "monthly")
-        .when(F.substring(digest, 2, 1) < "c", "weekly")
-        .otherwise("daily")
-        .alias("period"),
-        F.lit(80).alias("alert_at_pct"),
-        (F.substring(digest, 1, 1) >= "2").alias("is_active"),
-        F.date_add(F.lit(dt.date(2001, 1, 1)), F.ascii(F.substring(digest, 3, 1))).alias("created_at"),
+    return (
+        cells.unionByName(extra)
+        .selectExpr(
+            "*",
+            """concat_ws('/', 'b', tenant_id, coalesce(aws_account_id, '*'), coalesce(service_group, '*'),
+                coalesce(region, '*'), factor) AS id""",
+        )
+        .selectExpr("*", "sha2(id, 256) AS h")
+        .selectExpr(
+            "id", "tenant_id", "aws_account_id", "concat('Budget ', id) AS name", "service_group", "region", "limit_usd",
+            "CASE WHEN substr(h, 2, 1) < '8' THEN 'monthly' WHEN substr(h, 2, 1) < 'c' THEN 'weekly' ELSE 'daily' END AS period",
+            "80 AS alert_at_pct",
+            "substr(h, 1, 1) >= '2' AS is_active",
+            "date_add(DATE'2001-01-01', ascii(substr(h, 3, 1))) AS created_at",
+        )
     )
 
 
@@ -173,25 +167,26 @@ def budget_patterns() -> list[list[str]]:
     return out
 
 
+TENANT_OF_USER = f"get({_list(TENANTS)}, cast(floor((user_id % 20) / 4) AS int))"
+ACCOUNT_OF_USER = "lpad(cast(user_id % 20 AS string), 12, '0')"
+
+
 def resource_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Utilisation samples of resources, one per event."""
+    """Utilisation samples of resources, one per event. Every eleventh resource is first
+    seen on 20 January."""
     ev = table(spark, sf_dir, "events")
-    user = F.col("user_id")
-    late_start = (user % 11 == 0) & (F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-    kind = (user % 4).cast("int")
-    account_no = (user % 20).cast("int")
-    return ev.where(~late_start).select(
-        pick(TENANTS, F.floor(account_no / 4)).alias("tenant_id"),
-        account_id(account_no).alias("aws_account_id"),
-        F.concat(F.lit("i-"), user.cast("string")).alias("resource_id"),
-        pick(RESOURCE_TYPES, kind).alias("resource_type"),
-        pick(["compute", "database", "storage", "storage"], kind).alias("service_group"),
-        pick(REGIONS[:4], user % 3).alias("region"),
-        F.concat(F.lit("res-"), user.cast("string")).alias("name"),
+    return ev.where("NOT (user_id % 11 = 0 AND ts < timestamp_ntz'2024-01-20 00:00:00')").selectExpr(
+        f"{TENANT_OF_USER} AS tenant_id",
+        f"{ACCOUNT_OF_USER} AS aws_account_id",
+        "concat('i-', user_id) AS resource_id",
+        f"get({_list(RESOURCE_TYPES)}, cast(user_id % 4 AS int)) AS resource_type",
+        "get(array('compute', 'database', 'storage', 'storage'), cast(user_id % 4 AS int)) AS service_group",
+        f"get({_list(REGIONS[:4])}, cast(user_id % 3 AS int)) AS region",
+        "concat('res-', user_id) AS name",
         "ts",
-        F.round(F.col("value") / 10, 6).cast("decimal(12,6)").alias("cpu_pct"),
-        F.least(F.round(F.col("value") / 5, 6), F.lit(100.0)).cast("decimal(12,6)").alias("memory_pct"),
-        F.when(user % 17 != 0, (user * 1.25).cast(MONEY)).alias("monthly_cost_usd"),
+        "cast(round(value / 10, 6) AS decimal(12,6)) AS cpu_pct",
+        "cast(least(round(value / 5, 6), 100D) AS decimal(12,6)) AS memory_pct",
+        f"CASE WHEN user_id % 17 != 0 THEN cast(user_id * 1.25 AS {MONEY}) END AS monthly_cost_usd",
     )
 
 
@@ -201,17 +196,16 @@ def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_lines(ev: DataFrame) -> DataFrame:
-    account_no = (F.col("user_id") % 20).cast("int")
-    return ev.select(
+    return ev.selectExpr(
         "event_id",
-        pick(TENANTS, F.floor(account_no / 4)).alias("tenant_id"),
-        account_id(account_no).alias("aws_account_id"),
-        F.col("event_type").alias("service"),
-        pick(REGIONS[:4], F.col("user_id") % 3).alias("region"),
-        F.col("ts").cast("date").alias("date"),
+        f"{TENANT_OF_USER} AS tenant_id",
+        f"{ACCOUNT_OF_USER} AS aws_account_id",
+        "event_type AS service",
+        f"get({_list(REGIONS[:4])}, cast(user_id % 3 AS int)) AS region",
+        "cast(ts AS date) AS date",
         "ts",
-        F.col("value").cast(COST).alias("cost_usd"),
-        F.when(F.col("event_id") % 5 == 0, F.lit("{}")).otherwise(F.col("props")).alias("tags_json"),
+        f"cast(value AS {COST}) AS cost_usd",
+        "CASE WHEN event_id % 5 = 0 THEN '{}' ELSE props END AS tags_json",
     )
 
 
@@ -221,80 +215,61 @@ def resource_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_changes(ev: DataFrame) -> DataFrame:
     """Sign-ups count as created, errors as terminated resources."""
-    account_no = (F.col("user_id") % 20).cast("int")
-    return ev.where(F.col("event_type").isin("signup", "error")).select(
-        F.col("event_id").alias("change_id"),
-        account_id(account_no).alias("aws_account_id"),
-        F.concat(F.lit("i-"), F.col("user_id").cast("string")).alias("resource_id"),
-        F.when(F.col("event_type") == "signup", "created").otherwise("terminated").alias("action"),
-        F.col("ts").alias("changed_at"),
+    return ev.where("event_type IN ('signup', 'error')").selectExpr(
+        "event_id AS change_id",
+        f"{ACCOUNT_OF_USER} AS aws_account_id",
+        "concat('i-', user_id) AS resource_id",
+        "CASE WHEN event_type = 'signup' THEN 'created' ELSE 'terminated' END AS action",
+        "ts AS changed_at",
     )
 
 
 def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    return ev.select(
-        F.col("event_id").alias("run_no"),
-        pick(TENANTS, F.floor((F.col("user_id") % 20) / 4)).alias("tenant_id"),
-        pick(["optimizer", "anomaly", "nlq", "forecaster", "reporter", "analyzer"], F.col("event_id") % 6).alias(
-            "agent_type"
-        ),
-        pick(["scheduled", "manual", "webhook", "event"], F.col("event_id") % 4).alias("trigger_type"),
-        pick(["success", "success", "error", "pending", "timeout"], F.col("user_id") % 5).alias("status"),
-        pick(
-            ["claude-3-5-sonnet-20241022", "gpt-4o-mini", "gpt-4-turbo", "gpt-3.5-turbo"], F.col("event_id") % 4
-        ).alias("api_model"),
-        F.floor(F.col("value") * 10).cast("int").alias("input_tokens"),
-        F.floor(F.col("value") * 4).cast("int").alias("output_tokens"),
+    models = ["claude-3-5-sonnet-20241022", "gpt-4o-mini", "gpt-4-turbo", "gpt-3.5-turbo"]
+    agents = ["optimizer", "anomaly", "nlq", "forecaster", "reporter", "analyzer"]
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS run_no",
+        f"{TENANT_OF_USER} AS tenant_id",
+        f"get({_list(agents)}, cast(event_id % 6 AS int)) AS agent_type",
+        f"get({_list(['scheduled', 'manual', 'webhook', 'event'])}, cast(event_id % 4 AS int)) AS trigger_type",
+        f"get({_list(['success', 'success', 'error', 'pending', 'timeout'])}, cast(user_id % 5 AS int)) AS status",
+        f"get({_list(models)}, cast(event_id % 4 AS int)) AS api_model",
+        "cast(floor(value * 10) AS int) AS input_tokens",
+        "cast(floor(value * 4) AS int) AS output_tokens",
         "props",
-        F.col("ts").alias("started_at"),
+        "ts AS started_at",
     )
 
 
 def agent_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response texts: fenced as json, fenced plain, bare, and broken JSON."""
-    ev = table(spark, sf_dir, "events")
-    kind = F.col("event_id") % 4
-    nl, fence = F.lit("\n"), F.lit("```")
-    return ev.select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.when(kind == 0, F.concat(F.lit("Here:"), nl, fence, F.lit("json"), nl, F.col("props"), nl, fence))
-        .when(kind == 1, F.concat(fence, nl, F.col("props"), nl, fence, F.lit(" done")))
-        .when(kind == 2, F.concat(F.lit("  "), F.col("props"), nl))
-        .otherwise(F.concat(fence, F.lit("json"), nl, F.lit('{"k": '), nl))
-        .alias("response_text"),
+        r"""CASE event_id % 4 WHEN 0 THEN concat('Here:\n```json\n', props, '\n```')
+            WHEN 1 THEN concat('```\n', props, '\n``` done')
+            WHEN 2 THEN concat('  ', props, '\n') ELSE '```json\n{"k": \n' END AS response_text""",
     )
 
 
 def ingestion_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    account_no = (F.col("o_custkey") % 20).cast("int")
-    status = (
-        F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "running").otherwise("error")
-    )
-    return o.select(
-        F.col("o_orderkey").alias("job_id"),
-        pick(TENANTS, F.floor(account_no / 4)).alias("tenant_id"),
-        account_id(account_no).alias("aws_account_id"),
-        status.alias("status"),
-        F.floor(F.col("o_totalprice") / 100).cast("int").alias("records_pulled"),
-        F.when(
-            status == "error",
-            F.array(F.concat(F.lit("Unexpected: "), F.col("o_orderpriority")), F.lit("retry later")),
-        ).alias("errors"),
-        F.col("o_orderdate").alias("started_at"),
-        F.when(
-            status != "running", F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("o_custkey").cast("int") % 60)
-        ).alias("completed_at"),
+    account = "o_custkey % 20"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS job_id",
+        f"get({_list(TENANTS)}, cast(floor(({account}) / 4) AS int)) AS tenant_id",
+        f"lpad(cast({account} AS string), 12, '0') AS aws_account_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'running' ELSE 'error' END AS status",
+        "cast(floor(o_totalprice / 100) AS int) AS records_pulled",
+        """CASE WHEN o_orderstatus NOT IN ('F', 'O')
+            THEN array(concat('Unexpected: ', o_orderpriority), 'retry later') END AS errors""",
+        "o_orderdate AS started_at",
+        """CASE WHEN o_orderstatus != 'O'
+            THEN o_orderdate + make_dt_interval(0, 0, cast(o_custkey % 60 AS int)) END AS completed_at""",
     )
 
 
 def query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    return ev.select(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        F.create_map(
-            F.lit("service"), F.col("event_type"), F.lit("account"), F.col("user_id").cast("string"),
-        ).alias("params"),
-        (F.col("ts") + F.make_dt_interval(F.lit(0), F.col("event_id").cast("int") % 48)).alias("expires_at"),
+        "map('service', event_type, 'account', cast(user_id AS string)) AS params",
+        "ts + make_dt_interval(0, cast(event_id % 48 AS int)) AS expires_at",
     )
