@@ -10,6 +10,7 @@ from ..sinks import recommendations_table
 from ..sinks.tables import recommendation_rows
 from ..sources import sample, tables
 from ..sources.sample import AS_OF, EVENTS_AS_OF
+from .budget_plans import stamp
 from .registry import query
 from .views import D
 
@@ -153,7 +154,8 @@ def recommendation_priority(spark, sf):
     return recs.groupBy("tenant_id", "priority").agg(F.count("*").alias("recommendations"))
 
 
-CREATED = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+def created():
+    return stamp(EVENTS_AS_OF)
 
 
 @query(
@@ -174,7 +176,7 @@ def recommendations_table_query(spark, sf):
         )
     )
     docs = inventory(spark, sf).select("tenant_id", "aws_account_id", doc.alias("doc"))
-    return recommendations_table(docs, CREATED).drop("created_at", "action_steps")
+    return recommendations_table(docs, created()).drop("created_at", "action_steps")
 
 
 @query(
@@ -190,7 +192,7 @@ def active_recommendations(spark, sf):
         RE.all_recommendations(sample.cost_records(spark, sf), inventory(spark, sf), AS_OF).withColumn(
             "priority", F.lit(None).cast("string")
         ),
-        CREATED,
+        created(),
     )
     shift = F.ascii(F.substring("id", 2, 1)) % 40 - 20
     stored = recs.withColumns(
@@ -198,10 +200,10 @@ def active_recommendations(spark, sf):
             "status": sample.pick(
                 ["pending", "accepted", "rejected", "implemented", "archived"], "ascii(substr(id, 1, 1)) % 5"
             ),
-            "expires_at": CREATED + F.make_dt_interval(shift),
+            "expires_at": created() + F.make_dt_interval(shift),
         }
     )
-    return RE.savings_by_status(RE.active_recommendations(stored, CREATED))
+    return RE.savings_by_status(RE.active_recommendations(stored, created()))
 
 
 TAG = "json_extract_string(tags_json, '$.k')"

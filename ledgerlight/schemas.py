@@ -15,37 +15,35 @@ MONEY = "decimal(24,2)"  # a displayed amount
 PERCENT = "decimal(18,2)"
 AVERAGE = "decimal(24,4)"
 
-COST_RECORDS = T.StructType.fromDDL(
-    f"""id string, tenant_id string, aws_account_id string, account_alias string,
-    date date, granularity string, provider string, service string, service_group string,
-    region string, cost_usd {COST}, usage_quantity {USAGE}, usage_unit string,
-    tags map<string,string>, ingested_at timestamp_ntz, raw_service_name string,
-    created_at timestamp_ntz"""
+STRING, DATE, STAMP = T.StringType(), T.DateType(), T.TimestampNTZType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, type_) for name, type_ in fields.items()])
+
+
+COST_RECORDS = _struct(
+    id=STRING, tenant_id=STRING, aws_account_id=STRING, account_alias=STRING, date=DATE, granularity=STRING,
+    provider=STRING, service=STRING, service_group=STRING, region=STRING, cost_usd=T.DecimalType(18, 6),
+    usage_quantity=T.DecimalType(18, 4), usage_unit=STRING, tags=T.MapType(STRING, STRING), ingested_at=STAMP,
+    raw_service_name=STRING, created_at=STAMP,
 )
 
 # One page of the provider's nested cost feed. Amounts arrive as text.
-COST_FEED = T.StructType.fromDDL(
-    """tenant_id string, aws_account_id string, account_alias string,
-    ResultsByTime array<struct<
-        TimePeriod: struct<Start: string, End: string>,
-        Groups: array<struct<
-            Keys: array<string>,
-            Metrics: map<string, struct<Amount: string, Unit: string>>>>>>"""
+_METRIC = _struct(Amount=STRING, Unit=STRING)
+_GROUP = _struct(Keys=T.ArrayType(STRING), Metrics=T.MapType(STRING, _METRIC))
+_PERIOD = _struct(TimePeriod=_struct(Start=STRING, End=STRING), Groups=T.ArrayType(_GROUP))
+COST_FEED = _struct(
+    tenant_id=STRING, aws_account_id=STRING, account_alias=STRING, ResultsByTime=T.ArrayType(_PERIOD)
 )
 
 ACTION_STEPS = "array<struct<step: int, details: string>>"
 
-RECOMMENDATIONS = T.StructType.fromDDL(
-    f"""id string, tenant_id string, aws_account_id string, agent_type string,
-    recommendation_type string, title string, description string, priority string,
-    estimated_savings_usd {MONEY}, confidence_score decimal(3,2), action_steps {ACTION_STEPS},
-    status string, created_at timestamp_ntz, expires_at timestamp_ntz"""
-)
-
 # The document an optimiser hands over for storage, before defaults are applied.
-RECOMMENDATION_DOC = T.StructType.fromDDL(
-    f"""recommendation_type string, title string, description string, priority string,
-    estimated_savings_monthly_usd {MONEY}, confidence_score decimal(3,2), action_steps {ACTION_STEPS}"""
+RECOMMENDATION_DOC = _struct(
+    recommendation_type=STRING, title=STRING, description=STRING, priority=STRING,
+    estimated_savings_monthly_usd=T.DecimalType(24, 2), confidence_score=T.DecimalType(3, 2),
+    action_steps=T.ArrayType(_struct(step=T.IntegerType(), details=STRING)),
 )
 
 # The allowed entries of each enum-like text column.

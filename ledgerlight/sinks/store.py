@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) a temporary folder is set.
+    Only a local session that names none gets a temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        path = tempfile.mkdtemp(prefix="ledgerlight-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="ledgerlight-")
+        _LOCAL[context.applicationId] = path
     return path.rstrip("/")
 
 
