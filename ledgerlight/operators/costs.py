@@ -100,6 +100,13 @@ def daily_spend_view(costs) -> DataFrame:
     )
 
 
+def register_views(costs: DataFrame, as_of) -> None:
+    """The three named views as temporary SQL views."""
+    monthly_spend_view(costs).createOrReplaceTempView("v_monthly_spend")
+    daily_spend_view(costs).createOrReplaceTempView("v_daily_spend")
+    top_services_this_month_view(costs, as_of).createOrReplaceTempView("v_top_services_this_month")
+
+
 def top_services_this_month_view(costs, as_of) -> DataFrame:
     """All services of the month per account; despite its name it has no limit."""
     return (
@@ -128,20 +135,23 @@ def cost_data_by_service(costs, as_of, days: int = 30, tenant_id=None, aws_accou
     return top_n(grouped, limit, [F.col("total").desc(), F.col("service"), F.col("service_group")], tenant_id)
 
 
-def cost_data_total(costs, as_of, days: int = 30, tenant_id=None, aws_account_id=None) -> DataFrame:
+def cost_data_total(costs, as_of, days: int = 30, tenant_id=None, aws_account_id=None, tenants=None) -> DataFrame:
     """Grand total, one row even without data; independent of the top-20 limit.
 
-    Without a tenant: one row per tenant that has any cost record."""
+    Without a tenant: one row per tenant with recent rows, or one for every row of
+    ``tenants`` if that list is given. The window is a scan filter either way.
+    """
+    rows = _recent(costs, as_of, validate_days(days), tenant_id, aws_account_id)
     if tenant_id is not None:
-        rows = _recent(costs, as_of, validate_days(days), tenant_id, aws_account_id)
         return rows.agg(F.coalesce(F.sum("cost_usd"), F.lit(0)).cast(TOTAL).alias("total")).select(
             F.lit(tenant_id).alias("tenant_id"), "total"
         )
-    recent = F.col("date") >= F.lit(days_before(as_of, validate_days(days)))
+    totals = rows.groupBy("tenant_id").agg(total().alias("total"))
+    if tenants is None:
+        return totals
     return (
-        scoped(costs, None, aws_account_id, "DAILY")
-        .groupBy("tenant_id")
-        .agg(F.coalesce(F.sum(F.when(recent, F.col("cost_usd"))), F.lit(0)).cast(TOTAL).alias("total"))
+        tenants.select("tenant_id").distinct().join(totals, "tenant_id", "left")
+        .select("tenant_id", F.coalesce("total", F.lit(0)).cast(TOTAL).alias("total"))
     )
 
 

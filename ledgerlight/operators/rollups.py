@@ -31,9 +31,13 @@ def multi_account_rollup(costs, start=None, end=None, tenant_id=None) -> DataFra
     )
 
 
-def build_overview(costs, inventory, as_of, days: int = 30, tenant_id=None, aws_account_id=None) -> DataFrame:
+def build_overview(
+    costs, inventory, as_of, days: int = 30, tenant_id=None, aws_account_id=None, tenants=None
+) -> DataFrame:
     """One row per tenant: totals, top ten services and regions, resource summary.
 
+    ``tenants`` lists the tenants to report on even if they have no data.
+
     ``service_count``, ``idle_resources`` and ``total_resource_types`` count lists
     that are cut at 20, so they stop at 20; ``resource_summary`` is exact. Lists are
     gathered only after the cut, so no array is longer than 20.
@@ -58,7 +62,7 @@ def build_overview(costs, inventory, as_of, days: int = 30, tenant_id=None, aws_
 
     svc = ranked(services, "top_services", "service", "service_group").withColumnRenamed("n", "service_count")
     reg = ranked(regions, "top_regions", "region").drop("n")
-    totals = C.cost_data_total(costs, as_of, days, tenant_id, aws_account_id)
+    totals = C.cost_data_total(costs, as_of, days, tenant_id, aws_account_id, tenants)
     summary = I.inventory_summary(inventory, tenant_id, aws_account_id)
     by_type = I.inventory_by_type(inventory, tenant_id, aws_account_id)
     by_group = I.inventory_by_service_group(inventory, tenant_id, aws_account_id)

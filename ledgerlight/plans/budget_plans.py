@@ -10,8 +10,9 @@ from ..operators import inventory as I
 from ..sinks import alert_dedup_append
 from ..sources import sample, tables
 from ..sources.sample import AS_OF, EVENTS_AS_OF, PRIOR_AS_OF
+from .ingestion import run_ingestion
 from .registry import query
-from .views import D, P
+from .views import D, exact_div
 
 
 def stamp(day):
@@ -188,3 +189,24 @@ def alert_event_types(spark, sf):
     return rows.select(
         "tenant_id", "budget_id", "aws_account_id", "alert_type", "severity", "current_value", "threshold_value"
     )
+
+
+@query(
+    "run_ingestion",
+    f"""SELECT a.tenant_id, a.aws_account_id, coalesce(d.n, 0) AS daily_records, coalesce(m.n, 0) AS monthly_records,
+  coalesce(d.n, 0) + coalesce(m.n, 0) AS total_upserted, coalesce(f.n, 0) AS alerts, {exact_div('s.s * 30', '60', 2)} AS forecast_mean_usd
+FROM accounts a
+LEFT JOIN (SELECT tenant_id, aws_account_id, count(*) AS n FROM cost_records WHERE date >= {D} - 32 AND date < {D} GROUP BY ALL) d USING (tenant_id, aws_account_id)
+LEFT JOIN (SELECT tenant_id, aws_account_id, count(*) AS n FROM monthly_records GROUP BY ALL) m USING (tenant_id, aws_account_id)
+LEFT JOIN (SELECT tenant_id, evaluated_account AS aws_account_id, count(*) AS n FROM ({ALERTS_SQL}) GROUP BY ALL) f USING (tenant_id, aws_account_id)
+LEFT JOIN fits s USING (tenant_id, aws_account_id)""",
+)
+def run_ingestion_query(spark, sf):
+    """A sync on top of the history up to a week ago."""
+    costs = sample.cost_records(spark, sf)
+    history = costs.where(F.col("date") < F.lit(PRIOR_AS_OF))
+    sync = run_ingestion(
+        sample.usage_lines(spark, sf), sample.accounts(spark, sf), sample.budgets(spark, sf, costs), history,
+        stored_alerts(spark, sf), AS_OF, stamp(AS_OF),
+    )
+    return sync.summary

@@ -100,7 +100,13 @@ TOTAL = f"""SELECT tenant_id, cast(coalesce(sum(cost_usd) FILTER (WHERE date >=
 FROM cost_records GROUP BY 1"""
 plain("cost_data_by_service", C.cost_data_by_service, BY_SERVICE)
 plain("cost_data_by_region", C.cost_data_by_region, BY_REGION)
-plain("cost_data_total", C.cost_data_total, TOTAL)
+
+
+@query("cost_data_total", TOTAL)
+def cost_data_total(spark, sf):
+    return C.cost_data_total(sample.cost_records(spark, sf), AS_OF, tenants=sample.accounts(spark, sf))
+
+
 plain(
     "cost_data_daily", C.cost_data_daily,
     f"SELECT tenant_id, date, {SUM6} AS total FROM cost_records WHERE date >= {D} - 30 GROUP BY 1, 2",
@@ -230,6 +236,16 @@ def anomaly_sql(kind):
 
 
 plain("spend_spikes", A.spend_spikes, anomaly_sql("spend_spike"))
+plain(
+    "spend_spikes_by_region", lambda costs, as_of: A.spend_spikes(costs, as_of, by_region=True),
+    f"""SELECT tenant_id, aws_account_id, 'spend_spike' AS anomaly_type,
+  CASE WHEN pct < 100 THEN 'info' WHEN pct < 200 THEN 'warning' ELSE 'critical' END AS severity, service, region,
+  {exact_div('c', '7', 2)} AS current_value, {exact_div('b', '90', 2)} AS baseline_value,
+  cast(round(pct, 2) AS DECIMAL(18,2)) AS percent_change, service || ' daily spend is above its 90-day mean' AS description
+FROM (SELECT *, (c::DOUBLE / 7 - b::DOUBLE / 90) / (b::DOUBLE / 90) * 100 AS pct FROM (
+  SELECT tenant_id, aws_account_id, service, region, sum(cost_usd) FILTER (WHERE is_cur) AS c,
+    sum(cost_usd) FILTER (WHERE NOT is_cur) AS b FROM recent_days GROUP BY ALL) WHERE b > 0) WHERE pct > 50""",
+)
 plain("new_services", A.new_services, anomaly_sql("new_service"))
 plain("regional_shift", A.regional_shift, anomaly_sql("regional_shift"))
 plain("seasonal_deviation", A.seasonal_deviation, anomaly_sql("unusual_pattern"))

@@ -7,6 +7,7 @@ from ..operators import anomaly as A
 from ..operators import jobs as J
 from ..operators import quality as Q
 from ..operators import rootcause as RC
+from ..operators import tags as TG
 from ..schemas import DOMAINS
 from ..sinks import agent_runs_table, anomalies_table
 from ..sources import sample
@@ -131,6 +132,29 @@ def anomalies_table_query(spark, sf):
     return anomalies_table(events, stamp(AS_OF))
 
 
+TAG = "json_extract_string(tags_json, '$.k')"
+BY_TAG = "tenant_id, aws_account_id, service, coalesce(" + TAG + ", '(untagged)') AS tag_value"
+
+
+@query(
+    "rca_contribution_by_tag",
+    f"""SELECT s.tenant_id, s.aws_account_id, service, tag_value, cast(round(c, 2) AS DECIMAL(24,2)) AS current_usd,
+  cast(round(p, 2) AS DECIMAL(24,2)) AS previous_usd, cast(round(c - p, 2) AS DECIMAL(24,2)) AS delta_usd,
+  CASE WHEN a <> 0 THEN round((c - p)::DOUBLE / a::DOUBLE * 100, 4) END AS share_pct
+FROM (SELECT {BY_TAG}, coalesce(sum(cost_usd) FILTER (WHERE date >= {E} - 15), 0) AS c,
+    coalesce(sum(cost_usd) FILTER (WHERE date < {E} - 15), 0) AS p FROM tagged_lines WHERE date >= {E} - 30 AND date < {E} GROUP BY ALL) s
+JOIN (SELECT tenant_id, aws_account_id, sum(CASE WHEN date >= {E} - 15 THEN cost_usd ELSE -cost_usd END) AS a
+    FROM tagged_lines WHERE date >= {E} - 30 AND date < {E} GROUP BY ALL) w
+  ON w.tenant_id = s.tenant_id AND w.aws_account_id = s.aws_account_id""",
+)
+def rca_contribution_by_tag(spark, sf):
+    tagged = TG.tag_extract(sample.tagged_lines(spark, sf), "k").select(
+        "tenant_id", "aws_account_id", "service", "date", "cost_usd",
+        F.coalesce("tag_value", F.lit(TG.UNTAGGED)).alias("tag_value"), F.lit("DAILY").alias("granularity"),
+    )
+    return RC.rca_contribution(tagged, EVENTS_AS_OF, 15, by=("service", "tag_value"))
+
+
 def event_anomalies(spark, sf):
     """Account days that cost more than one and a half times the account's mean day."""
     daily = (

@@ -87,7 +87,9 @@ LEFT JOIN (SELECT tenant_id, count(DISTINCT resource_type) AS n FROM inventory G
 
 
 def overview_df(spark, sf):
-    return R.build_overview(sample.cost_records(spark, sf), inventory(spark, sf), AS_OF)
+    return R.build_overview(
+        sample.cost_records(spark, sf), inventory(spark, sf), AS_OF, tenants=sample.accounts(spark, sf)
+    )
 
 
 @query("overview", OVERVIEW_SQL)

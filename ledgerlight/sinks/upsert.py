@@ -66,7 +66,7 @@ def upsert_cost_records(existing: DataFrame, batch: DataFrame, seq: str = "seq")
 def write_delta(batch: DataFrame, path: str, batch_id: int, seq: str = "seq") -> None:
     """Add one folded batch to a log of batches. Repeating a batch id replaces it, so a
     retried batch is stored once. ``seq`` is a bigint that orders rows across batches."""
-    rows = fold(batch, seq).withColumn("month", F.trunc("date", "MM"))
+    rows = fold(batch, seq).withColumn("month", F.trunc("date", "MM")).hint("rebalance", "month")
     rows.write.mode("overwrite").partitionBy("month").parquet(f"{path}/batch_id={int(batch_id)}")
 
 

@@ -4,7 +4,7 @@ Every scan takes an optional tenant and account. Without a tenant the operators
 answer for all tenants at once, one result per tenant.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import as_date
@@ -32,18 +32,28 @@ def scoped(
     return df
 
 
+# Spark cuts a window ranked up to this many rows before the exchange.
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def top_n(df: DataFrame, n: int, order: list, tenant_id=None, by=("tenant_id",)) -> DataFrame:
     """First ``n`` rows per tenant, or overall when one tenant is given.
 
     Both forms keep only ``n`` rows per task before the exchange (TakeOrdered for
-    one tenant, a window group limit otherwise), so no group is gathered whole.
+    one tenant, a window group limit otherwise), so no group is gathered whole. A
+    limit too large for that is first applied to slices of each group.
     """
     if tenant_id is not None and tuple(by) == ("tenant_id",):
         return df.orderBy(*order).limit(n)
-    from pyspark.sql import Window
 
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    def cut(rows: DataFrame, *keys) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+    if n > GROUP_LIMIT:
+        df = cut(df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))), *by, "_slice").drop("_slice")
+    return cut(df, *by)
 
 
 def scan_cost_records(

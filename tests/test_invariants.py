@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.operators import budgets, costs, ranks, rollups, rootcause
 from ledgerlight.sinks import shared_dir, write_cost_table
-from ledgerlight.sources import sample
+from ledgerlight.sources import sample, tables
 from ledgerlight.sources.sample import AS_OF
 
 
@@ -40,6 +40,28 @@ def test_one_tenant_equals_its_part_of_all(fact):
         assert one.count() == part.count() and one.exceptAll(part).count() == 0, op.__name__
 
 
+def test_accounts_of_a_tenant_add_up(fact):
+    accounts = [r.aws_account_id for r in fact.where("tenant_id = 'BUILDING'").select("aws_account_id").distinct().collect()]
+    whole = costs.cost_data_total(fact, AS_OF, tenant_id="BUILDING").first().total
+    parts = [costs.cost_data_total(fact, AS_OF, tenant_id="BUILDING", aws_account_id=a).first().total for a in accounts]
+    assert sum(parts) == whole
+    assert costs.cost_summary(fact, AS_OF, tenant_id="BUILDING", aws_account_id="none").count() == 0
+
+
+def test_views_can_be_queried(spark, fact):
+    costs.register_views(fact, AS_OF)
+    sums = [spark.sql(f"SELECT sum(total_usd) FROM {v}").first()[0] for v in ("v_monthly_spend", "v_daily_spend")]
+    assert sums[0] == sums[1] == fact.agg(F.sum("cost_usd")).first()[0]
+
+
+def test_large_limits_are_exact(spark):
+    rows = [("hot" if i % 3 else f"t{i % 5}", i) for i in range(9000)]
+    df = spark.createDataFrame(rows, "tenant_id string, v int")
+    got = tables.top_n(df, 2000, [F.col("v").desc()])
+    brute = df.withColumn("r", F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.col("v").desc()))).where("r <= 2000").drop("r")
+    assert got.count() == brute.count() and got.exceptAll(brute).count() == 0
+
+
 def test_contribution_shares_add_up(fact):
     sums = rootcause.rca_contribution(fact, AS_OF).where("share_pct IS NOT NULL").groupBy("aws_account_id").agg(F.sum("share_pct").alias("s"))
     assert all(abs(r.s - 100) < 0.01 for r in sums.collect())
