@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ACTION_STEPS, MONEY
-from ..sources.tables import scoped
+from ..sources.tables import scoped, top_n
 from . import inventory as I
 from .ranks import rank_thresholds
 from .trends import service_churn
@@ -88,7 +88,8 @@ def all_recommendations(costs, inventory, cost_as_of, tenant_id=None, aws_accoun
 
 
 def with_priority(recs: DataFrame) -> DataFrame:
-    """Priority by savings tercile inside the tenant."""
+    """Priority by savings tercile inside the tenant. Reads ``recs`` three times: hand over
+    a stored table."""
     value = "estimated_savings_monthly_usd"
     cuts = rank_thresholds(recs, ["tenant_id"], value, {"medium_from": 1 / 3, "high_from": 2 / 3})
     priority = (
@@ -97,11 +98,11 @@ def with_priority(recs: DataFrame) -> DataFrame:
     return recs.join(cuts, "tenant_id", "left").withColumn("priority", priority).drop("medium_from", "high_from")
 
 
-def top_recommendations(costs, inventory, cost_as_of, n: int = TOP_N, tenant_id=None) -> DataFrame:
-    """The ``n`` most valuable recommendations of every tenant."""
-    recs = with_priority(all_recommendations(costs, inventory, cost_as_of, tenant_id))
-    w = Window.partitionBy("tenant_id").orderBy(F.col("estimated_savings_monthly_usd").desc(), "title", "aws_account_id")
-    return recs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+def top_recommendations(recs: DataFrame, n: int = TOP_N) -> DataFrame:
+    """The ``n`` most valuable recommendations of every tenant, with their priority."""
+    order = [F.col("estimated_savings_monthly_usd").desc(), F.col("title"), F.col("aws_account_id")]
+    top = top_n(with_priority(recs), n, order)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id").orderBy(*order)))
 
 
 def active_recommendations(recs: DataFrame, as_of_ts) -> DataFrame:

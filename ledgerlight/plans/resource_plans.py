@@ -6,7 +6,7 @@ from ..operators import inventory as I
 from ..operators import recommend as RE
 from ..operators import rollups as R
 from ..operators import tags as TG
-from ..sinks import recommendations_table
+from ..sinks import materialise, recommendations_table
 from ..sinks.tables import recommendation_rows
 from ..sources import sample, tables
 from ..sources.sample import AS_OF, EVENTS_AS_OF
@@ -19,6 +19,11 @@ def inventory(spark, sf):
     return I.resource_inventory(sample.resource_utilization(spark, sf), EVENTS_AS_OF)
 
 
+def inventory_table(spark, sf):
+    """The inventory as the stored snapshot it is, for plans that read it several times."""
+    return materialise(inventory(spark, sf), "inventory")
+
+
 INV = [
     "tenant_id", "aws_account_id", "resource_id", "resource_type", "service_group", "region", "name", "state",
     "monthly_cost_usd", "cpu_avg_pct", "memory_avg_pct", "is_idle",
@@ -127,7 +132,7 @@ def rec_stop_idle(spark, sf):
 
 @query("rec_rightsizing", rec_sql("rightsizing"))
 def rec_rightsizing(spark, sf):
-    return RE.rec_rightsizing(inventory(spark, sf)).select(*REC)
+    return RE.rec_rightsizing(inventory_table(spark, sf)).select(*REC)
 
 
 @query("rec_unused_service", rec_sql("unused_service"))
@@ -135,6 +140,10 @@ def rec_unused_service(spark, sf):
     return RE.rec_unused_service(sample.cost_records(spark, sf), AS_OF).select(*REC)
 
 
+def recommendations(spark, sf):
+    return RE.all_recommendations(sample.cost_records(spark, sf), inventory_table(spark, sf), AS_OF)
+
+
 PRIORITY_SQL = f"""SELECT *, CASE WHEN pr >= 2.0 / 3 THEN 'high' WHEN pr >= 1.0 / 3 THEN 'medium' ELSE 'low' END AS priority FROM (
 SELECT *, percent_rank() OVER (PARTITION BY tenant_id ORDER BY estimated_savings_monthly_usd) AS pr FROM ({REC_SQL}))"""
 
@@ -145,14 +154,13 @@ SELECT *, percent_rank() OVER (PARTITION BY tenant_id ORDER BY estimated_savings
   ORDER BY estimated_savings_monthly_usd DESC, title, aws_account_id) AS rn FROM ({PRIORITY_SQL})) WHERE rn <= 5""",
 )
 def top_recommendations(spark, sf):
-    return RE.top_recommendations(sample.cost_records(spark, sf), inventory(spark, sf), AS_OF).select(
-        *REC, "priority", "rank"
-    )
+    recs = materialise(recommendations(spark, sf), "recommendations")
+    return RE.top_recommendations(recs).select(*REC, "priority", "rank")
 
 
 @query("recommendation_priority", f"SELECT tenant_id, priority, count(*) AS recommendations FROM ({PRIORITY_SQL}) GROUP BY 1, 2")
 def recommendation_priority(spark, sf):
-    recs = RE.with_priority(RE.all_recommendations(sample.cost_records(spark, sf), inventory(spark, sf), AS_OF))
+    recs = RE.with_priority(materialise(recommendations(spark, sf), "recommendations"))
     return recs.groupBy("tenant_id", "priority").agg(F.count("*").alias("recommendations"))
 
 
@@ -191,9 +199,7 @@ WHERE status <> 'archived' AND expires_at > TIMESTAMP '2024-01-31 00:00:00' GROU
 )
 def active_recommendations(spark, sf):
     recs = recommendation_rows(
-        RE.all_recommendations(sample.cost_records(spark, sf), inventory(spark, sf), AS_OF).withColumn(
-            "priority", F.lit(None).cast("string")
-        ),
+        recommendations(spark, sf).withColumn("priority", F.lit(None).cast("string")),
         created(),
     )
     shift = F.ascii(F.substring("id", 2, 1)) % 40 - 20

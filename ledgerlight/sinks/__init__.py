@@ -1,4 +1,4 @@
 from .alerts import alert_dedup_append
-from .store import append_table, json_export, shared_dir, write_cost_table
+from .store import append_table, json_export, materialise, run_dir, shared_dir, write_cost_table
 from .tables import agent_runs_table, anomalies_table, forecasts_table, recommendations_table
 from .upsert import merge_on_read, upsert_cost_records, write_delta

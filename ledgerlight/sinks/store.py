@@ -1,6 +1,7 @@
 """Where tables are written."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession, name: str) -> str:
+    """A new folder of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several branches of a plan read, and go on from the table.
+
+    The branches then read the columns they need instead of computing the frame
+    again, and a lost executor costs a re-read, not a recomputation.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_cost_table(costs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Cost records partitioned by month.
 

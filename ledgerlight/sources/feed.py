@@ -4,11 +4,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import (
-    as_date, monthly_record_id, months_back, normalise_region, parse_amount, record_id,
+    as_date, exact_sum, monthly_record_id, months_back, normalise_region, parse_amount, record_id,
     service_group,
 )
 from ..functions.dates import days_before
-from ..schemas import COST, COST_FEED, COST_RECORDS, USAGE
+from ..schemas import COST, COST_FEED, COST_RECORDS, TOTAL, USAGE
 
 EXCLUDED_RECORD_TYPES = ("Credit", "Refund")  # fixed values
 FEED_KEY = ["tenant_id", "aws_account_id", "date", "service", "raw_region"]
@@ -56,6 +56,9 @@ def usage_to_cost_rollup(lines: DataFrame) -> DataFrame:
     day, so it spreads over all reducers. The key holds only what identifies a line;
     the alias is looked up per account afterwards.
 
+    Amounts may be floating (a feed's numbers) or decimal; either way each line
+    counts with six (usage: four) decimals and the sums are exact.
+
     Lines may carry a ``usage_unit``; a cell whose lines differ gets ``N/A``. Text
     cannot be kept in a hash aggregation's buffer, so the unit joins the key first
     and the few units of a cell are merged in a second, small step.
@@ -63,7 +66,8 @@ def usage_to_cost_rollup(lines: DataFrame) -> DataFrame:
     kept = lines.where(~F.coalesce(F.col("record_type"), F.lit("")).isin(*EXCLUDED_RECORD_TYPES))
     key = FEED_KEY + [c for c in ("account_alias", "usage_unit") if c in lines.columns]
     sums = kept.groupBy(*key).agg(
-        F.sum("cost_usd").cast(COST).alias("cost_usd"), F.sum("usage_quantity").cast(USAGE).alias("usage_quantity")
+        exact_sum(lines, "cost_usd", 6, COST).alias("cost_usd"),
+        exact_sum(lines, "usage_quantity", 4, USAGE).alias("usage_quantity"),
     )
     if "usage_unit" not in key:
         return sums
@@ -134,7 +138,7 @@ def cost_feed_monthly(lines: DataFrame, as_of, months_back_: int = 6) -> DataFra
             "tenant_id", "aws_account_id", *[c for c in ["account_alias"] if c in lines.columns],
             F.trunc("date", "MM").alias("date"), "service",
         )
-        .agg(F.sum("cost_usd").alias("cost_usd"))
+        .agg(exact_sum(lines, "cost_usd", 6, TOTAL).alias("cost_usd"))
         .where(F.col("cost_usd") != 0)
         .withColumns(
             {

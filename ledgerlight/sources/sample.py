@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import COST, MONEY, USAGE
+from ..schemas import COST, MONEY
 from . import feed
 
 AS_OF = dt.date(2001, 9, 15)
@@ -27,6 +27,7 @@ SERVICES = [
     "AWS Cost Explorer", "EC2 - Other", "Amazon DynamoDB", "AWS Glue",
 ]
 REGIONS = ["us-east-1", "us-west-2", "eu-west-1", "ap-south-1", "NoRegion", "global"]
+ACCOUNTS = [f"{n:012}" for n in range(20)]  # four per tenant
 RESOURCE_TYPES = ["ec2_instance", "rds_instance", "s3_bucket", "ebs_volume"]
 BUDGET_FACTORS = ["0.40", "0.55", "1.00"]
 
@@ -73,14 +74,14 @@ def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     free = "l_discount = 0.1D AND l_tax = 0"
     return joined.selectExpr(
         "c_mktsegment AS tenant_id",
-        f"lpad(cast({TENANT_IX.format('c_mktsegment')} * 4 + l_orderkey % 4 AS string), 12, '0') AS aws_account_id",
+        f"get({_list(ACCOUNTS)}, cast({TENANT_IX.format('c_mktsegment')} * 4 + l_orderkey % 4 AS int)) AS aws_account_id",
         "cast(l_shipdate AS date) AS date",
         f"get({_list(SERVICES)}, cast(l_partkey % 16 AS int)) AS service",
         f"get({_list(REGIONS)}, cast(s_nationkey % 6 AS int)) AS raw_region",
         """CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'Credit'
             WHEN l_returnflag = 'R' AND l_linenumber = 6 THEN 'Refund' ELSE 'Usage' END AS record_type""",
-        f"cast(CASE WHEN {free} THEN 0D ELSE l_extendedprice * (1 - l_discount) / 100 END AS {COST}) AS cost_usd",
-        f"cast(CASE WHEN {free} THEN 0D ELSE l_quantity END AS {USAGE}) AS usage_quantity",
+        f"CASE WHEN {free} THEN 0D ELSE l_extendedprice * (1 - l_discount) / 100 END AS cost_usd",
+        f"CASE WHEN {free} THEN 0D ELSE l_quantity END AS usage_quantity",
     )
 
 
@@ -168,7 +169,7 @@ def budget_patterns() -> list[list[str]]:
 
 
 TENANT_OF_USER = f"get({_list(TENANTS)}, cast(floor((user_id % 20) / 4) AS int))"
-ACCOUNT_OF_USER = "lpad(cast(user_id % 20 AS string), 12, '0')"
+ACCOUNT_OF_USER = f"get({_list(ACCOUNTS)}, cast(user_id % 20 AS int))"
 
 
 def resource_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:

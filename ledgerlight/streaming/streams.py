@@ -5,24 +5,18 @@ mode. A batch that is retried after a lost executor or driver replaces itself, s
 results are exactly once without any state outside checkpoint and table.
 """
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import TOTAL
 from ..sinks.alerts import alert_dedup_append
-from ..sinks.store import shared_dir
+from ..sinks.store import run_dir
 from ..sinks.upsert import merge_on_read, write_delta
 
 LATE = "32 days"  # how long the provider restates costs
 
 
-def run_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def run_available(stream: DataFrame, checkpoint: str, on_batch, mode: str = "append") -> None:
     """Process everything that is there, in as many batches as the source cuts, and stop."""
     query = (
