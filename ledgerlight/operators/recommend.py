@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..schemas import ACTION_STEPS, MONEY
 from ..sources.tables import scoped, top_n
-from . import inventory as I
 from .ranks import rank_thresholds
 from .trends import service_churn
 

@@ -10,8 +10,8 @@ from ..operators import inventory as I
 from ..sinks import alert_dedup_append
 from ..sources import sample, tables
 from ..sources.sample import AS_OF, EVENTS_AS_OF, PRIOR_AS_OF
-from .ingestion import run_ingestion
 from .registry import query
+from .sync import run_ingestion
 from .views import D, exact_div
 
 

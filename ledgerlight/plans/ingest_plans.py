@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..functions import format_money, normalise_region, record_id, service_group
-from ..operators import costs as C
 from ..operators import jobs as J
 from ..sinks import json_export, upsert_cost_records
 from ..sources import feed, sample, tables

@@ -4,7 +4,7 @@ returns the resulting table."""
 from pyspark.sql import functions as F
 
 from ..schemas import COST_RECORDS
-from ..sinks import merge_on_read
+from ..sinks import merge_on_read, run_dir
 from ..sources import sample
 from ..streaming import streams as S
 from .registry import query
@@ -47,7 +47,7 @@ DAILY_SQL = "SELECT tenant_id, service, date, cast(sum(cost_usd) AS DECIMAL(28,6
 @query("stream_daily_spend", DAILY_SQL)
 def stream_daily_spend(spark, sf):
     agg = S.stream_daily_spend(sample.event_lines(event_stream(spark, sf)))
-    out = S.run_dir(spark, "daily-spend")
+    out = run_dir(spark, "daily-spend")
     S.run_updates(agg, f"{out}/table", f"{out}/checkpoint")
     return S.latest_updates(spark, f"{out}/table", agg.schema, ["date", "tenant_id", "service"])
 
@@ -65,7 +65,7 @@ FROM (SELECT *, min(event_id) OVER (PARTITION BY id) AS first FROM (
 GROUP BY id""",
 )
 def stream_upsert_cost(spark, sf):
-    out = S.run_dir(spark, "upsert")
+    out = run_dir(spark, "upsert")
     S.stream_upsert_cost(event_records(event_stream(spark, sf)), f"{out}/table", f"{out}/checkpoint")
     return merge_on_read(spark, f"{out}/table").select("id", "account_alias", "cost_usd", "ingested_at", "created_at")
 
@@ -88,7 +88,7 @@ SELECT DISTINCT {event_tenant()} AS tenant_id, 'b-' || user_id AS budget_id, 0 A
 UNION ALL SELECT {event_tenant()}, NULL, event_id FROM events WHERE event_type = 'click') GROUP BY 1, 2""",
 )
 def stream_alert_dedup(spark, sf):
-    out = S.run_dir(spark, "alerts")
+    out = run_dir(spark, "alerts")
     S.stream_alert_dedup(event_alerts(event_stream(spark, sf)), f"{out}/table", f"{out}/checkpoint")
     stored = spark.read.schema("tenant_id string, budget_id string, aws_account_id string, state string").parquet(f"{out}/table")
     return stored.groupBy("tenant_id", "budget_id").agg(F.count("*").alias("alerts"))
@@ -109,7 +109,7 @@ WHERE base > 0 AND (cur::DOUBLE / 48 - base::DOUBLE / 240) / (base::DOUBLE / 240
 def stream_hourly_spikes(spark, sf):
     """Two days against the ten before them, as the table holds one month."""
     agg = S.stream_hourly_spend(sample.event_lines(event_stream(spark, sf)))
-    out = S.run_dir(spark, "hourly")
+    out = run_dir(spark, "hourly")
     S.run_updates(agg, f"{out}/table", f"{out}/checkpoint")
     hourly = S.latest_updates(spark, f"{out}/table", agg.schema, ["hour", "tenant_id", "aws_account_id"])
     return S.hourly_spikes(hourly, current_days=2, baseline_days=10)

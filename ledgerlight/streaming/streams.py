@@ -11,8 +11,7 @@ from pyspark.sql import types as T
 
 from ..schemas import TOTAL
 from ..sinks.alerts import alert_dedup_append
-from ..sinks.store import run_dir
-from ..sinks.upsert import merge_on_read, write_delta
+from ..sinks.upsert import write_delta
 
 LATE = "32 days"  # how long the provider restates costs
 
