@@ -5,7 +5,7 @@ the sum of both. Only terms are features; ids, languages, sources and labels are
 
 Defined results: null and empty texts are scored from the bias alone; texts of any length are read whole; equal texts
 have equal scores; without labelled rows every score is 0.5; a null id stays null and is held out of nothing; an empty
-table gives an empty one; further columns are not read by ``score`` and are handed on by ``keep_clean``.
+table gives an empty one; further columns are not read by ``score`` and are handed on by ``drop``.
 """
 
 from __future__ import annotations
@@ -47,6 +47,6 @@ def score(docs: DataFrame, labels: DataFrame, spec: fm.Spec = SPEC) -> DataFrame
     return with_decision(fm.score_documents(docs, train(docs, labels, spec)), FOLDS, HELD_OUT)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, spec: fm.Spec = SPEC) -> DataFrame:
-    """The documents that aren't toxic, with all their columns."""
-    return fm.keep_below(docs, train(docs, labels, spec), THRESHOLD)
+def drop(docs: DataFrame, model: fm.Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the model doesn't take for toxic, with all their columns."""
+    return fm.keep_below(docs, model, threshold)
