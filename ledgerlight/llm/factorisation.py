@@ -1,12 +1,13 @@
-"""Factorisation machine over hashed words and, if asked for, structure and metadata of a text.
+"""Factorisation machine over hashed terms and, if asked for, structure and metadata of a text.
 
     score(x) = sigmoid(bias + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2))
 
 The last sum is that over all pairs of features of the product of their vectors, in time linear in the features: a
 pair such as an insult and the mention of a group can weigh more, or less, than both alone. All x are 0 or 1.
 
-*Features.* Each distinct word (A-Z lowered, runs of bytes that are no ASCII letter, digit or part of a longer
-character as separators) is hashed to one of ``buckets``. Structure: shares of kinds of characters, repeated lines and
+*Features.* A word is a run of letters, digits and characters beyond ASCII, with A-Z lowered. Terms are words and, if
+asked for, their first ``beginnings`` bytes, so that words of one stem share a term; each is hashed to one of
+``buckets``. That a bucket occurs once, twice, and so on up to ``levels`` times are features of their own. Structure: shares of kinds of characters, repeated lines and
 words, lengths; metadata: numeric columns. Both fall into bins of powers of two, and each bin is a feature.
 
 *Training* takes a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, never more, so the
@@ -18,13 +19,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map
+from .common import arrow_map
 
 #: A-Z lowered; other ASCII characters than letters and digits become spaces.
 WORD_VIEW = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -38,6 +41,8 @@ class Spec:
     """What a model is given. ``metadata`` are numeric columns; those that a table lacks are taken as null."""
 
     structure: bool = False
+    beginnings: tuple[int, ...] = ()
+    levels: int = 1
     metadata: tuple[str, ...] = ()
     buckets: int = 1 << 18
     selected: int = 4096
@@ -75,17 +80,36 @@ def size_bin(n: float | None) -> int:
     return 0 if n is None or n != n else 1 if n < 1 else min(BINS - 1, 2 + int(math.log2(n)))
 
 
-_WORDS = WordHashes()
+class Terms(dict):
+    """Word -> buckets of its terms, remembered for at most ``limit`` words of a worker."""
+
+    def __init__(self, spec: Spec, limit: int = 200_000):
+        super().__init__()
+        self.spec, self.limit = spec, limit
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        terms = [word, *(b"\x00" + word[:n] for n in self.spec.beginnings if len(word) >= n)]
+        value = self[word] = tuple(xxhash.xxh3_64_intdigest(t) % self.spec.buckets for t in terms)
+        return value
+
+
+_TERMS: dict[Spec, Terms] = {}
 _COUNTED = np.zeros(256, np.int64)
 for _k, _chars in enumerate(CLASSES.values()):
     _COUNTED[list(_chars)] = _k + 1
 
 
 def features(text: str, numbers: tuple[float | None, ...], spec: Spec) -> np.ndarray:
-    """Sorted distinct features of a text: hashed words first, then bins."""
+    """Sorted distinct features of a text: hashed terms by level first, then bins."""
+    known = _TERMS.get(spec)
+    if known is None:
+        known = _TERMS[spec] = Terms(spec)
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.translate(WORD_VIEW).split()
-    out = (_WORDS.of(list(set(words))) % np.uint64(spec.buckets)).astype(np.int64)
+    held, times = np.unique(np.array([*chain.from_iterable(map(known.__getitem__, words))], np.int64), return_counts=True)
+    out = [held * spec.levels, *(held[times > n] * spec.levels + n for n in range(1, spec.levels))]
     bins = []
     if spec.structure:
         counts = np.bincount(_COUNTED[np.frombuffer(raw, np.uint8)], minlength=len(CLASSES) + 1)
@@ -94,8 +118,8 @@ def features(text: str, numbers: tuple[float | None, ...], spec: Spec) -> np.nda
         bins += [share_bin(len(lines) - len(set(lines)), len(lines)), share_bin(len(words) - len(set(words)), len(words))]
         bins += [size_bin(len(words)), size_bin(len(lines)), share_bin(len(words), len(raw)), share_bin(len(lines), len(words) + 1)]
     bins += [size_bin(x) for x in numbers]
-    extra = [spec.buckets + i * BINS + b for i, b in enumerate(bins)]
-    return np.unique(np.concatenate([out, np.array(extra, np.int64)]))
+    extra = [spec.buckets * spec.levels + i * BINS + b for i, b in enumerate(bins)]
+    return np.sort(np.concatenate([*out, np.array(extra, np.int64)]))
 
 
 def _numbers(docs: DataFrame, spec: Spec) -> list:

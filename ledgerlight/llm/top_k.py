@@ -11,7 +11,7 @@ Queries are a stated set of rows against all rows: slices and groups both have a
 is one unit of work, and k rows of a query leave it at most.
 
 Products are summed as doubles where their sums stay below 2^53, and as Python's integers elsewhere, so scores are exact;
-a score beyond 64 bits is given as the nearest long, in the right order.
+a score beyond 64 bits is the nearest long, and ties with others of that kind.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 shorter vectors count as if zeros followed; an empty vector scores 0; of equal scores the smaller id comes first; rows
@@ -92,7 +92,8 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
         for b in np.unique(ranked[alive, turn]):
             mine = np.flatnonzero(alive & (ranked[:, turn] == b))
             own = ids[b * block : (b + 1) * block]
-            for i, row in zip(mine, queries[mine] @ vectors[b * block : (b + 1) * block].T, strict=True):
+            scores = np.clip(queries[mine] @ vectors[b * block : (b + 1) * block].T, -LONG - 1, LONG)
+            for i, row in zip(mine, scores, strict=True):
                 others = np.flatnonzero((own != query_ids[i]) & (True if kth[i] is None else row >= kth[i]))
                 if len(others) > k:  # equal scores at the cut all stay until ids decide
                     others = others[row[others] >= np.sort(row[others])[-k]]
@@ -117,7 +118,7 @@ def _meet(queries: DataFrame, rows: DataFrame, keys: list[str], width: int, k: i
             query_ids, ids = (t.column("vec_id").to_numpy() for t in (asked, held))
             q, v = (matrix(t.column("vector").to_pylist(), width) for t in (asked, held))
             kept = best_of(query_ids, q, ids, v, k, asked.column("floor").to_pylist(), block)
-            out = [(int(i), j, max(-LONG - 1, min(LONG, -s))) for i, found in zip(query_ids, kept, strict=True) for s, j in found]
+            out = [(int(i), j, -s) for i, found in zip(query_ids, kept, strict=True) for s, j in found]
         fields = zip(*out, strict=True) if out else ((), (), ())
         return pa.table([pa.array(c, pa.int64()) for c in fields], names=["query_id", "vec_id", "score"])
 

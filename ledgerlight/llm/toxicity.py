@@ -1,7 +1,7 @@
 """Toxicity: a factorisation machine over hashed terms.
 
 Pairs of terms have a weight of their own, so an insult together with the mention of a group can count for more than
-the sum of both. Only terms are features; ids, languages, sources and labels are not.
+the sum of both. Terms are words and beginnings of words, and how often they occur counts. Only terms are features; ids, languages, sources and labels are not.
 
 Defined results: null and empty texts are scored from the bias alone; texts of any length are read whole; equal texts
 have equal scores; without labelled rows every score is 0.5; a null id stays null and is held out of nothing; an empty
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import factorisation as fm
 
 #: ``sample`` bounds the labelled rows that training reads.
-SPEC = fm.Spec(sample=8000)
+SPEC = fm.Spec(beginnings=(4, 5, 6, 7), levels=3, sample=8000)
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 
