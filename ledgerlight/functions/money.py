@@ -4,7 +4,7 @@ whatever order the partitions arrive in; only ratios are double."""
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import AVERAGE, MONEY, TOTAL
+from ..schemas import AVERAGE, MONEY, TOTAL, WIDE
 
 
 def money(amount: Column) -> Column:
@@ -19,23 +19,29 @@ def per_day(total: Column, days: int, digits: int = 4) -> Column:
     return F.round(quotient, digits).cast(AVERAGE if digits == 4 else MONEY)
 
 
-def exact_sum(df: DataFrame, column: str, scale: int, type_: str) -> Column:
-    """Sum of amounts with ``scale`` decimals, independent of the order of rows.
+def exact_sum(df: DataFrame, column: str) -> Column:
+    """Unrounded sum of amounts, independent of the order of rows.
 
-    Floating amounts are rounded to whole units of the last decimal and summed as
-    integers; one conversion per group replaces one per row, which costs several
-    times as much as the addition. Decimal amounts are summed as they are.
+    Decimal amounts are summed as they are. Floating amounts count to twelve decimals and are summed as three whole
+    numbers (units, millionths, and millionths of these), so no line is too small to count, no cell overflows, and the
+    aggregation stays a hash aggregation over longs; one conversion a group replaces one a row.
     """
     if dict(df.dtypes)[column] not in ("double", "float"):
-        return F.sum(column).cast(type_)
-    units = F.sum(F.rint(F.col(column) * float(10**scale)).cast("bigint"))
-    one = F.lit(f"{10 ** -scale:.{scale}f}").cast(f"decimal({scale + 1},{scale})")
-    return (units.cast("decimal(20,0)") * one).cast(type_)
-
-
-def parse_amount(text: Column, type_: str) -> Column:
-    """Text amount of a feed; text that is no number becomes NULL."""
-    return text.try_cast(type_)
+        return F.sum(column).cast(WIDE)
+    amount = F.col(column).cast("double")
+    units = F.floor(amount)
+    parts = F.rint((amount - units) * 1e12).cast("bigint")
+    whole = F.sum(units).cast("decimal(19,0)")
+    millionths = F.sum(F.floor(parts / 1_000_000)).cast("decimal(19,0)") * F.lit("0.000001").cast("decimal(7,6)")
+    rest = F.sum(F.pmod(parts, F.lit(1_000_000))).cast("decimal(19,0)") * F.lit("0.000000000001").cast("decimal(13,12)")
+    return (whole + millionths + rest).cast(WIDE)
+
+
+def parse_amount(text: Column) -> Column:
+    """Text amount of a feed. Text that is no number, or none at all, fails the read: a lost amount is lost spend."""
+    amount = text.try_cast(WIDE)
+    said = F.concat(F.lit("not an amount in a cost feed: "), F.coalesce(text, F.lit("nothing")))
+    return F.when(amount.isNull(), F.raise_error(said)).otherwise(amount)
 
 
 def format_money(text: Column) -> Column:

@@ -8,15 +8,22 @@ from ..functions.dates import days_before
 from ..schemas import TOTAL
 from ..sources.tables import scoped
 
-def change_pairs(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 60) -> DataFrame:
+OPEN_HOURS = 24
+
+
+def change_pairs(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 60, as_of=None) -> DataFrame:
     """Changes of the same account between ``lead_minutes`` before an anomaly and its end.
 
+    An anomaly that has no end yet is open until ``as_of``, or for a day after its start where that isn't given.
+
     A range join through hour buckets: an anomaly is copied to the hours it spans, a
     change falls into one hour, so every pair meets exactly once on the equi key
     (account, hour). A busy account is spread over its hours.
     """
     lead = F.expr(f"interval {int(lead_minutes)} minutes")
-    spans = anomalies.select(
+    by_now = F.lit(None) if as_of is None else F.lit(str(as_of))
+    until = F.greatest("start_at", F.coalesce(by_now.cast("timestamp_ntz"), F.col("start_at") + F.expr(f"interval {OPEN_HOURS} hours")))
+    spans = anomalies.withColumn("end_at", F.coalesce("end_at", until)).select(
         "anomaly_id", F.col("aws_account_id").alias("a_account"), "start_at", "end_at",
         F.explode(
             F.sequence(F.date_trunc("hour", F.col("start_at") - lead), F.date_trunc("hour", "end_at"), F.expr("interval 1 hour"))
@@ -32,14 +39,14 @@ def change_pairs(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 6
     )
 
 
-def rca_change_correlation(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 60) -> DataFrame:
+def rca_change_correlation(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 60, as_of=None) -> DataFrame:
     """Every candidate change of every anomaly, ranked by closeness to its start.
 
     ``lag_minutes`` is positive before the start. Changes in the same minute share a
     rank. Ranks come from counts per minute, whose number is bounded by the window,
     so an anomaly with very many changes is not sorted in one task.
     """
-    pairs = change_pairs(anomalies, changes, lead_minutes).withColumn("distance", F.abs("lag_minutes"))
+    pairs = change_pairs(anomalies, changes, lead_minutes, as_of).withColumn("distance", F.abs("lag_minutes"))
     per_minute = pairs.groupBy("anomaly_id", "distance").agg(F.count("*").alias("c"))
     closer = Window.partitionBy("anomaly_id").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
     ranks = per_minute.select(

@@ -47,7 +47,7 @@ def full_sql(sql: str) -> str:
 
 
 def _load() -> None:
-    from . import budget_plans, cost_plans, forecast_plans, ingest_plans, misc_plans, resource_plans, stream_plans  # noqa: F401
+    from . import budget_plans, cost_plans, forecast_plans, ingest_plans, misc_plans, resource_plans, scoped_plans, stream_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,24 +5,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import months_back
 from ..operators import alerts as AL
 from ..operators import budgets as B
 from ..operators import forecast as FC
 from ..operators.jobs import account_alias_enrich
-from ..sinks import alert_dedup_append, upsert_cost_records
+from ..sinks import alert_dedup_append, append_table, upsert_cost_records, write_cost_table
 from ..sources import feed
+from ..sources.tables import scoped
 
 
 @dataclass
 class Sync:
     daily: DataFrame  # the pulled records
     monthly: DataFrame
-    costs: DataFrame  # the fact table after the upsert
+    costs: DataFrame  # the months a sync can touch, after the upsert
     alerts: DataFrame  # alerts to append
     forecast: DataFrame  # 30-day forecast per account
     summary: DataFrame  # one row per account
 
 
+def touched_months(stored: DataFrame, as_of) -> DataFrame:
+    """The months that a sync can change, which are also those its forecast reads; the others aren't listed."""
+    return scoped(stored, start=months_back(as_of, 6))
+
+
 def run_ingestion(
     lines: DataFrame, accounts: DataFrame, budgets: DataFrame, stored_costs: DataFrame, stored_alerts: DataFrame,
     as_of, now: Column,
@@ -31,12 +38,15 @@ def run_ingestion(
 
     Every account is synced in the same job. Budgets are evaluated on the pulled
     records, account by account in the order of their ids. Nothing is written here;
-    the caller stores ``costs`` as a new snapshot or delta and appends ``alerts``.
+    ``costs`` are the months that the sync can touch, for ``write_cost_table`` to replace,
+    and ``alerts`` are for ``append_table``; :func:`stored_sync` does both.
     """
-    daily = account_alias_enrich(feed.cost_feed_daily(feed.usage_to_cost_rollup(lines), as_of), accounts)
+    daily = account_alias_enrich(feed.cost_feed_daily(feed.usage_cells(lines), as_of), accounts)
     monthly = account_alias_enrich(feed.cost_feed_monthly(lines, as_of), accounts)
     pulled = feed.daily_plus_monthly(daily, monthly)
-    costs = upsert_cost_records(stored_costs, pulled.withColumn("seq", F.lit(0).cast("bigint")))
+    # An account under two tenants stays with the first: a total order, whatever order rows arrive in.
+    order = F.struct("tenant_id", "granularity", "region", "service", "date", "cost_usd", "usage_quantity", "usage_unit")
+    costs = upsert_cost_records(touched_months(stored_costs, as_of), pulled.withColumn("seq", order))
     status = B.budget_status(daily, budgets, as_of, "account", accounts)
     fired = B.budget_alerts(status, now)
     ordered = fired.withColumn("seq", F.col("evaluated_account"))
@@ -62,3 +72,12 @@ def run_ingestion(
         )
     )
     return Sync(daily, monthly, costs, alerts, forecast, summary)
+
+
+def stored_sync(sync: Sync, costs_path: str, alerts_path: str, batch_id: int) -> None:
+    """Store what a sync changed. A sync that is run again under its batch id leaves the same tables.
+
+    Alerts go first: they are found against the alerts stored before, and the fact table may be read by their plan.
+    """
+    append_table(sync.alerts, alerts_path, batch_id)
+    write_cost_table(sync.costs, costs_path)

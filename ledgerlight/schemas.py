@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 COST = "decimal(18,6)"
 USAGE = "decimal(18,4)"
 TOTAL = "decimal(28,6)"  # an unrounded sum of COST
-USAGE_TOTAL = "decimal(28,4)"
+WIDE = "decimal(38,12)"  # amounts before they are rounded, once, to their column
 MONEY = "decimal(24,2)"  # a displayed amount
 PERCENT = "decimal(18,2)"
 AVERAGE = "decimal(24,4)"

@@ -1,27 +1,23 @@
 """Where tables are written."""
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_LOCAL: dict[str, str] = {}
+#: Only for a session on one machine that names no folder, such as a trial in a shell.
+LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session that names none gets a temporary folder.
-    """
+    """The folder all executors can reach, as named by ``spark.checkpoint.dir``."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        path = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="ledgerlight-")
-        _LOCAL[context.applicationId] = path
+        path = LOCAL_FOLDER
     return path.rstrip("/")
 
 
@@ -41,9 +37,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_cost_table(costs: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_cost_table(costs: DataFrame, path: str, whole: bool = False) -> None:
     """Cost records partitioned by month.
 
+    The months in ``costs`` are replaced and no other is touched, so what an upsert of some months returns can be
+    written back, also into the table it was read from; a month goes live only when all of it is written. ``whole``
+    replaces the table.
+
     The rebalance hint lets adaptive execution split a month that holds far more rows
     than others over several writers and put small months together. Inside a file
     rows are sorted by account and date, so row groups can be skipped.
@@ -51,14 +51,16 @@ def write_cost_table(costs: DataFrame, path: str, mode: str = "overwrite") -> No
     rows = costs.withColumn("month", F.trunc("date", "MM")).hint("rebalance", "month")
     (
         rows.sortWithinPartitions("month", "aws_account_id", "date")
-        .write.mode(mode)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy("month")
         .parquet(path)
     )
 
 
-def append_table(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_table(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Add the rows of a batch. A batch that is run again replaces what it wrote before, so nothing is doubled."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
 
 
 def json_export(df: DataFrame, name: str = "json") -> DataFrame:

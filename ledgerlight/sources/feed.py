@@ -8,19 +8,22 @@ from ..functions import (
     service_group,
 )
 from ..functions.dates import days_before
-from ..schemas import COST, COST_FEED, COST_RECORDS, TOTAL, USAGE
+from ..schemas import COST, COST_FEED, COST_RECORDS, USAGE, WIDE
 
 EXCLUDED_RECORD_TYPES = ("Credit", "Refund")  # fixed values
 FEED_KEY = ["tenant_id", "aws_account_id", "date", "service", "raw_region"]
 
 
 def read_cost_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Provider pages as JSON files, one page per line. Paging is simply more files."""
-    return spark.read.schema(COST_FEED).json(path)
+    """Provider pages as JSON files, one page per line. Paging is simply more files.
+
+    A page that doesn't parse fails the read, it isn't skipped.
+    """
+    return spark.read.schema(COST_FEED).option("mode", "FAILFAST").json(path)
 
 
 def feed_lines(pages: DataFrame) -> DataFrame:
-    """Flatten pages: one row per period and group, amounts parsed from text."""
+    """Flatten pages: one row per period and group, amounts parsed from text and not rounded yet."""
     period = pages.select(
         "tenant_id", "aws_account_id", "account_alias", F.explode("ResultsByTime").alias("p")
     )
@@ -31,24 +34,21 @@ def feed_lines(pages: DataFrame) -> DataFrame:
     )
     keys, metrics = F.col("g.Keys"), F.col("g.Metrics")
 
-    def amount(metric: str, type_: str) -> Column:
-        # Parse wide, then round to the column scale: casting text straight to the
-        # target would reject a value that only has too many digits.
-        wide = parse_amount(F.element_at(metrics, F.lit(metric))["Amount"], "decimal(38,12)")
-        return wide.cast(type_)
+    def amount(metric: str) -> Column:
+        return parse_amount(F.element_at(metrics, F.lit(metric))["Amount"])
 
     return group.select(
         "tenant_id", "aws_account_id", "account_alias", "date",
         F.coalesce(F.get(keys, F.lit(0)), F.lit("Unknown")).alias("service"),
         F.coalesce(F.get(keys, F.lit(1)), F.lit("global")).alias("raw_region"),
-        amount("UnblendedCost", COST).alias("cost_usd"),
-        amount("UsageQuantity", USAGE).alias("usage_quantity"),
+        amount("UnblendedCost").alias("cost_usd"),
+        amount("UsageQuantity").alias("usage_quantity"),
         F.coalesce(F.element_at(metrics, F.lit("UsageQuantity"))["Unit"], F.lit("")).alias("usage_unit"),
     )
 
 
-def usage_to_cost_rollup(lines: DataFrame) -> DataFrame:
-    """Raw usage lines -> one line per account, day, service and raw region.
+def usage_cells(lines: DataFrame) -> DataFrame:
+    """Raw usage lines -> one line per account, day, service and raw region, with unrounded sums.
 
     Credits and refunds are left out (an unknown record type stays in). This is
     the one big shuffle of the engine: sums are combined map-side first, so a hot
@@ -56,8 +56,7 @@ def usage_to_cost_rollup(lines: DataFrame) -> DataFrame:
     day, so it spreads over all reducers. The key holds only what identifies a line;
     the alias is looked up per account afterwards.
 
-    Amounts may be floating (a feed's numbers) or decimal; either way each line
-    counts with six (usage: four) decimals and the sums are exact.
+    Amounts may be floating (a feed's numbers) or decimal; either way the sums are exact to twelve decimals.
 
     Lines may carry a ``usage_unit``; a cell whose lines differ gets ``N/A``. Text
     cannot be kept in a hash aggregation's buffer, so the unit joins the key first
@@ -65,20 +64,24 @@ def usage_to_cost_rollup(lines: DataFrame) -> DataFrame:
     """
     kept = lines.where(~F.coalesce(F.col("record_type"), F.lit("")).isin(*EXCLUDED_RECORD_TYPES))
     key = FEED_KEY + [c for c in ("account_alias", "usage_unit") if c in lines.columns]
-    sums = kept.groupBy(*key).agg(
-        exact_sum(lines, "cost_usd", 6, COST).alias("cost_usd"),
-        exact_sum(lines, "usage_quantity", 4, USAGE).alias("usage_quantity"),
-    )
+    sums = kept.groupBy(*key).agg(*(exact_sum(lines, c).alias(c) for c in ("cost_usd", "usage_quantity")))
     if "usage_unit" not in key:
         return sums
     unit = F.when(F.min("usage_unit") == F.max("usage_unit"), F.min("usage_unit")).otherwise("N/A")
     return sums.groupBy(*[c for c in key if c != "usage_unit"]).agg(
-        F.sum("cost_usd").cast(COST).alias("cost_usd"),
-        F.sum("usage_quantity").cast(USAGE).alias("usage_quantity"),
+        F.sum("cost_usd").cast(WIDE).alias("cost_usd"),
+        F.sum("usage_quantity").cast(WIDE).alias("usage_quantity"),
         unit.alias("usage_unit"),
     )
 
 
+def usage_to_cost_rollup(lines: DataFrame) -> DataFrame:
+    """The cells of :func:`usage_cells`, each sum rounded once, half up, to the scale of its column."""
+    cells = usage_cells(lines)
+    rounded = {"cost_usd": F.col("cost_usd").cast(COST), "usage_quantity": F.col("usage_quantity").cast(USAGE)}
+    return cells.withColumns(rounded)
+
+
 def _as_cost_records(df: DataFrame, as_of) -> DataFrame:
     """Complete and order the columns. Without an alias an account goes by its id."""
     stamp = f"timestamp_ntz'{as_date(as_of).isoformat()} 00:00:00'"
@@ -103,8 +106,8 @@ def _as_cost_records(df: DataFrame, as_of) -> DataFrame:
 def to_daily_records(rollup: DataFrame, as_of) -> DataFrame:
     """Feed lines -> DAILY cost records.
 
-    A line is dropped only when both cost and usage are zero, so negative
-    corrections stay. The id is taken from the raw region, the stored region is
+    A line is dropped only when both cost and usage are zero before they are rounded,
+    so negative corrections and tiny charges stay. The id is taken from the raw region, the stored region is
     normalised: a ``NoRegion`` and a ``global`` line stay two rows.
     """
     kept = rollup.where(~((F.col("cost_usd") == 0) & (F.col("usage_quantity") == 0)))
@@ -138,7 +141,7 @@ def cost_feed_monthly(lines: DataFrame, as_of, months_back_: int = 6) -> DataFra
             "tenant_id", "aws_account_id", *[c for c in ["account_alias"] if c in lines.columns],
             F.trunc("date", "MM").alias("date"), "service",
         )
-        .agg(exact_sum(lines, "cost_usd", 6, TOTAL).alias("cost_usd"))
+        .agg(exact_sum(lines, "cost_usd").alias("cost_usd"))
         .where(F.col("cost_usd") != 0)
         .withColumns(
             {

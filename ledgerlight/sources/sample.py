@@ -92,7 +92,7 @@ def cost_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolled-up usage with the alias of its account."""
-    rollup = feed.usage_to_cost_rollup(usage_lines(spark, sf_dir))
+    rollup = feed.usage_cells(usage_lines(spark, sf_dir))
     return rollup.withColumn("account_alias", account_alias())
 
 

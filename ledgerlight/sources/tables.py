@@ -4,6 +4,8 @@ Every scan takes an optional tenant and account. Without a tenant the operators
 answer for all tenants at once, one result per tenant.
 """
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ def scoped(
     """Tenant, account and granularity equality plus ``start <= date < end``.
 
     Absent arguments add no predicate. All of them are literals over plain
-    columns, so they reach the Parquet scan.
+    columns, so they reach the Parquet scan. Of a stored table, which has a ``month``
+    for each ``date``, only the months of the range are listed and read.
     """
     if tenant_id is not None:
         df = df.where(F.col("tenant_id") == tenant_id)
@@ -29,6 +32,11 @@ def scoped(
         df = df.where(F.col(date_col) >= F.lit(as_date(start)))
     if end is not None:
         df = df.where(F.col(date_col) < F.lit(as_date(end)))
+    if date_col == "date" and "month" in df.columns:
+        if start is not None:
+            df = df.where(F.col("month") >= F.lit(as_date(start).replace(day=1)))
+        if end is not None:
+            df = df.where(F.col("month") <= F.lit((as_date(end) - dt.timedelta(days=1)).replace(day=1)))
     return df
 
 

@@ -129,7 +129,7 @@ class Session:
 
 def test_shared_dir():
     assert shared_dir(Session("spark://x", "/shared/dir/")) == "/shared/dir"
-    local = shared_dir(Session("local[2]", None))
-    assert local == shared_dir(Session("local[2]", None))
-    with pytest.raises(ValueError):
-        shared_dir(Session("spark://x", None))
+    assert shared_dir(Session("local[2]", None)) == shared_dir(Session("local", None))
+    for master in ("spark://x", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(master, None))
