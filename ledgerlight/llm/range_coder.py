@@ -24,12 +24,12 @@ import numpy as np
 SCALE_BITS, SCALE = 24, 1 << 24
 LOW_BITS = 48
 U = np.uint64
-SLOT_BITS = 13
+SLOT_BITS = 11
 TOP = 7
 PROBABLE = 58_000  # of 65,536: the most that a prediction or the new ids may claim
 ID_BITS = 16
 #: Most blocks that advance together.
-LANES = 1024
+LANES = 2048
 
 
 def updates(n: int) -> set[int]:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,16 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .common import arrow_map, run_dir, texts
 
-BLOCK, END = 8192, 1
+BLOCK, END = 2048, 1
 #: Words of a text by Unicode's white space: the tokenizer drops it, and nothing is merged across it.
-WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
+WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: The tokenizer's own pieces of a lower-case text, for texts whose characters are all below U+0250: its pattern with
+#: the classes written out. Such a text has nothing to compose, and lower case is taken character by character.
+PIECE = re.compile(
+    "[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    "|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+"
+)
+ALL_LATIN = re.compile("[\x00-\u012f\u0131-\u024f]*")
 
 BLOCKS = (
     "file int, block int, begin long, n_ids int, payload binary, "
@@ -45,31 +53,37 @@ PIECES = "file int, number long, doc_id long, begin long, end long, at long, n l
 
 
 class Words:
-    """Ids of words, remembered for at most ``limit`` of them; the tokenizer is asked for the others in one batch."""
+    """Ids of words, remembered for at most ``limit`` of them; the tokenizer is asked for the others in one batch.
+
+    ``split_like_tokenizer`` says that the tokenizer's own pieces are those of ``PIECE``; otherwise words are what
+    stands between white space.
+    """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, split_like_tokenizer: bool = True, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.latin = split_like_tokenizer
         self.known: dict[str, tuple[int, ...]] = {}
         self.limit = limit
 
     def encode(self, text: str) -> np.ndarray:
-        words = WORD.findall(text)
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[w] = tuple(e.ids)
-        ids: list[int] = []
-        for w in words:
-            ids += known[w]
-        return np.array(ids, np.uint16)
+        words = PIECE.findall(text.lower()) if self.latin and ALL_LATIN.fullmatch(text) else WORD.findall(text)
+        try:
+            return self._ids(words)
+        except KeyError:
+            missing = [w for w in set(words) if w not in self.known]
+        if len(self.known) + len(missing) > self.limit:
+            self.known.clear()
+            missing = list(set(words))
+        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self.known[w] = tuple(e.ids)
+        return self._ids(words)
+
+    def _ids(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.uint16)
 
 
 _WORDS: dict[str, Words] = {}

@@ -54,7 +54,7 @@ def plain_tokens(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [64, 8192])
+@pytest.mark.parametrize("block", [64, 2048])
 def test_token_files_equal_the_library(spark, documents, block):
     path = public_tokenizers.path("word_bpe_49k.json")
     edges = [(1, None), (2, ""), (3, "same"), (3, "same"), (None, "no id"), (5, "long wörds " * 9000), (4, "É\x1cx\x85y <|endoftext|> İ ²½ don't 日本 á ́b")]
