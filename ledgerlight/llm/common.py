@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlight.sinks.store import materialise, run_dir  # noqa: F401
 
@@ -25,6 +26,15 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+#: Most rows of two longs that are sent to all executors: about 100 MB as a hash table.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The side of a join with a large table: broadcast if a count says that it has at most ``rows``, else shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
     """The strings of a column one at a time; null is the empty text."""
     for value in column:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, materialise, mix, texts, windows
+from .common import WordHashes, arrow_map, materialise, mix, small_or_not, texts, windows
 from .components import components
 
 _WORDS = WordHashes()
@@ -200,7 +200,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "size", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.join(wanted, "doc_id").select("doc_id", "label", "text")
+    rows = rows.join(small_or_not(wanted), "doc_id").select("doc_id", "label", "text")
     return arrow_map(rows, run, "doc_id long, label long, size long, shingles binary")
 
 
@@ -284,4 +284,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, without those that are linked to one with a smaller id."""
     id_col = options.get("id_col", "doc_id")
     gone = join(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(small_or_not(materialise(gone, "copies")), id_col, "left_anti").select(*docs.columns)
