@@ -39,5 +39,5 @@ def week_start(value) -> dt.date:
 
 def validate_days(days: int) -> int:
     if days < 1 or days > 366:
-        raise ValueError("days must be between 1 and 366")
+        raise ValueError(f"a look back of {days} days is outside 1..366")
     return days

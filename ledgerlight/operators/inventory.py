@@ -82,6 +82,22 @@ def inventory_summary(inventory, tenant_id=None, aws_account_id=None) -> DataFra
     )
 
 
+def inventory_facets(inventory, tenant_id=None, aws_account_id=None) -> DataFrame:
+    """Counts and costs by type, by service group and in total, in one pass over the inventory."""
+    cells = (
+        scoped(inventory, tenant_id, aws_account_id)
+        .groupBy("tenant_id", "resource_type", "service_group")
+        .agg(F.count("*").alias("n"), _cost().alias("c"), F.count_if("is_idle").alias("i"))
+    )
+    columns = ["tenant_id", "resource_type", "service_group"]
+    grouped = cells.groupingSets([["tenant_id", "resource_type"], ["tenant_id", "service_group"], ["tenant_id"]], *columns).agg(
+        F.grouping_id(*columns).alias("gid"),
+        F.sum("n").alias("count"), F.sum("c").cast(TOTAL).alias("monthly_cost_usd"), F.sum("i").alias("idle"),
+    )
+    facet = F.when(F.col("gid") == 1, "type").when(F.col("gid") == 2, "group").otherwise("total")
+    return grouped.select("tenant_id", facet.alias("facet"), "resource_type", "service_group", "count", "monthly_cost_usd", "idle")
+
+
 def inventory_by_type(inventory, tenant_id=None, aws_account_id=None, limit: int = 20) -> DataFrame:
     grouped = (
         scoped(inventory, tenant_id, aws_account_id)

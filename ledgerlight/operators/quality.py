@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import DOMAINS
+
 
 def duplicate_keys(df: DataFrame, key: list[str], check: str) -> DataFrame:
     """How many key values occur more than once. NULL key parts never collide, as in a
@@ -20,6 +22,17 @@ def outside_domain(df: DataFrame, column: str, allowed: list[str], check: str) -
     return df.agg(F.count_if(bad).alias("violations")).select(F.lit(check).alias("check_name"), "violations")
 
 
+def domain_violations(df: DataFrame, table: str, columns: dict[str, str]) -> DataFrame:
+    """``check_name``, ``violations`` of each column and the domain (see ``schemas.DOMAINS``) it has to keep to.
+
+    All columns of a table are counted in one pass over it. A missing value is outside every domain.
+    """
+    bad = {c: F.count_if(F.col(c).isNull() | ~F.col(c).isin(DOMAINS[d])) for c, d in columns.items()}
+    counts = df.agg(*(count.alias(c) for c, count in bad.items()))
+    rows = [F.struct(F.lit(f"{table}.{c}").alias("check_name"), F.col(c).alias("violations")) for c in bad]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def key_violations(checks: list[DataFrame]) -> DataFrame:
     out = checks[0]
     for c in checks[1:]:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ACTION_STEPS, MONEY
-from ..sources.tables import scoped, top_n
+from ..sources.tables import join_per_tenant, scoped, top_n
 from .ranks import rank_thresholds
 from .trends import service_churn
 
@@ -52,7 +52,7 @@ def rec_rightsizing(inventory: DataFrame, tenant_id=None, aws_account_id=None) -
     light = rows.where(
         ~F.col("is_idle") & (F.col("cpu_avg_pct") < RIGHTSIZE_CPU_PCT) & (F.col("memory_avg_pct") < RIGHTSIZE_MEMORY_PCT)
     )
-    costly = light.join(half, "tenant_id").where(F.col("monthly_cost_usd") >= F.col("half_from"))
+    costly = join_per_tenant(light, half, "resource_id").where(F.col("monthly_cost_usd") >= F.col("half_from"))
     return _rec(
         costly, "rightsizing",
         F.concat(F.lit("Downsize "), F.col("resource_id")),
@@ -94,7 +94,7 @@ def with_priority(recs: DataFrame) -> DataFrame:
     priority = (
         F.when(F.col(value) >= F.col("high_from"), "high").when(F.col(value) >= F.col("medium_from"), "medium").otherwise("low")
     )
-    return recs.join(cuts, "tenant_id", "left").withColumn("priority", priority).drop("medium_from", "high_from")
+    return join_per_tenant(recs, cuts, "title", "left").withColumn("priority", priority).drop("medium_from", "high_from")
 
 
 def top_recommendations(recs: DataFrame, n: int = TOP_N) -> DataFrame:

@@ -32,66 +32,73 @@ def multi_account_rollup(costs, start=None, end=None, tenant_id=None) -> DataFra
 
 
 def build_overview(
-    costs, inventory, as_of, days: int = 30, tenant_id=None, aws_account_id=None, tenants=None
+    costs, inventory, as_of, days: int = 30, tenant_id=None, aws_account_id=None, tenants=None,
+    list_limit: int | None = 20, top: int | None = 10,
 ) -> DataFrame:
-    """One row per tenant: totals, top ten services and regions, resource summary.
+    """One row per tenant: totals, top services and regions, resource summary.
 
-    ``tenants`` lists the tenants to report on even if they have no data.
+    ``tenants`` lists the tenants to report on even if they have no data. Costs and inventory are each read once.
 
-    ``service_count``, ``idle_resources`` and ``total_resource_types`` count lists
-    that are cut at 20, so they stop at 20; ``resource_summary`` is exact. Lists are
-    gathered only after the cut, so no array is longer than 20.
+    ``service_count``, ``idle_resources`` and ``total_resource_types`` count lists that are cut at ``list_limit``, so they
+    stop there, as does the list of types; ``services_total``, ``idle_total`` and ``resource_types_total`` are the
+    exact counts. The two lists of the costs hold ``top`` entries. None means all; lists are as long as a tenant has
+    services, regions or types.
     """
-    services = C.cost_data_by_service(costs, as_of, days, tenant_id, aws_account_id).withColumn(
-        "total_usd", money(F.col("total"))
+    limit, first = (F.lit(2**31 - 1 if n is None else n) for n in (list_limit, top))
+
+    def ranked(df, *order):
+        return df.withColumn("_rn", F.row_number().over(Window.partitionBy("tenant_id", "facet").orderBy(*order)))
+
+    def gathered(facet, cut, item):
+        return F.array_compact(F.collect_list(F.when((F.col("facet") == facet) & (F.col("_rn") <= cut), item)))
+
+    # Rounding keeps the order, so the order of unrounded amounts is that of the rounded ones with ties settled.
+    facets = C.monitoring_facets(costs, as_of, days, tenant_id, aws_account_id).where("facet <> 'date'")
+    facets = ranked(facets, F.col("total").desc(), "service", "service_group", "region").withColumn("total_usd", money(F.col("total")))
+    spend = facets.groupBy("tenant_id").agg(
+        F.max(F.when(F.col("facet") == "total", F.col("total"))).alias("total"),
+        F.count_if(F.col("facet") == "service").alias("services_total"),
+        gathered("service", first, F.struct("_rn", "service", "service_group", "total_usd")).alias("top_services"),
+        gathered("region", first, F.struct("_rn", "region", "total_usd")).alias("top_regions"),
     )
-    regions = C.cost_data_by_region(costs, as_of, days, tenant_id, aws_account_id).withColumn(
-        "total_usd", money(F.col("total"))
-    )
-
-    def ranked(df, name, *fields):
-        # Rank by the rounded amount; equal amounts keep the order of the unrounded list.
-        w = Window.partitionBy("tenant_id").orderBy(F.col("total_usd").desc(), F.col("total").desc(), fields[0])
-        rows = df.withColumn("_rn", F.row_number().over(w))
-        item = F.struct("_rn", *fields, "total_usd")
-        kept = F.array_compact(F.collect_list(F.when(F.col("_rn") <= 10, item)))
-        return rows.groupBy("tenant_id").agg(
-            F.transform(F.array_sort(kept), lambda s: F.struct(*[s[f].alias(f) for f in (*fields, "total_usd")])).alias(name),
-            F.count("*").alias("n"),
-        )
-
-    svc = ranked(services, "top_services", "service", "service_group").withColumnRenamed("n", "service_count")
-    reg = ranked(regions, "top_regions", "region").drop("n")
-    totals = C.cost_data_total(costs, as_of, days, tenant_id, aws_account_id, tenants)
-    summary = I.inventory_summary(inventory, tenant_id, aws_account_id)
-    by_type = I.inventory_by_type(inventory, tenant_id, aws_account_id)
-    by_group = I.inventory_by_service_group(inventory, tenant_id, aws_account_id)
-    types = by_type.groupBy("tenant_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("monthly_cost_usd"), "resource_type", "count")), asc=False).alias("by_type"),
-        F.count("*").alias("total_resource_types"),
-    )
-    groups = by_group.groupBy("tenant_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("monthly_cost_usd"), "service_group", "count")), asc=False).alias("by_group")
+    held = I.inventory_facets(inventory, tenant_id, aws_account_id)
+    held = ranked(held, F.col("monthly_cost_usd").desc(), "resource_type", "service_group")
+    whole = F.col("facet") == "total"
+    stock = held.groupBy("tenant_id").agg(
+        F.max(F.when(whole, F.col("count"))).alias("total_resources"),
+        F.max(F.when(whole, F.col("monthly_cost_usd"))).alias("total_monthly_cost_usd"),
+        F.max(F.when(whole, F.col("idle"))).alias("idle_total"),
+        F.count_if(F.col("facet") == "type").alias("resource_types_total"),
+        F.sort_array(gathered("type", limit, F.struct("monthly_cost_usd", "resource_type", "count")), asc=False).alias("by_type"),
+        F.sort_array(gathered("group", F.lit(2**31 - 1), F.struct("monthly_cost_usd", "service_group", "count")), asc=False).alias("by_group"),
     )
     # Every side has at most one row per tenant.
-    joined = totals.join(summary, "tenant_id", "full_outer")
-    for side in (svc, reg, types, groups):
-        joined = joined.join(side, "tenant_id", "left")
+    joined = spend.join(stock, "tenant_id", "full_outer")
+    if tenants is not None:
+        joined = scoped(tenants, tenant_id).select("tenant_id").distinct().join(joined, "tenant_id", "full_outer")
     zero = F.lit(0).cast("bigint")
+    count = lambda c: F.coalesce(F.col(c), zero)
     empty = lambda c: F.coalesce(F.col(c), F.array())
+
+    def listed(name, *fields):
+        return F.transform(F.array_sort(empty(name)), lambda s: F.struct(*[s[f].alias(f) for f in (*fields, "total_usd")])).alias(name)
+
     return joined.select(
         "tenant_id",
         money(F.coalesce(F.col("total"), F.lit(0))).alias("total_usd"),
         F.lit(days).alias("period_days"),
-        F.coalesce("service_count", zero).alias("service_count"),
-        F.least(F.coalesce("idle_resources", zero), F.lit(20).cast("bigint")).alias("idle_resources"),
-        F.coalesce("total_resource_types", zero).alias("total_resource_types"),
-        empty("top_services").alias("top_services"),
-        empty("top_regions").alias("top_regions"),
+        F.least(count("services_total"), limit).alias("service_count"),
+        F.least(count("idle_total"), limit).alias("idle_resources"),
+        F.least(count("resource_types_total"), limit).alias("total_resource_types"),
+        count("services_total").alias("services_total"),
+        count("idle_total").alias("idle_total"),
+        count("resource_types_total").alias("resource_types_total"),
+        listed("top_services", "service", "service_group"),
+        listed("top_regions", "region"),
         F.struct(
-            F.coalesce("total_resources", zero).alias("total_resources"),
+            count("total_resources").alias("total_resources"),
             F.coalesce("total_monthly_cost_usd", F.lit(0).cast(TOTAL)).alias("total_monthly_cost_usd"),
-            F.coalesce("idle_resources", zero).alias("idle_resources"),
+            count("idle_total").alias("idle_resources"),
             empty("by_type").alias("resources_by_type"),
             empty("by_group").alias("resources_by_service_group"),
         ).alias("resource_summary"),
@@ -108,8 +115,8 @@ def insights_gate(overview: DataFrame) -> DataFrame:
     return overview.select(
         "tenant_id", "total_usd", "total_resource_types",
         (~no_data).alias("success"),
-        F.when(no_data, "No cost or resource data available for the requested tenant/account.")
-        .otherwise("Monitoring insights generated.")
+        F.when(no_data, "no_data")
+        .otherwise("ready")
         .alias("message"),
     )
 

@@ -1,17 +1,28 @@
 """Cost by resource tag."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import TOTAL
 
 UNTAGGED = "(untagged)"
 
 
+def tags_of(lines: DataFrame, column: str) -> Column:
+    """The tags of a line as a map: a map column as it is, a JSON document parsed.
+
+    A document that doesn't parse fails the read; it isn't taken for a line without tags.
+    """
+    if isinstance(lines.schema[column].dataType, T.MapType):
+        return F.col(column)
+    blank = F.trim(F.col(column)) == ""
+    return F.when(~blank, F.from_json(column, "map<string,string>", {"mode": "FAILFAST"}))
+
+
 def tag_extract(lines: DataFrame, key: str, json_col: str = "tags_json") -> DataFrame:
-    """Parse the tag document; the value of one key and whether the key exists."""
-    tags = F.from_json(json_col, "map<string,string>")
-    return lines.withColumn("tags", tags).withColumns(
+    """The tags of a line, the value of one key and whether the key exists. ``json_col`` is JSON text or a map."""
+    return lines.withColumn("tags", tags_of(lines, json_col)).withColumns(
         {
             "tag_value": F.try_element_at("tags", F.lit(key)),
             "has_tag": F.coalesce(F.map_contains_key("tags", key), F.lit(False)),
@@ -21,8 +32,7 @@ def tag_extract(lines: DataFrame, key: str, json_col: str = "tags_json") -> Data
 
 def tag_pairs(lines: DataFrame, json_col: str = "tags_json") -> DataFrame:
     """One row per line and tag; an untagged line keeps one row with NULLs."""
-    tags = F.from_json(json_col, "map<string,string>")
-    return lines.select("*", F.explode_outer(tags).alias("tag_key", "tag_value"))
+    return lines.select("*", F.explode_outer(tags_of(lines, json_col)).alias("tag_key", "tag_value"))
 
 
 def tag_chargeback(lines: DataFrame, key: str, json_col: str = "tags_json") -> DataFrame:

@@ -5,18 +5,23 @@ hot its key is in the facts."""
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import money, pct_change, per_day
+from ..functions import money, months_back, pct_change, per_day
+from ..functions.dates import days_before
 from ..schemas import TOTAL
 from ..sources.tables import scoped
 
 
-def rolling_spend(costs, tenant_id=None, aws_account_id=None, current_days: int = 7, baseline_days: int = 90) -> DataFrame:
+def rolling_spend(
+    costs, tenant_id=None, aws_account_id=None, current_days: int = 7, baseline_days: int = 90, start=None, end=None
+) -> DataFrame:
     """Trailing daily mean of the last 7 days against the 90 days before, per service.
 
-    Calendar-day means: days without spend count as zero.
+    Calendar-day means: days without spend count as zero. Rows are those of ``[start, end)``; what is read begins as
+    many days before ``start`` as the two windows span.
     """
+    first = None if start is None else days_before(start, current_days + baseline_days - 1)
     daily = (
-        scoped(costs, tenant_id, aws_account_id, "DAILY")
+        scoped(costs, tenant_id, aws_account_id, "DAILY", first, end)
         .groupBy("tenant_id", "service", "date")
         .agg(F.sum("cost_usd").alias("day_total"))
         .withColumn("day_no", F.unix_date("date"))
@@ -24,12 +29,13 @@ def rolling_spend(costs, tenant_id=None, aws_account_id=None, current_days: int
     w = Window.partitionBy("tenant_id", "service").orderBy("day_no")
     cur = F.sum("day_total").over(w.rangeBetween(-(current_days - 1), 0))
     base = F.sum("day_total").over(w.rangeBetween(-(current_days + baseline_days - 1), -current_days))
-    return daily.select(
+    rolled = daily.select(
         "tenant_id", "service", "date",
         F.col("day_total").cast(TOTAL).alias("day_total"),
         per_day(cur, current_days).alias("current_avg"),
         per_day(F.coalesce(base, F.lit(0)), baseline_days).alias("baseline_avg"),
     )
+    return scoped(rolled, start=start)
 
 
 def mtd_running_total(costs, budgets, tenant_id=None, start=None, end=None) -> DataFrame:
@@ -68,13 +74,15 @@ def mtd_running_total(costs, budgets, tenant_id=None, start=None, end=None) -> D
 PERIODS = {"day": "DD", "week": "WEEK", "month": "MM"}
 
 
-def period_over_period(costs, period: str = "month", tenant_id=None, end=None) -> DataFrame:
+def period_over_period(costs, period: str = "month", tenant_id=None, end=None, start=None) -> DataFrame:
     """Totals per day, Monday week or month with the period before and the one a year
     ago (12 months for day and month, 52 weeks for week). A period without spend has
-    no row; looking back at one gives NULL."""
+    no row; looking back at one gives NULL. ``start`` is the first day of a period; what is read begins a year and a
+    period before it."""
+    first = None if start is None else months_back(start, 13)
     start_of = F.col("date") if period == "day" else F.trunc("date", PERIODS[period])
     totals = (
-        scoped(costs, tenant_id, None, "DAILY", end=end)
+        scoped(costs, tenant_id, None, "DAILY", first, end)
         .groupBy("tenant_id", start_of.alias("period_start"))
         .agg(F.sum("cost_usd").cast(TOTAL).alias("total_usd"))
     )
@@ -107,7 +115,7 @@ def period_over_period(costs, period: str = "month", tenant_id=None, end=None) -
         .agg(of(0).alias("total_usd"), of(1).alias("previous_usd"), of(2).alias("year_ago_usd"))
         .where(F.col("total_usd").isNotNull())
     )
-    return met.select(
+    return scoped(met, start=start, date_col="period_start").select(
         "tenant_id", "period_start", "total_usd", "previous_usd", "year_ago_usd",
         pct_change(F.col("total_usd"), F.col("previous_usd")).alias("pct_previous"),
         pct_change(F.col("total_usd"), F.col("year_ago_usd")).alias("pct_year_ago"),

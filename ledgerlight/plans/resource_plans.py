@@ -73,11 +73,18 @@ def idle_resources(spark, sf):
     return I.idle_resources(inventory(spark, sf))
 
 
+def stock_json(column):
+    """The list of types or groups as JSON text: most expensive first."""
+    item = f"""'{{"monthly_cost_usd":' || cast(c AS VARCHAR) || ',"{column}":"' || {column} || '","count":' || n || '}}'"""
+    return f"'[' || string_agg({item}, ',' ORDER BY c DESC, {column} DESC) || ']'"
+
+
 SCALARS = ["tenant_id", "total_usd", "period_days", "service_count", "idle_resources", "total_resource_types"]
 OVERVIEW_SQL = f"""SELECT t.tenant_id, cast(round(coalesce(t.total, 0), 2) AS DECIMAL(24,2)) AS total_usd, 30 AS period_days,
   least(20, coalesce(s.n, 0)) AS service_count, least(20, coalesce(i.idle_resources, 0)) AS idle_resources,
   least(20, coalesce(y.n, 0)) AS total_resource_types, coalesce(s.top, '[]') AS top_services, coalesce(r.top, '[]') AS top_regions,
-  coalesce(i.total_resources, 0) AS total_resources
+  coalesce(i.total_resources, 0) AS total_resources, coalesce(y.n, 0) AS resource_types_total, coalesce(i.idle_resources, 0) AS idle_total,
+  coalesce(s.n, 0) AS services_total, coalesce(y.by_type, '[]') AS by_type, coalesce(g.by_group, '[]') AS by_group
 FROM (SELECT tenant_id, sum(cost_usd) FILTER (WHERE date >= {D} - 30) AS total FROM cost_records GROUP BY 1) t
 LEFT JOIN (SELECT tenant_id, count(*) AS n, '[' || string_agg('{{"service":"' || service || '","service_group":"' || service_group
       || '","total_usd":' || cast(m AS VARCHAR) || '}}', ',' ORDER BY m DESC, c DESC, service) FILTER (WHERE rn <= 10) || ']' AS top
@@ -88,7 +95,10 @@ LEFT JOIN (SELECT tenant_id, '[' || string_agg('{{"region":"' || region || '","t
   FROM (SELECT tenant_id, region, cast(round(sum(cost_usd), 2) AS DECIMAL(24,2)) AS m
     FROM cost_records WHERE date >= {D} - 30 GROUP BY 1, 2) GROUP BY 1) r USING (tenant_id)
 LEFT JOIN ({SUMMARY}) i USING (tenant_id)
-LEFT JOIN (SELECT tenant_id, count(DISTINCT resource_type) AS n FROM inventory GROUP BY 1) y USING (tenant_id)"""
+LEFT JOIN (SELECT tenant_id, count(*) AS n, {stock_json('resource_type')} AS by_type
+  FROM (SELECT tenant_id, resource_type, count(*) AS n, {COST} AS c FROM inventory GROUP BY 1, 2) GROUP BY 1) y USING (tenant_id)
+LEFT JOIN (SELECT tenant_id, {stock_json('service_group')} AS by_group
+  FROM (SELECT tenant_id, service_group, count(*) AS n, {COST} AS c FROM inventory GROUP BY 1, 2) GROUP BY 1) g USING (tenant_id)"""
 
 
 def overview_df(spark, sf):
@@ -102,15 +112,17 @@ def overview(spark, sf):
     """Scalars as they are, the two lists as JSON text."""
     return overview_df(spark, sf).select(
         *SCALARS, F.to_json("top_services").alias("top_services"), F.to_json("top_regions").alias("top_regions"),
-        F.col("resource_summary.total_resources").alias("total_resources"),
+        F.col("resource_summary.total_resources").alias("total_resources"), "resource_types_total", "idle_total", "services_total",
+        F.to_json("resource_summary.resources_by_type").alias("by_type"),
+        F.to_json("resource_summary.resources_by_service_group").alias("by_group"),
     )
 
 
 @query(
     "insights_gate",
     f"""SELECT tenant_id, total_usd, total_resource_types, NOT (total_usd <= 0 AND total_resource_types = 0) AS success,
-  CASE WHEN total_usd <= 0 AND total_resource_types = 0 THEN 'No cost or resource data available for the requested tenant/account.'
-       ELSE 'Monitoring insights generated.' END AS message FROM ({OVERVIEW_SQL})""",
+  CASE WHEN total_usd <= 0 AND total_resource_types = 0 THEN 'no_data'
+       ELSE 'ready' END AS message FROM ({OVERVIEW_SQL})""",
 )
 def insights_gate(spark, sf):
     return R.insights_gate(overview_df(spark, sf))

@@ -1,11 +1,14 @@
 """Reads of one tenant or account, tiny charges, and the fact table that syncs leave."""
 
 from ..functions.dates import days_before
+from ..operators import anomaly as A
 from ..operators import costs as C
-from ..schemas import COST
+from ..operators import inventory as I
+from ..operators import quality as Q
+from ..schemas import COST, DOMAINS
 from ..sinks import run_dir, write_cost_table
 from ..sources import feed, sample, tables
-from ..sources.sample import AS_OF, PRIOR_AS_OF
+from ..sources.sample import AS_OF, EVENTS_AS_OF, PRIOR_AS_OF
 from .budget_plans import ALERT, BUDGET, stamp, status, stored_alerts
 from .ingest_plans import RECORD, RECORD_SQL
 from .registry import CATALOG, query
@@ -89,3 +92,40 @@ def sync_fact_table(spark, sf):
         now = run_ingestion(lines, owners, limits, spark.read.parquet(facts), stored_alerts(spark, sf), day, stamp(day))
         stored_sync(now, facts, found, min(batch, 1))
     return spark.read.parquet(facts).select(*STORED.split(", "))
+
+
+def outside(source, name, column, domain):
+    allowed = ", ".join(f"'{v}'" for v in DOMAINS[domain])
+    return f"SELECT '{name}.{column}' AS check_name, count(*) FILTER (WHERE {column} IS NULL OR {column} NOT IN ({allowed})) AS violations FROM ({source}) AS t"
+
+
+CHECKED = {
+    "cost_records": ("SELECT * FROM cost_records", {"granularity": "granularity", "service_group": "service_group"}),
+    "budgets": ("SELECT * FROM budgets", {"period": "budget_period"}),
+    "alerts": ("SELECT * FROM stored_alerts", {"severity": "severity", "state": "alert_state"}),
+    "anomalies": (CATALOG["anomaly_events"].sql, {"anomaly_type": "anomaly_type", "severity": "severity"}),
+    "forecasts": (CATALOG["forecast_records"].sql, {"method": "forecast_method"}),
+    "agent_runs": ("SELECT * FROM agent_log", {"status": "run_status"}),
+    "inventory": ("SELECT * FROM inventory", {"state": "resource_state"}),
+    "pulled": ("SELECT 'MONTHLY' AS granularity, service AS service_group FROM cost_records", {"granularity": "granularity", "service_group": "service_group"}),
+}
+
+
+@query(
+    "domain_violations",
+    " UNION ALL ".join(outside(source, name, c, d) for name, (source, columns) in CHECKED.items() for c, d in columns.items()),
+)
+def domain_violations(spark, sf):
+    """Every declared domain over the tables that have it; the last table has service names where groups belong."""
+    costs = sample.cost_records(spark, sf)
+    frames = {
+        "cost_records": costs,
+        "budgets": sample.budgets(spark, sf, costs),
+        "alerts": stored_alerts(spark, sf),
+        "anomalies": A.anomaly_events(costs, AS_OF),
+        "forecasts": CATALOG["forecast_records"].build(spark, sf),
+        "agent_runs": sample.agent_runs(spark, sf),
+        "inventory": I.resource_inventory(sample.resource_utilization(spark, sf), EVENTS_AS_OF),
+        "pulled": costs.selectExpr("'MONTHLY' AS granularity", "service AS service_group"),
+    }
+    return Q.key_violations([Q.domain_violations(frames[name], name, columns) for name, (_, columns) in CHECKED.items()])

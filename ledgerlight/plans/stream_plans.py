@@ -11,10 +11,15 @@ from .registry import query
 from .views import event_account, event_tenant
 
 
+FILES = 4
+
+
 def event_stream(spark, sf):
-    """The event table as a file stream."""
-    schema = sample.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The event table as a stream of ``FILES`` files in the order of event ids, one file a micro-batch."""
+    events = sample.table(spark, sf, "events")
+    folder = run_dir(spark, "events")
+    events.repartitionByRange(FILES, "event_id").write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def event_records(ev):
@@ -83,15 +88,16 @@ def event_alerts(ev):
 
 @query(
     "stream_alert_dedup",
-    f"""SELECT tenant_id, budget_id, count(*) AS alerts FROM (
-SELECT DISTINCT {event_tenant()} AS tenant_id, 'b-' || user_id AS budget_id, 0 AS event_id FROM events WHERE event_type <> 'click'
-UNION ALL SELECT {event_tenant()}, NULL, event_id FROM events WHERE event_type = 'click') GROUP BY 1, 2""",
+    f"""SELECT tenant_id, budget_id, 1 AS alerts, arg_min(account, event_id) AS aws_account_id FROM (
+SELECT {event_tenant()} AS tenant_id, 'b-' || user_id AS budget_id, {event_account()} AS account, event_id FROM events WHERE event_type <> 'click') GROUP BY 1, 2
+UNION ALL SELECT tenant_id, NULL, count(*), NULL FROM (SELECT {event_tenant()} AS tenant_id FROM events WHERE event_type = 'click') GROUP BY 1""",
 )
 def stream_alert_dedup(spark, sf):
     out = run_dir(spark, "alerts")
     S.stream_alert_dedup(event_alerts(event_stream(spark, sf)), f"{out}/table", f"{out}/checkpoint")
     stored = spark.read.schema("tenant_id string, budget_id string, aws_account_id string, state string").parquet(f"{out}/table")
-    return stored.groupBy("tenant_id", "budget_id").agg(F.count("*").alias("alerts"))
+    account = F.when(F.col("budget_id").isNotNull(), F.max("aws_account_id"))
+    return stored.groupBy("tenant_id", "budget_id").agg(F.count("*").alias("alerts"), account.alias("aws_account_id"))
 
 
 @query(
@@ -99,12 +105,12 @@ def stream_alert_dedup(spark, sf):
     """SELECT tenant_id, aws_account_id, hour, cast(cur AS DECIMAL(28,6)) AS current_usd, cast(base AS DECIMAL(28,6)) AS baseline_usd,
   round((cur::DOUBLE / 48 - base::DOUBLE / 240) / (base::DOUBLE / 240) * 100, 2) AS percent_change
 FROM (SELECT h.tenant_id, h.aws_account_id, h.hour, sum(o.t) FILTER (WHERE o.hour > h.hour - INTERVAL 48 HOUR) AS cur,
-    sum(o.t) FILTER (WHERE o.hour <= h.hour - INTERVAL 48 HOUR) AS base
+    sum(o.t) FILTER (WHERE o.hour <= h.hour - INTERVAL 48 HOUR) AS base, min(o.hour) AS oldest
   FROM (SELECT tenant_id, aws_account_id, date_trunc('hour', ts) AS hour, sum(cost_usd) AS t FROM tagged_lines GROUP BY ALL) h
   JOIN (SELECT tenant_id, aws_account_id, date_trunc('hour', ts) AS hour, sum(cost_usd) AS t FROM tagged_lines GROUP BY ALL) o
     ON o.tenant_id = h.tenant_id AND o.aws_account_id = h.aws_account_id AND o.hour <= h.hour AND o.hour > h.hour - INTERVAL 288 HOUR
   GROUP BY ALL)
-WHERE base > 0 AND (cur::DOUBLE / 48 - base::DOUBLE / 240) / (base::DOUBLE / 240) * 100 > 50""",
+WHERE base > 0 AND oldest <= hour - INTERVAL 168 HOUR AND (cur::DOUBLE / 48 - base::DOUBLE / 240) / (base::DOUBLE / 240) * 100 > 50""",
 )
 def stream_hourly_spikes(spark, sf):
     """Two days against the ten before them, as the table holds one month."""

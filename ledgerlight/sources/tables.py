@@ -64,6 +64,17 @@ def top_n(df: DataFrame, n: int, order: list, tenant_id=None, by=("tenant_id",))
     return cut(df, *by)
 
 
+def join_per_tenant(rows: DataFrame, per_tenant: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """Rows met with the one row that ``per_tenant`` has for each tenant.
+
+    The few rows of ``per_tenant`` are copied to ``SALTS`` slices, and rows go to a slice by the hash of ``spread``, so
+    a tenant that holds most rows isn't one task's work, broadcast or not.
+    """
+    copies = per_tenant.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return sliced.join(copies, ["tenant_id", "_slice"], how).drop("_slice")
+
+
 def scan_cost_records(
     costs: DataFrame, tenant_id=None, aws_account_id=None, granularity="DAILY", start=None, end=None
 ) -> DataFrame:

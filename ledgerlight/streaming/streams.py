@@ -122,7 +122,8 @@ def hourly_spikes(
     """Hours at which the last 7 days run more than 50 % above the days before them.
 
     Both windows slide by the hour over the hourly sums; a scope has at most one row
-    per hour. Means are per calendar hour.
+    per hour. Means are per calendar hour. A scope whose history reaches back over less
+    than half of the baseline is still warming up and has no spikes.
     """
     cur_h, base_h = current_days * 24, baseline_days * 24
     hour_no = F.date_diff(F.col("hour").cast("date"), F.lit("1970-01-01").cast("date")) * 24 + F.hour("hour")
@@ -130,7 +131,9 @@ def hourly_spikes(
     w = Window.partitionBy(*keys).orderBy("hour_no")
     current = F.sum("total_usd").over(w.rangeBetween(-(cur_h - 1), 0))
     base = F.sum("total_usd").over(w.rangeBetween(-(cur_h + base_h - 1), -cur_h))
-    sums = rows.withColumns({"current_usd": current.cast(TOTAL), "baseline_usd": base.cast(TOTAL)})
+    oldest = F.min("hour_no").over(w.rangeBetween(-(cur_h + base_h - 1), 0))
+    sums = rows.withColumns({"current_usd": current.cast(TOTAL), "baseline_usd": base.cast(TOTAL), "oldest": oldest})
+    sums = sums.where(F.col("oldest") <= F.col("hour_no") - cur_h - base_h // 2)
     cur_avg, base_avg = F.col("current_usd").cast("double") / cur_h, F.col("baseline_usd").cast("double") / base_h
     pct = (cur_avg - base_avg) / base_avg * 100
     return sums.where((F.col("baseline_usd") > 0)).where(pct > threshold_pct).select(

@@ -41,10 +41,32 @@ def rows(df):
 # ---- names, ids, amounts
 
 
+# What each service name has to give, written out.
+EXPECTED_GROUPS = [
+    ("Amazon EC2", "compute"), ("EC2 - Other", "compute"), ("AWS Lambda", "compute"), ("Amazon ECS", "compute"),
+    ("Amazon EKS", "compute"), ("AWS Fargate", "compute"), ("Amazon Lightsail", "compute"), ("AWS Batch", "compute"),
+    ("Amazon S3", "storage"), ("Amazon Simple Storage Service", "storage"), ("Amazon EBS", "storage"),
+    ("Amazon Elastic Block Store", "storage"), ("Amazon EFS", "storage"), ("Amazon S3 Glacier", "storage"),
+    ("Amazon FSx", "storage"), ("AWS Storage Gateway", "storage"), ("Amazon RDS", "database"),
+    ("Amazon Relational Database Service", "database"), ("Amazon DynamoDB", "database"),
+    ("Amazon ElastiCache", "database"), ("Amazon Redshift", "database"), ("Amazon Aurora", "database"),
+    ("Amazon DocumentDB", "database"), ("Amazon Neptune", "database"), ("Amazon MemoryDB", "database"),
+    ("Amazon CloudFront", "network"), ("Amazon Route 53", "network"), ("Amazon VPC", "network"),
+    ("Amazon API Gateway", "network"), ("AWS Transit Gateway", "network"), ("Amazon Global Accelerator", "network"),
+    ("AWS Direct Connect", "network"), ("AWS PrivateLink", "network"), ("Amazon SageMaker", "ai_ml"),
+    ("Amazon Bedrock", "ai_ml"), ("Amazon Rekognition", "ai_ml"), ("Amazon Comprehend", "ai_ml"),
+    ("Amazon Textract", "ai_ml"), ("Amazon Polly", "ai_ml"), ("Amazon Translate", "ai_ml"),
+    ("Amazon Athena", "analytics"), ("Amazon EMR", "analytics"), ("Amazon Kinesis", "analytics"),
+    ("AWS Glue", "analytics"), ("Amazon QuickSight", "analytics"), ("Amazon CloudWatch", "management"),
+    ("AWS CloudTrail", "management"), ("AWS Config", "management"), ("AWS Systems Manager", "management"),
+    ("AWS CloudFormation", "management"), ("AWS CodeBuild", "management"), ("AWS CodePipeline", "management"),
+]
+
+
 def test_all_exact_names(spark):
-    names = [(n, g) for g, group in SERVICE_GROUPS.items() for n in group]
-    assert len(names) == 52
-    df = spark.createDataFrame(names, "service string, expected string")
+    assert len(EXPECTED_GROUPS) == 52
+    assert sorted(EXPECTED_GROUPS) == sorted((n, g) for g, names in SERVICE_GROUPS.items() for n in names)
+    df = spark.createDataFrame(EXPECTED_GROUPS, "service string, expected string")
     assert df.where(service_group("service") != F.col("expected")).count() == 0
 
 
