@@ -54,7 +54,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(table(spark, sf_dir, "embeddings"))
 
 
-@query("op7_revisits")
+@query("op7_revisits", revisits.ORACLE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisits.listed(revisits.resolve(revisits.crawl_log(table(spark, sf_dir, "pages"))))
 

@@ -132,3 +132,42 @@ def crawl_log(pages: DataFrame) -> DataFrame:
             F.when(full, F.lit("server")).otherwise(F.lit("expires")), F.concat(F.lit("e"), p.cast("string")),
         ).alias("headers"),
     )
+
+
+#: The crawl log of the given pages, resolved, in DuckDB: one window over all captures of a URL.
+ORACLE = rf"""
+WITH bare AS (
+  SELECT page_id AS p, md5(coalesce(html, '')) AS hash, url,
+    regexp_replace(regexp_replace(regexp_replace(url, '#.*$', '', 'g'),
+      '([?&])(?:(?:{TRACKING})=[^&]*(?:&|$))+', '\1', 'g'), '[?&]+$', '', 'g') AS b
+  FROM pages
+),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[A-Za-z]+://([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(b, '^[A-Za-z]+://[^/?]*(.*)$', 1), '/+($|\?)', '\1', 'g') AS path
+  FROM bare
+),
+visits AS (
+  SELECT p, hash, v, CASE WHEN length(host) > 0 THEN host || path ELSE b END AS canonical,
+    (v = 0 AND p % 7 <> 3) OR (v = 2 AND p % 3 = 0) AS stored, CASE WHEN v >= 2 AND p % 3 = 0 THEN 2 ELSE 1 END AS version
+  FROM parts, (SELECT unnest([0, 1, 2, 3]) AS v)
+),
+captures AS (
+  SELECT p * 4 + v AS record_id, canonical, CAST(v AS BIGINT) * 1000000000 + p AS captured, p, v, stored, hash || '-' || version AS digest, 'v' || version AS modified,
+    CASE WHEN v = 3 AND p % 2 = 0 THEN NULL WHEN v = 1 AND p % 5 = 0 THEN '"old"' ELSE '"' || left(hash, 12) || '-' || version || '"' END AS tag
+  FROM visits
+),
+met AS (
+  SELECT *, last_value(CASE WHEN stored THEN {{'id': record_id, 'tag': tag, 'modified': modified, 'digest': digest, 'p': p}} END IGNORE NULLS)
+    OVER (PARTITION BY canonical ORDER BY captured, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e
+  FROM captures
+),
+judged AS (
+  SELECT *, CASE WHEN e IS NULL THEN 'unresolved'
+    WHEN CASE WHEN tag IS NOT NULL THEN coalesce(tag = e.tag, false) ELSE modified = e.modified END THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM met WHERE NOT stored
+)
+SELECT CAST(record_id AS BIGINT) AS record_id, canonical, CAST(captured AS BIGINT) AS captured, outcome, CAST(e.id AS BIGINT) AS refers_to,
+  CASE WHEN outcome = 'resolved' THEN e.digest END AS digest,
+  CASE WHEN outcome = 'resolved' THEN 'content-type: text/html; date: visit ' || v || '; expires: e' || p || '; server: e' || e.p END AS headers
+FROM judged"""
