@@ -151,9 +151,13 @@ def sample_features(docs: DataFrame, labelled: DataFrame, spec: Spec, id_col: st
 
 def informative(rows: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
     """Features in at least 3 rows with the largest likelihood ratio against the label, sorted."""
-    keys, at = np.unique(np.concatenate([*rows, np.empty(0, np.int64)]), return_inverse=True)
-    weight = np.repeat(labels, [len(r) for r in rows])
-    held, ones = np.bincount(at, minlength=len(keys)).astype(float), np.bincount(at, weight, len(keys))
+    space = 1 + max((int(r.max(initial=-1)) for r in rows), default=-1)
+    held, ones = np.zeros(space), np.zeros(space)  # as large as there are buckets, however many rows
+    for r, label in zip(rows, labels, strict=True):
+        held[r] += 1
+        ones[r] += label
+    keys = np.flatnonzero(held >= 3)
+    held, ones = held[keys], ones[keys]
     n, total = float(len(rows)), float(labels.sum())
 
     def term(seen, expected):
@@ -161,14 +165,14 @@ def informative(rows: list[np.ndarray], labels: np.ndarray, most: int) -> np.nda
 
     ratio = term(ones, held * total / n) + term(held - ones, held * (n - total) / n)
     ratio += term(total - ones, (n - held) * total / n) + term(n - held - total + ones, (n - held) * (n - total) / n)
-    fit = np.flatnonzero((held >= 3) & (ratio > 2.0))
+    fit = np.flatnonzero(ratio > 2.0)
     return np.sort(keys[fit[np.lexsort((fit, -ratio[fit]))][:most]])
 
 
 def fit(rows: list, spec: Spec) -> Model:
     """Train on (id, label, packed features). Without rows every score is 0.5; with one class it is near that class."""
     labels = np.array([r[1] for r in rows], float)
-    sparse = [np.frombuffer(r[2], np.int32).astype(np.int64) for r in rows]
+    sparse = [np.frombuffer(r[2], np.int32) for r in rows]
     rng = np.random.default_rng(spec.seed)
     keys = informative(sparse, labels, spec.selected) if rows else np.empty(0, np.int64)
     d, k = len(keys), spec.factors
