@@ -198,15 +198,31 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
+#: What 1, 2, 4, ... zero bytes make of a CRC-32, as matrices over bits; made when first needed.
+_ZEROS: list[list[int]] = []
+
+
+def _zeros(k: int) -> list[int]:
+    while len(_ZEROS) <= k:
+        last = _ZEROS[-1] if _ZEROS else None
+        if last is None:
+            last = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit; three squarings make a byte
+            for _ in range(3):
+                last = [_times(last, x) for x in last]
+            _ZEROS.append(last)
+        else:
+            _ZEROS.append([_times(last, x) for x in last])
+    return _ZEROS[k]
+
+
 def crc_of_both(a: int, b: int, length: int) -> int:
     """CRC-32 of two strings put together, from theirs and the bytes in the second."""
-    power = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
-    length *= 8
+    k = 0
     while length:
         if length & 1:
-            a = _times(power, a)
-        power = [_times(power, x) for x in power]
+            a = _times(_zeros(k), a)
         length >>= 1
+        k += 1
     return a ^ b
 
 
