@@ -21,6 +21,7 @@ columns of the input, whatever their names, are not read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -36,6 +37,9 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS_SCHEMA = "doc_id long, ids array<int>"
 
 
+BYTES = [bytes((b,)) for b in range(256)]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -47,6 +51,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_edges: int = 500_000, max_pieces: int = 400_000):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.beginnings = {token[:k] for token in ranks for k in range(1, len(token))}
         self.max_edges, self.max_pieces = max_edges, max_pieces
@@ -116,8 +121,8 @@ class Transducer:
     def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         """The next state, and the tokens that are certain once this byte is read."""
         emitted_last, data, last = state
-        data += bytes((byte,))
-        n = len(data)
+        data += BYTES[byte]
+        n, beginnings = len(data), self.beginnings
         for k in range(max(0, n - self.longest), n):
             token = self.ranks.get(data[k:])
             if token is not None and self.compatible(last[k - 1] if k else emitted_last, token):
@@ -125,28 +130,31 @@ class Transducer:
         else:
             raise ValueError("a byte is missing in the vocabulary")
         last += (token,)
-        if data in self.beginnings:  # a longer token may still start where these bytes start
+        if data in beginnings:  # a longer token may still start where these bytes start
             return (emitted_last, data, last), ()
-        shared = self.chain(data, last, n)
-        for p in range(max(1, n - self.longest + 1), n):
-            if data[p:] in self.beginnings:
-                other = self.chain(data, last, p)
-                same = 0
-                while same < min(len(shared), len(other)) and shared[same] == other[same]:
-                    same += 1
-                del shared[same:]
-                if not shared:
+        # All positions where the next token could start; what their chains of tokens have in common is certain.
+        length, path = self.length, None
+        for p in range(max(1, n - self.longest + 1), n + 1):
+            if p == n or data[p:] in beginnings:
+                if path is None:
+                    path = self.chain(last, p)
+                    continue
+                while p and p not in path:
+                    p -= length[last[p - 1]]
+                if not p:
                     return (emitted_last, data, last), ()
-        cut = shared[-1]
-        return (last[cut - 1], data[cut:], last[cut:]), tuple(last[p - 1] for p in shared)
+                del path[path.index(p) + 1 :]
+        cut = path[-1]
+        return (last[cut - 1], data[cut:], last[cut:]), tuple([last[p - 1] for p in path])
 
-    def chain(self, data: bytes, last: tuple[int, ...], p: int) -> list[int]:
+    def chain(self, last: tuple[int, ...], p: int) -> list[int]:
         """Ends of the tokens that make up the first ``p`` bytes."""
         out = []
         while p > 0:
             out.append(p)
-            p -= len(self.bytes_of[last[p - 1]])
-        return out[::-1]
+            p -= self.length[last[p - 1]]
+        out.reverse()
+        return out
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         known = self.pieces.get(piece)
@@ -164,9 +172,9 @@ class Transducer:
                 self.edges += 1
             row, state, emitted = edge
             if emitted:
-                out.extend(emitted)
-        _, data, last = state
-        out.extend(last[p - 1] for p in self.chain(data, last, len(data)))
+                out += emitted
+        last = state[2]
+        out += [last[p - 1] for p in self.chain(last, len(last))]
         ids = tuple(out)
         if len(piece) <= 64:
             if len(self.pieces) >= self.max_pieces:
@@ -224,16 +232,21 @@ class Decoder:
     def bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def stream(self, chunks: Iterable[Iterable[int]]) -> Iterator[str]:
-        """Text for each chunk of ids; a character cut by the end of a chunk comes with the next one."""
+    def whole_characters(self, chunks: Iterable[Iterable[int]]) -> Iterator[bytes]:
+        """Bytes for each chunk of ids; a character cut by the end of a chunk comes with the next one."""
         rest = b""
         for ids in chunks:
             data = rest + self.bytes(ids)
             cut = len(data) - open_bytes(data)
-            data, rest = data[:cut], data[cut:]
-            yield data.decode("utf-8", errors="replace")
+            rest = data[cut:]
+            yield data[:cut]
         if rest:
-            yield rest.decode("utf-8", errors="replace")
+            yield rest
+
+    def stream(self, chunks: Iterable[Iterable[int]]) -> Iterator[str]:
+        """Text for each chunk of ids."""
+        for data in self.whole_characters(chunks):
+            yield data.decode("utf-8", errors="replace")
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -287,12 +300,13 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 decoded = hashlib.sha256()
-                for chunk in decoder.stream(ids[i : i + 8192] for i in range(0, len(ids), 8192)):
-                    decoded.update(chunk.encode())
+                for chunk in decoder.whole_characters(ids[i : i + 8192] for i in range(0, len(ids), 8192)):
+                    decoded.update(chunk)
                 text_sha.append(decoded.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+            gc.freeze()  # what the encoder remembers needn't be searched for garbage again
 
     return arrow_map(docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text"), run, SCHEMA)
