@@ -7,7 +7,7 @@
    the hash of a part. An empty part says nothing; where three or more parts are empty, documents meet by that instead.
    Sizes fall into bands with their own d; a set near the upper end of its band is dealt in the next one too. Unlike
    single shingles, a part is rarely the same just because two texts share a passage.
-   Neighbours in the list of a part are joined by an edge; its components are the groups that have to be searched.
+   Each document is joined by an edge to the first one of a part; the components are the groups that are searched.
 3. *T-occurrence search* in each group. Inverted lists map shingles to documents, in order of size. For a document with
    n shingles, a partner occurs in T = ceil(t n) of its lists at least. The longest lists are set aside; the short
    ones are merged by a heap, and what occurs often enough in these is looked up in the long lists by binary search.
@@ -211,7 +211,8 @@ def _chunks(rows: int, shingles: int):
 
 
 def linked_components(docs, meet: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, rows: int, shingles: int) -> DataFrame:
-    """``a``, ``b``: links that connect all that is linked, found within the groups ``meet`` (``id``, ``label``)."""
+    """Links ``a``, ``b`` that connect all that is linked, found within the groups ``meet`` (``id``, ``label``), and
+    their components, or None where links were added after these were made."""
     wanted = meet.select(F.col("id").alias("doc_id"), "label")
     sets = materialise(with_sets(docs, wanted, n, id_col, text_col), "sets")
     count, chunk = _chunks(rows, shingles)
@@ -224,9 +225,10 @@ def linked_components(docs, meet: DataFrame, n: int, num: int, den: int, id_col:
     near = searched(all_rows.withColumn("label", F.col("doc_id")), ["group", "chunk"], num, den)
     near = materialise(near, "links")
     large = groups.where("chunks > 1").select(F.col("label").alias("group"), "chunks")
+    labels = materialise(components(near), "labels")
     if large.isEmpty():
-        return near
-    found = components(near).select(F.col("id").alias("doc_id"), F.col("label").alias("found"))
+        return near, labels
+    found = labels.select(F.col("id").alias("doc_id"), F.col("label").alias("found"))
     parts = sets.select("doc_id", "size", F.col("label").alias("group")).join(large, "group").join(found, "doc_id", "left")
     parts = materialise(parts.withColumn("found", F.coalesce("found", "doc_id")), "parts")
     sums = parts.groupBy("group", "found").agg(F.count("*").alias("docs"), F.sum("size").alias("total"))
@@ -235,7 +237,7 @@ def linked_components(docs, meet: DataFrame, n: int, num: int, den: int, id_col:
     count, _ = _chunks(rows, shingles)
     outside = materialise(outside.select("group", count.alias("strays")).join(main.select("group", "main"), "group"), "groups")
     if outside.isEmpty():
-        return near
+        return near, labels
     left = sets.select("doc_id", "shingles", F.col("label").alias("group")).join(parts.select("doc_id", "group", "found", "chunks"), ["doc_id", "group"])
     left = left.join(outside, "group").withColumn("label", F.col("found"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
@@ -244,7 +246,8 @@ def linked_components(docs, meet: DataFrame, n: int, num: int, den: int, id_col:
     everyone = left.withColumn("chunk", own).withColumn("stray", F.explode(F.expr("sequence(0, strays - 1)"))).select(*columns)
     strays = left.where("found <> main").withColumn("stray", stray).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
     far = searched(everyone.union(strays.select(*columns)), ["group", "chunk", "stray"], num, den)
-    return near.union(materialise(far, "links"))
+    far = materialise(far, "links")
+    return near.union(far), labels if far.isEmpty() else None
 
 
 def join(
@@ -267,14 +270,16 @@ def join(
     same = materialise(named.groupBy("same").agg(F.min("doc_id").alias("first")), "copies")
     firsts = named.join(same.withColumnRenamed("first", "doc_id"), ["same", "doc_id"])
     listed = firsts.select(F.explode("parts").alias("part"), "doc_id")
-    before = F.expr("lag(doc_id) OVER (PARTITION BY part ORDER BY doc_id)")
-    meet = listed.select("doc_id", before.alias("other")).where("other <> doc_id").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-    found = linked_components(docs, components(meet), n, num, den, id_col, text_col, rows, shingles)
+    first = F.expr("first(doc_id) OVER (PARTITION BY part ORDER BY doc_id)")
+    meet = listed.select("doc_id", first.alias("other")).where("other <> doc_id").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    found, labels = linked_components(docs, components(meet), n, num, den, id_col, text_col, rows, shingles)
     # Texts under one id belong together.
     pairs = named.select("doc_id", "same").join(same, "same").select("doc_id", "first")
     texts_of = pairs.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count("*").alias("n")).where("n > 1 AND a <> b")
-    versions = pairs.join(texts_of.select("doc_id", "a"), "doc_id").select("a", F.col("first").alias("b"))
-    labels = components(found.union(versions)).select(F.col("id").alias("first"), "label")
+    versions = materialise(pairs.join(texts_of.select("doc_id", "a"), "doc_id").select("a", F.col("first").alias("b")), "versions")
+    if labels is None or not versions.isEmpty():
+        labels = components(found.union(versions))
+    labels = labels.select(F.col("id").alias("first"), "label")
     result = base.select("doc_id", "n_shingles", "same").join(same, "same", "left").join(labels, "first", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("label", "first")).otherwise(F.col("doc_id")))
     return result.select("doc_id", "n_shingles", component.alias("component_id"))
