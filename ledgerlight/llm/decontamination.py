@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, materialise, mix, texts, windows
+from .common import WordHashes, arrow_map, materialise, small_or_not, texts, windows
 
 WINDOW, LEAST = 13, 0.8
 #: Offsets of the words that count; any two other words of thirteen may differ for one of the masks.
 MASKS = ((0, 2, 3, 4, 6, 7, 8), (0, 1, 2, 5, 7, 8, 9), (0, 1, 4, 5, 6, 9, 11))
 #: Bits of the filter for each seed, and the most it may have: 16 MB.
-BITS_PER_SEED, MOST_BITS, PROBES = 24, 1 << 27, 4
+BITS_PER_SEED, MOST_BITS, PROBES = 64, 1 << 27, 4
 
 _WORDS = WordHashes()
 _VIEW = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -82,11 +82,9 @@ def item_seeds(benchmark: DataFrame, window: int, least: float) -> DataFrame:
     return arrow_map(benchmark, run, "item_id long, mask string, place int, seed long")
 
 
-def _probes(seeds_: np.ndarray, bits: int):
-    h = mix(seeds_)
-    step = (h >> np.uint64(33)) | np.uint64(1)
-    for i in range(PROBES):
-        yield (h + np.uint64(i) * step) & np.uint64(bits - 1)
+def _probe(seeds_: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """Seeds are mixed hashes already; their halves give as many bits as are wanted."""
+    return (seeds_ + np.uint64(i) * ((seeds_ >> np.uint64(33)) | np.uint64(1))) & np.uint64(bits - 1)
 
 
 def bloom(found: DataFrame, bits: int) -> np.ndarray:
@@ -95,7 +93,7 @@ def bloom(found: DataFrame, bits: int) -> np.ndarray:
     def run(batches):
         for b in batches:
             s = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.unique(np.concatenate(list(_probes(s, bits)))) if len(s) else np.empty(0, np.uint64)
+            at = np.unique(np.concatenate([_probe(s, i, bits) for i in range(PROBES)])) if len(s) else np.empty(0, np.uint64)
             word, first = np.unique(at >> np.uint64(6), return_index=True)
             value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
@@ -108,11 +106,12 @@ def bloom(found: DataFrame, bits: int) -> np.ndarray:
 
 
 def passes(table: np.ndarray, seeds_: np.ndarray) -> np.ndarray:
-    bits = len(table) * 64
-    ok = np.ones(len(seeds_), bool)
-    for at in _probes(seeds_, bits):
-        ok &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return ok
+    """Places of the seeds that the filter holds; each probe looks only at what passed the ones before."""
+    places = np.arange(len(seeds_))
+    for i in range(PROBES):
+        at = _probe(seeds_[places], i, len(table) * 64)
+        places = places[(table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+    return places
 
 
 def suspects(docs: DataFrame, masks: list[tuple[int, ...]], table: np.ndarray) -> DataFrame:
@@ -126,7 +125,7 @@ def suspects(docs: DataFrame, masks: list[tuple[int, ...]], table: np.ndarray) -
                 hit, at = [], []
                 for offsets in masks:
                     s = seeds(words, offsets)
-                    places = np.flatnonzero(passes(table, s))
+                    places = passes(table, s)
                     hit += s[places].view(np.int64).tolist()
                     at += places.tolist()
                 if hit:
@@ -188,4 +187,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents, with all their columns, that contain no passage of an item."""
     taken = overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(taken, id_col, "left_anti").select(*docs.columns)
+    return docs.join(small_or_not(materialise(taken, "contaminated")), id_col, "left_anti").select(*docs.columns)
