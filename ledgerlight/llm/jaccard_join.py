@@ -3,11 +3,13 @@
 1. A task turns each text into its set of word shingles, as 64-bit hashes. Documents with equal sets are one from here
    on: the smallest id stands for all of them, so copies are never paired with each other.
 2. *Who has to meet.* Two sets that link differ in few elements, at most d by the size of the larger. If shingles are
-   dealt by hash to d + 3 parts, three parts at least hold the same shingles in both sets, so documents meet by
-   the hash of a part. An empty part says nothing; where three or more parts are empty, documents meet by that instead.
-   Sizes fall into bands with their own d; a set near the upper end of its band is dealt in the next one too. Unlike
-   single shingles, a part is rarely the same just because two texts share a passage.
-   Each document is joined by an edge to the first one of a part; the components are the groups that are searched.
+   dealt by hash to d + 1 + s parts, s + 1 parts at least hold the same shingles in both sets. A part is weak if it is
+   empty or more than two documents hold it. Documents meet by the hash of a part that isn't weak. If all the s + 1 are
+   weak, both documents have more than s weak parts; such documents meet by all their parts, and those with more than
+   s empty ones also by a constant. s is above the empty parts to be expected, so the constant is rare, and a line that
+   many documents have brings together no documents that differ otherwise.
+   Sizes fall into bands with their own d and s; a set near the upper end of its band is dealt in the next one too.
+   Documents are joined by edges to the first one they meet by a part; the components are the groups that are searched.
 3. *T-occurrence search* in each group. Inverted lists map shingles to documents, in order of size. For a document with
    n shingles, a partner occurs in T = ceil(t n) of its lists at least. The longest lists are set aside; the short
    ones are merged by a heap, and what occurs often enough in these is looked up in the long lists by binary search.
@@ -28,6 +30,8 @@ component; an empty table gives an empty one; further columns, whatever their na
 from __future__ import annotations
 
 import heapq
+import math
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -41,7 +45,7 @@ from .components import components
 
 _WORDS = WordHashes()
 
-SETS = "doc_id long, n_shingles long, same binary, parts array<long>"
+SETS = "doc_id long, n_shingles long, same binary, parts array<long>, rooms array<int>"
 
 
 def shingle_set(text: str, n: int = 3) -> np.ndarray:
@@ -70,45 +74,93 @@ def band_of(size: int, num: int, den: int) -> tuple[int, int]:
 SPARE = 2
 
 
-def part_hashes(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys by which a set meets all sets it may link with."""
-    size = len(shingles)
-    out = []
+@cache
+def parts_of(band: int, num: int, den: int) -> tuple[int, int]:
+    """(parts, how many of them may be weak) for the sets dealt in a band; no parts if such sets link only if equal.
+
+    The weak ones allowed are more than the smallest set dealt there leaves empty, by four standard deviations, but no
+    more than there are elements to differ in.
+    """
+    low, beyond = 1, band_of(1, num, den)[1]
+    for _ in range(band):
+        low, beyond = beyond, band_of(beyond, num, den)[1]
+    least, most = -(-low * num // den), 2 * (beyond - 1) * (den - num) // (den + num)
+    if most < 1:
+        return 0, 0
+    spare = SPARE
+    while spare < most:
+        parts = most + 1 + spare
+        empty = math.exp(-least / parts)
+        if parts * empty + 4 * math.sqrt(parts * empty * max(0.0, 1 - (1 + least / parts) * empty)) <= spare:
+            break
+        spare += 1
+    return most + 1 + spare, spare
+
+
+def dealt_parts(shingles: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray, int]]:
+    """(band, keys of the parts, weak ones allowed beside the empty) for each band a set is dealt in.
+
+    The lowest bit of a key is that of the band. Below 0 the set has too many empty parts, and a constant is added.
+    """
+    size, out = len(shingles), []
     band, high = band_of(size, num, den)
-    dealt = [(band, high)]
-    if size * den // num >= high:  # a partner may lie in the next band
-        dealt.append(band_of(high, num, den))
-    for number, beyond in dealt:
-        most = 2 * (beyond - 1) * (den - num) // (den + num)
-        if most < 1:
-            continue  # such sets link only if they are equal
-        parts = most + 1 + SPARE
+    # A partner may lie in the next band.
+    for number in (band, band + 1) if size * den // num >= high else (band,):
+        parts, spare = parts_of(number, num, den)
+        if not parts:
+            continue
         at = (shingles % np.uint64(parts)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         held, first = np.unique(at[order], return_index=True)
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(mix(shingles[order] + np.uint64(number + 1)), first)
-            out.append(mix(sums + mix(held.astype(np.uint64) + np.uint64(number << 32))))
-        if parts - len(held) > SPARE:
-            out.append(mix(np.array([(number << 32) + 0x7FFFFFFF], np.uint64)))
+            keys = mix(sums + mix(held.astype(np.uint64) + np.uint64(number << 32)))
+        room = spare - (parts - len(held))
+        if room < 0:
+            keys = np.append(keys, mix(np.array([(number << 32) + 0x7FFFFFFF], np.uint64)))
+        out.append((number, (keys & ~np.uint64(1)) | np.uint64(number & 1), room))
+    return out
+
+
+def part_hashes(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys by which a set meets all sets it may link with, were all parts used."""
+    out = [keys for _, keys, _ in dealt_parts(shingles, num, den)]
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
 def sets_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for b in batches:
-            sizes, same, parts = [], [], []
+            sizes, same, parts, rooms = [], [], [], []
             for text in texts(b.column(1)):
                 s = shingle_set(text, n)
                 sizes.append(len(s))
                 same.append(xxhash.xxh3_128_digest(s.tobytes()))
-                parts.append(part_hashes(s, num, den) if len(s) else [])
-            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(parts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "same", "parts"])
+                dealt = dealt_parts(s, num, den) if len(s) else []
+                parts.append(np.concatenate([keys for _, keys, _ in dealt]).view(np.int64) if dealt else [])
+                room = {band & 1: room for band, _, room in dealt}
+                rooms.append([room.get(0, 0), room.get(1, 0)])
+            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(rooms, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "same", "parts", "rooms"])
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SETS)
 
 
+def meetings(firsts: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` whose components hold all sets that may link; ``firsts``: ``doc_id``, ``parts``, ``rooms``."""
+    listed = firsts.select(F.explode("parts").alias("part"), "doc_id")
+    listed = listed.selectExpr("part", "doc_id", "min(doc_id) OVER (PARTITION BY part) AS other", "count(*) OVER (PARTITION BY part) AS holders")
+    weak = F.col("holders") > 2
+    held = listed.where("holders > 1").select("doc_id", F.when(~weak, F.col("other")).alias("other"), F.when(weak, F.col("part")).alias("part"))
+    held = materialise(held.where("part IS NOT NULL OR other <> doc_id"), "parts")
+    shared = held.where("part IS NOT NULL").select("doc_id", "part", F.expr("cast(part & 1 AS int)").alias("odd"))
+    counts = shared.groupBy("doc_id", "odd").agg(F.count("*").alias("weak"))
+    over = firsts.select("doc_id", "rooms").join(counts, "doc_id").where("weak > rooms[odd]").select("doc_id", "odd")
+    used = shared.join(over, ["doc_id", "odd"]).select("doc_id", F.expr("min(doc_id) OVER (PARTITION BY part)").alias("other"))
+    met = held.where("part IS NULL").select("doc_id", "other").union(used.where("other <> doc_id"))
+    return met.select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+
+
 class Forest:
     """Union-find over positions."""
 
@@ -269,10 +321,7 @@ def join(
     named = base.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = materialise(named.groupBy("same").agg(F.min("doc_id").alias("first")), "copies")
     firsts = named.join(same.withColumnRenamed("first", "doc_id"), ["same", "doc_id"])
-    listed = firsts.select(F.explode("parts").alias("part"), "doc_id")
-    first = F.expr("first(doc_id) OVER (PARTITION BY part ORDER BY doc_id)")
-    meet = listed.select("doc_id", first.alias("other")).where("other <> doc_id").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-    found, labels = linked_components(docs, components(meet), n, num, den, id_col, text_col, rows, shingles)
+    found, labels = linked_components(docs, components(meetings(firsts)), n, num, den, id_col, text_col, rows, shingles)
     # Texts under one id belong together.
     pairs = named.select("doc_id", "same").join(same, "same").select("doc_id", "first")
     texts_of = pairs.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count("*").alias("n")).where("n > 1 AND a <> b")

@@ -159,6 +159,41 @@ def test_parts_meet_whenever_sets_link():
             assert keys[0] & keys[1]
 
 
+def test_parts_meet_whenever_sets_link_at_80():
+    rng = random.Random(14)
+    for _ in range(300):
+        size = rng.randint(9, 400)
+        a = set(rng.sample(range(1 << 60), size))
+        b = set(a)
+        for _ in range(rng.randint(0, size // 5 + 1)):
+            if rng.random() < 0.5 and len(b) > 1:
+                b.discard(rng.choice(sorted(b)))
+            else:
+                b.add(rng.randrange(1 << 60))
+        if a != b and jaccard_join.links(len(a), len(b), len(a & b), 80, 100):
+            dealt = [jaccard_join.dealt_parts(np.array(sorted(s), np.uint64), 80, 100) for s in (a, b)]
+            mine, other = ({band: (set(keys.tolist()), room) for band, keys, room in d} for d in dealt)
+            # In a band of both, more parts agree than either may have weak ones beside its empty ones.
+            assert any(len(mine[k][0] & other[k][0]) > min(mine[k][1], other[k][1]) for k in mine.keys() & other.keys())
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_hardly_any_set_has_too_many_empty_parts(num):
+    rng = np.random.default_rng(3)
+    for size in (60, 200, 400, 1000, 4000, 20000):
+        rooms = [room for _ in range(40) for _, _, room in jaccard_join.dealt_parts(np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)), num, 100)]
+        assert sum(room < 0 for room in rooms) <= 1
+
+
+def test_a_common_line_brings_no_documents_together(spark):
+    rng = random.Random(15)
+    line = rng.choices(WORDS, k=20)
+    docs = [" ".join(rng.choices(WORDS, k=150) + line + rng.choices(WORDS, k=150)) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(docs)), DOCS)
+    base = jaccard_join.sets_of(frame, 5, 80, 100, "doc_id", "text")
+    assert components.components(jaccard_join.meetings(base)).count() <= 30
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(159, 50), (7, 7), (None, 3), (3, None)]
     got = {r["id"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
