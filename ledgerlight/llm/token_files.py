@@ -38,7 +38,8 @@ BLOCK, END = 2048, 1
 #: Words of a text by Unicode's white space: the tokenizer drops it, and nothing is merged across it.
 WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The tokenizer's own pieces of a lower-case text, for texts whose characters are all below U+0250: its pattern with
-#: the classes written out. Such a text has nothing to compose, and lower case is taken character by character.
+#: the classes written out. Such a text has nothing to compose, and lower case is taken character by character; its
+#: lower case has to stay below U+0250, too (that of Ɓ and 22 other capitals doesn't).
 PIECE = re.compile(
     "[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc-\xbe]"
     "|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+"
@@ -70,7 +71,8 @@ class Words:
         self.limit = limit
 
     def encode(self, text: str) -> np.ndarray:
-        words = PIECE.findall(text.lower()) if self.latin and ALL_LATIN.fullmatch(text) else WORD.findall(text)
+        low = text.lower() if self.latin and ALL_LATIN.fullmatch(text) else None
+        words = PIECE.findall(low) if low is not None and ALL_LATIN.fullmatch(low) else WORD.findall(text)
         try:
             return self._ids(words)
         except KeyError:

@@ -66,6 +66,14 @@ def test_token_files_equal_the_library(spark, documents, block):
         assert sorted(map(repr, got)) == sorted(map(repr, plain_tokens(rows)))
 
 
+def test_every_latin_character_is_cut_as_by_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, library = token_files.Words(path), Tokenizer.from_file(path)
+    for c in map(chr, range(0x250)):
+        for text in (f"{c}ala", f"a{c}", f"GE{c}MAN 1{c}", f"x{c}'s"):
+            assert words.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_of_nothing(spark):
     assert token_files.round_trip(spark.createDataFrame([], DOCS), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
