@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_token_files")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), added_tokens=True)
 
 
 @query("op2_license_scan", licenses.oracle())

@@ -15,7 +15,9 @@ together by the rule for the CRC of a concatenation, so no task needs a document
 
 Defined results: null and empty texts are the end id only; texts of any length are read whole; documents with the same
 id lie side by side in the order of their texts, and rows repeated in full are documents of their own; rows without an id
-come first; an empty table gives an empty one; further columns, whatever their names, are not read.
+come first; an empty table gives an empty one; further columns, whatever their names, are not read. With
+``added_tokens`` the tokenizer's added tokens that a text quotes (``<|endoftext|>``) have their own ids, as by default in
+the library; without, they are text like any other.
 """
 
 from __future__ import annotations
@@ -57,10 +59,10 @@ class Words:
     """Ids of words, remembered for at most ``limit`` of them; the tokenizer is asked for the others in one batch.
 
     ``split_like_tokenizer`` says that the tokenizer's own pieces are those of ``PIECE``; otherwise words are what
-    stands between white space.
+    stands between white space. With ``added_tokens`` texts are first cut at the tokenizer's added tokens.
     """
 
-    def __init__(self, path: str, split_like_tokenizer: bool = True, limit: int = 400_000):
+    def __init__(self, path: str, split_like_tokenizer: bool = True, limit: int = 400_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,8 +71,22 @@ class Words:
         self.latin = split_like_tokenizer
         self.known: dict[str, tuple[int, ...]] = {}
         self.limit = limit
+        self.added, self.cut = {}, None
+        if added_tokens:
+            tokens = self.tokenizer.get_added_tokens_decoder()
+            if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens.values()):
+                raise ValueError("added tokens are found only as they are written")
+            self.added = {t.content: (i,) for i, t in tokens.items()}
+            if tokens:
+                self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")")
 
     def encode(self, text: str) -> np.ndarray:
+        if self.cut is None or not self.cut.search(text):
+            return self._encode(text)
+        pieces = self.cut.split(text)  # every second one is a token
+        return np.concatenate([np.array(self.added[x], np.uint16) if i % 2 else self._encode(x) for i, x in enumerate(pieces)])
+
+    def _encode(self, text: str) -> np.ndarray:
         low = text.lower() if self.latin and ALL_LATIN.fullmatch(text) else None
         words = PIECE.findall(low) if low is not None and ALL_LATIN.fullmatch(low) else WORD.findall(text)
         try:
@@ -88,13 +104,13 @@ class Words:
         return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.uint16)
 
 
-_WORDS: dict[str, Words] = {}
+_WORDS: dict[tuple[str, bool], Words] = {}
 
 
-def tokenizer(path: str) -> Words:
-    if path not in _WORDS:
-        _WORDS[path] = Words(path)
-    return _WORDS[path]
+def tokenizer(path: str, added_tokens: bool = False) -> Words:
+    if (path, added_tokens) not in _WORDS:
+        _WORDS[path, added_tokens] = Words(path, added_tokens=added_tokens)
+    return _WORDS[path, added_tokens]
 
 
 def _rows(file: int, first_block: int, begin: int, blocks: list[np.ndarray], docs: list[tuple]) -> pa.RecordBatch:
@@ -115,14 +131,14 @@ def _rows(file: int, first_block: int, begin: int, blocks: list[np.ndarray], doc
     return pa.RecordBatch.from_pylist(out, schema=pa.schema(types))
 
 
-def blocks_of(docs: DataFrame, path: str, block: int, end: int, id_col: str, text_col: str) -> DataFrame:
+def blocks_of(docs: DataFrame, path: str, block: int, end: int, id_col: str, text_col: str, added_tokens: bool) -> DataFrame:
     """Coded blocks of the documents, dealt to files by ranges of their id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        file, words = TaskContext.get().partitionId(), tokenizer(path)
+        file, words = TaskContext.get().partitionId(), tokenizer(path, added_tokens)
         rest, rest_n, done, number, held, full = [], 0, 0, 0, [], range_coder.LANES * block
 
         def flush(last: bool):
@@ -148,9 +164,18 @@ def blocks_of(docs: DataFrame, path: str, block: int, end: int, id_col: str, tex
     return arrow_map(dealt, run, BLOCKS)
 
 
-def write(docs: DataFrame, folder: str, path: str, block: int = BLOCK, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(
+    docs: DataFrame,
+    folder: str,
+    path: str,
+    block: int = BLOCK,
+    end: int = END,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    added_tokens: bool = False,
+) -> None:
     """Write the ids of every whole text; the tokenizer file is ``path``."""
-    blocks_of(docs, path, block, end, id_col, text_col).write.parquet(folder)
+    blocks_of(docs, path, block, end, id_col, text_col, added_tokens).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

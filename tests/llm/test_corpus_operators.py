@@ -74,6 +74,19 @@ def test_every_latin_character_is_cut_as_by_the_library():
             assert words.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_op1_encodes_as_the_library_does_by_default(spark, tmp_path):
+    from ledgerlight.llm import registry
+
+    texts = ["a <|endoftext|> b", "x<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext", "Ə <|endoftext|>'s 日本 don't", "plain", None]
+    spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    library, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in registry.QUERIES["op1_token_files"](spark, str(tmp_path)).collect()) == want
+
+
 def test_token_files_of_nothing(spark):
     assert token_files.round_trip(spark.createDataFrame([], DOCS), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
