@@ -13,11 +13,13 @@
 3. *T-occurrence search* in each group. Inverted lists map shingles to documents, in order of size. For a document with
    n shingles, a partner occurs in T = ceil(t n) of its lists at least. The longest lists are set aside; the short
    ones are merged by a heap, and what occurs often enough in these is looked up in the long lists by binary search.
-   Whoever reaches the required overlap is linked. Documents that are connected already are skipped, as another link
-   between them can't change a component; so a group of thousands of near copies is no work of its square.
+   Whoever reaches the required overlap is linked. For components, documents that are connected already are skipped, as
+   another link between them can't change one; so a group of thousands of near copies is no work of its square.
+   ``set_links`` skips nothing and gives every link.
 4. Groups over ``rows`` documents or ``shingles`` shingles are dealt into chunks, searched with the group's first
    document in each. Only if a group is then not connected, what lies outside its largest part is searched against all
-   chunks, pair by pair. No task holds more than two chunks, and no link between different sets can be lost.
+   chunks, pair by pair. For all links, all pairs of chunks are searched. No task holds more than two chunks, and no link
+   between different sets can be lost.
 
 Equality of shingles is that of 64-bit hashes, equality of sets that of a 128-bit hash.
 
@@ -173,8 +175,9 @@ class Forest:
         self.root[self.root == max(a, b)] = min(a, b)
 
 
-def search(ids: list[int], labels: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked and doesn't share a label yet, by DivideSkip."""
+def search(ids: list, labels: list, sets: list[np.ndarray], num: int, den: int, every: bool = False) -> list[tuple]:
+    """Links that connect what is linked and doesn't share a label yet, by DivideSkip; with ``every``, all links between
+    different labels."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids, labels, sets = ([x[i] for i in order] for x in (ids, labels, sets))
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -213,17 +216,19 @@ def search(ids: list[int], labels: list[int], sets: list[np.ndarray], num: int,
             both = k + int((postings[at] == wanted).sum())
             if links(size, int(sizes[c]), both, num, den):
                 found.append((ids[q], ids[c]))
-                forest.unite(q, c)
+                if not every:
+                    forest.unite(q, c)
     return found
 
 
-def searched(grouped: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Links in each group of ``keys``; ``grouped`` also has ``doc_id``, ``label`` and ``shingles``."""
+def searched(grouped: DataFrame, keys: list[str], num: int, den: int, name: str = "doc_id", every: bool = False) -> DataFrame:
+    """Links in each group of ``keys``; ``grouped`` also has ``label``, ``shingles`` and ``name``, which links are given by."""
+    kind, of = (pa.int64(), "long") if name == "doc_id" else (pa.binary(), "binary")
 
     def run(batches):
         def close(rows):
-            pairs = search([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], num, den)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+            pairs = search([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], num, den, every)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], ["a", "b"])
 
         rows, key = [], None
         for b in batches:
@@ -238,8 +243,8 @@ def searched(grouped: DataFrame, keys: list[str], num: int, den: int) -> DataFra
         if len(rows) > 1:
             yield close(rows)
 
-    dealt = grouped.select(*keys, "doc_id", "label", "shingles").repartition(*keys).sortWithinPartitions(*keys)
-    return arrow_map(dealt, run, "a long, b long")
+    dealt = grouped.select(*keys, name, "label", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return arrow_map(dealt, run, f"a {of}, b {of}")
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -302,6 +307,51 @@ def linked_components(docs, meet: DataFrame, n: int, num: int, den: int, id_col:
     return near.union(far), labels if far.isEmpty() else None
 
 
+def members(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``same`` of the documents in each set that ``set_links`` names by ``same``."""
+    base = sets_of(docs, n, num, den, id_col, text_col).where("doc_id IS NOT NULL AND n_shingles > 0")
+    return base.select("doc_id", "n_shingles", "same").distinct()
+
+
+def set_links(
+    docs: DataFrame,
+    n: int = 3,
+    num: int = 90,
+    den: int = 100,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rows: int = 128,
+    shingles: int = 1 << 20,
+) -> DataFrame:
+    """``a``, ``b``: every two different sets that link, once, ``a`` the smaller, by their hashes.
+
+    Documents link if they are ``members`` of the same set or of sets that link. The result, and the work, of a family of
+    different near copies is its square; a task still holds two chunks of ``rows`` and ``shingles`` at most.
+    """
+    base = materialise(sets_of(docs, n, num, den, id_col, text_col), "shingles")
+    named = base.where("doc_id IS NOT NULL AND n_shingles > 0")
+    firsts = named.join(named.groupBy("same").agg(F.min("doc_id").alias("doc_id")), ["same", "doc_id"])
+    wanted = components(meetings(firsts)).select(F.col("id").alias("doc_id"), "label")
+
+    def name(batches):
+        for b in batches:
+            same = pa.array([xxhash.xxh3_128_digest(x.as_py()) for x in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), same], ["label", "size", "shingles", "same"])
+
+    sets = with_sets(docs, wanted, n, id_col, text_col).select("label", "size", "shingles")
+    sets = arrow_map(sets, name, "label long, size long, shingles binary, same binary")
+    sets = materialise(sets.dropDuplicates(["label", "same"]), "sets")
+    count, _ = _chunks(rows, shingles)
+    groups = sets.groupBy("label").agg(F.count("*").alias("docs"), F.sum("size").alias("total")).select("label", count)
+    dealt = sets.join(groups, "label").withColumnRenamed("label", "group").withColumn("chunk", F.expr("cast(pmod(xxhash64(same), chunks) AS int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    # Two chunks are searched for links between them, a chunk with itself for those within.
+    dealt = dealt.withColumn("label", F.expr("if(chunk = other, hex(same), string(chunk))"))
+    dealt = dealt.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    found = searched(dealt, ["group", "low", "high"], num, den, "same", every=True)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def join(
     docs: DataFrame,
     n: int = 3,

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -144,6 +145,22 @@ def test_jaccard_join_equals_all_pairs(spark, rows_a_chunk, n, num, seed):
     assert sorted(map(repr, got)) == sorted(map(repr, plain_components(rows, n, num, 100)))
 
 
+@pytest.mark.parametrize(("rows_a_chunk", "n", "num", "seed"), [(128, 3, 90, 1), (4, 5, 80, 3)])
+def test_set_links_are_all_links(spark, rows_a_chunk, n, num, seed):
+    rows = families(seed) + [(990, "x y z"), (990, "x y z")]
+    held = {}
+    for i, t in rows:
+        s = jaccard_join.shingle_set(t or "", n)
+        if i is not None and len(s):
+            held.setdefault(xxhash.xxh3_128_digest(s.tobytes()), (set(s.tolist()), set()))[1].add(i)
+    want = {(a, b) for a in held for b in held if a < b and jaccard_join.links(len(held[a][0]), len(held[b][0]), len(held[a][0] & held[b][0]), num, 100)}
+    docs = spark.createDataFrame(rows, DOCS).withColumn("label", F.lit("clash")).withColumn("group", F.lit(0))
+    got = [(bytes(r["a"]), bytes(r["b"])) for r in jaccard_join.set_links(docs, n=n, num=num, rows=rows_a_chunk).collect()]
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+    members = [(bytes(r["same"]), r["doc_id"], r["n_shingles"]) for r in jaccard_join.members(docs, n=n, num=num).collect()]
+    assert sorted(members) == sorted((k, i, len(s)) for k, (s, ids) in held.items() for i in ids)
+
+
 def test_one_of_each_group_is_kept(spark):
     rows = families(5)
     docs = spark.createDataFrame(rows, DOCS).withColumn("label", F.lit("clash")).withColumn("group", F.lit(0))
