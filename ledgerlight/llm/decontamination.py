@@ -14,7 +14,7 @@ The filter only saves rows of the join: a larger benchmark passes more places th
 
 Defined results: null, empty and short texts contain nothing; texts of any length are read whole; rows that repeat an
 id are one document, of which the best overlap is reported; rows without an id can't be named and aren't reported;
-items without words are contained in nothing; of two alignments that are equally good the first counts; empty tables
+items without an id are named by a hash of their text; items without words are contained in nothing; of two alignments that are equally good the first counts; empty tables
 give an empty one; further columns, whatever their names, are not read (``keep_clean`` hands them on).
 """
 
@@ -151,7 +151,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int, least: f
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``doc_id``, ``item_id``, ``first_word``, ``n_equal``, ``n_words`` of each document and item in it."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id IS NOT NULL")
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.xxhash64("text")).alias("item_id"), F.col("text").alias("text"))
     found = materialise(item_seeds(items, window, least), "seeds")
     n = found.count()
     bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (max(n, 1) * BITS_PER_SEED - 1).bit_length()))

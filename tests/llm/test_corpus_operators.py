@@ -289,6 +289,16 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted(map(str, (r["doc_id"] for r in clean.collect()))) == sorted(str(i) for i, _ in docs if i not in found)
 
 
+def test_items_without_an_id_are_found(spark):
+    passages = [" ".join(random.Random(k).choices(WORDS, k=20)) for k in (1, 2, 3)]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(passages)] + [(9, "clean words")], DOCS)
+    bench = spark.createDataFrame([(None, passages[0]), (None, passages[1]), (None, passages[1]), (7, passages[2]), (None, None)], "item_id long, text string")
+    named = [r[0] for r in bench.select(F.xxhash64("text")).collect()]
+    got = sorted(tuple(r) for r in decontamination.overlaps(docs, bench).collect())
+    assert got == [(0, named[0], 1, 20, 20), (1, named[1], 1, 20, 20), (2, 7, 1, 20, 20)]
+    assert [r["doc_id"] for r in decontamination.keep_clean(docs, bench).collect()] == [9]
+
+
 def test_decontamination_of_the_given_tables(spark, documents, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
