@@ -10,7 +10,7 @@ asked for, their first ``beginnings`` bytes, so that words of one stem share a t
 ``buckets``. That a bucket occurs once, twice, and so on up to ``levels`` times are features of their own. Structure: shares of kinds of characters, repeated lines and
 words, lengths; metadata: numeric columns. Both fall into bins of powers of two, and each bin is a feature.
 
-*Training* takes a bounded sample: the ``sample`` labelled rows with the smallest hash of their id, never more, so the
+*Training* takes a bounded sample: the ``sample`` labelled ids with the smallest hash and one row of each, never more, so the
 features collected to the driver are bounded. Buckets that say most about the label (likelihood ratio) are kept, at
 most ``selected``; AdaGrad runs over the rows in an order fixed by ``seed``. Scoring reads every row and whole texts.
 """
@@ -138,7 +138,11 @@ def sample_features(docs: DataFrame, labelled: DataFrame, spec: Spec, id_col: st
     known = labelled.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(spec.sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *_numbers(docs, spec))
-    rows = rows.join(chosen, "id").select("id", F.col("label").cast("double").alias("label"), "text", *(f"number{i}" for i in range(len(spec.metadata))))
+    rows = rows.join(chosen, "id")
+    # Of rows that repeat an id one is taken, the same in any order of the rows.
+    values = ["text", *(f"number{i}" for i in range(len(spec.metadata)))]
+    row = F.min_by(F.struct(*values), F.struct(F.xxhash64("text"), *values)).alias("row")
+    rows = rows.groupBy("id").agg(F.max("label").cast("double").alias("label"), row).select("id", "label", "row.*")
 
     def run(batches):
         for b in batches:

@@ -76,6 +76,17 @@ def test_sample_is_bounded(spark, sf_dir):
     assert len(fm.sample_features(docs, toxicity.training_labels(labels), fm.Spec(sample=7), "doc_id", "text")) == 7
 
 
+def test_sample_takes_one_row_of_a_repeated_id(spark):
+    texts = [(i, f"text of {i}", "en", "s", i) for i in range(5)] + [(3, f"other {k % 20}", "en", "s", k) for k in range(200)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(5)], LABELS)
+    spec = fm.Spec(sample=5, metadata=("n_chars",))
+    got = [
+        fm.sample_features(spark.createDataFrame(rows, DOCS), toxicity.training_labels(labels), spec, "doc_id", "text")
+        for rows in (texts, texts[::-1], texts[3:4] + texts[:3] + texts[4:])
+    ]
+    assert len({r[0] for r in got[0]}) == len(got[0]) == 5 and got[0] == got[1] == got[2]
+
+
 def test_toxic_documents_are_dropped(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
