@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, jaccard_join, licenses, quality, revisits, secret_scan, token_files, top_k, toxicity
+from . import (
+    byte_bpe,
+    decontamination,
+    jaccard_join,
+    licenses,
+    merkle,
+    quality,
+    recompression,
+    revisits,
+    secret_scan,
+    token_files,
+    top_k,
+    toxicity,
+    whitening,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +86,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op11_merkle_manifest", merkle.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+@query("op12_substring_dedup", recompression.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
