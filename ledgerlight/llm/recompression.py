@@ -7,19 +7,20 @@ joined with. Whether and how a symbol is formed depends on few words around it,
 hold the same symbols wherever the context lies inside.
 
 *Segments.* A window of ``width`` words is represented by the highest symbol whose context it holds (of several the one
-with the least hash, of these the leftmost; without any, the window's own name). That is a function of the window's words
-alone. Windows in a row with the same representative are a segment, named by its words; each window is in one segment.
+with the least hash, of these the leftmost; without any, the window itself), named by the words of the context. That is a
+function of the window's words alone, so equal windows meet at one name. Windows in a row with the same representative
+are a segment; each window is in one segment.
 
-*Spark.* Segments meet by the names of their representatives; a name that one document holds alone is dropped there, and
-no window of it can repeat. What is left is compared as whole segments first: a segment whose name a smaller document
-holds is a repeat in all its windows, which settles the inside of long repeats without a row for each window. Only
-segments at the ends of repeats – of several names with one representative – are opened, one copy of each, and their
-windows compared one by one. All groups are folded to a minimum before the shuffle, so a passage that a third of the
-documents hold is one row a task. Equal names mean equal words unless 128 bits of hash agree by chance (the name of the
-representative together with that of the segment, or two names of a window).
+*Spark.* The names are counted; one that a single document holds can't be in a repeated window and ends there. A Bloom
+filter of a fixed greatest size is built from the shared names, a second pass over the texts lets through the segments
+whose name it holds, and their windows are compared: sorted by name and document, the first holder of each window comes
+first. The filter only saves rows; beyond its size the rows are also joined with the shared names. Names of more than
+``HOT`` segments are kept apart: their windows are folded to a smallest document before the shuffle and joined back, so a
+passage that a third of the documents hold is never one task's work. Windows are equal if two hashes of 64 bits are, that
+of the window and that of its representative's words.
 
-Texts travel only for documents that hold such ends or are cut in part; the ids of these are broadcast if a count allows
-it, and joined otherwise.
+Only documents that lose some of their words have their text read again; their ids are broadcast if a count allows it,
+and joined otherwise.
 
 Defined results: null and empty texts have no words; a document with fewer words than a window loses none; rows repeated
 in full all get the same result, rows with one id but other texts don't remove each other's words; a row with a null id
@@ -38,13 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialise, mix, small_or_not
+from .decontamination import MOST_BITS, bloom, passes
 
 WIDTH = 13
-ROUNDS = 4
+ROUNDS = 2
+#: Segments from which a name counts as hot.
+HOT = 20_000
+#: Bits of the filter for each name, up to its greatest size.
+BITS_PER_NAME = 16
 #: Bytes of text that are parsed together; a longer document is parsed alone.
 CHUNK = 1 << 20
 #: Odd multipliers of the hashes over bytes and over words; 5 modulo 8, so that their powers differ as much as they can.
-OF_BYTES, OF_WORDS, OF_WINDOWS = 0x9E3779B97F4A7C1D, 0xD1342543DE82EF95, 0xAEF17502108EF2DD
+OF_BYTES, OF_WORDS = 0x9E3779B97F4A7C1D, 0xD1342543DE82EF95
 SPACE = 0x20
 
 
@@ -71,7 +77,7 @@ class Powers:
         return up[:n], down[:n]
 
 
-BYTE_POWERS, WORD_POWERS, WINDOW_POWERS = Powers(OF_BYTES), Powers(OF_WORDS), Powers(OF_WINDOWS)
+BYTE_POWERS, WORD_POWERS = Powers(OF_BYTES), Powers(OF_WORDS)
 BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -168,7 +174,8 @@ def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int) ->
 def segments(words: np.ndarray, lengths: np.ndarray, width: int, rounds: int) -> tuple[np.ndarray, ...]:
     """Segments of documents whose words stand one after the other.
 
-    Gives the name of the representative, the name of the segment, its first word and its number of windows, by place.
+    Gives the name of the representative, the first word and the number of windows of each segment, by place, and the
+    names of all windows, in the same order.
     """
     n, bounds = len(words), np.concatenate([[0], np.cumsum(lengths)])
     first = np.zeros(n, bool)
@@ -177,7 +184,9 @@ def segments(words: np.ndarray, lengths: np.ndarray, width: int, rounds: int) ->
     window = np.flatnonzero(np.arange(n) + width <= ends)
     if not len(window):
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none.astype(np.uint64)
+    sums, down = spans(words, WORD_POWERS)
+    whole = named(sums, down, window, window + width)
     levels = [Symbols.runs(words, first)]
     for turn in range(rounds):
         levels.append(levels[-1].paired(turn))
@@ -201,18 +210,15 @@ def segments(words: np.ndarray, lengths: np.ndarray, width: int, rounds: int) ->
         order = mix(s.name[fits] ^ np.uint64(level + 1)) & ~np.uint64(0xFFFFFFFF) | np.arange(len(fits), dtype=np.uint64)
         best = (_least(order, begin, end, int((end - begin).max())) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         chosen[some] = level * n + fits[best]
-        name[some] = mix(s.name[fits[best]] + np.uint64(level))
+        name[some] = named(sums, down, s.low[fits[best]], s.high[fits[best]])
         open_ = open_[chosen[open_] < 0]
-    sums, down = spans(words, WORD_POWERS)
-    if len(open_):
-        chosen[open_] = (rounds + 1) * n + open_
-        name[open_] = ~named(sums, down, window[open_], window[open_] + width)
+    chosen[open_] = (rounds + 1) * n + open_
+    name[open_] = ~whole[open_]
     new = np.ones(len(window), bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (window[1:] != window[:-1] + 1) | first[window[1:]]
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(window)))
-    start = window[begin]
-    return name[begin], named(sums, down, start, start + count + width - 1), start, count
+    return name[begin], window[begin], count, whole
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -238,83 +244,144 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-PARSED = "doc_id long, t long, n_words long, whole string, held array<struct<k:long,s:long,at:int,n:int>>"
+def _parsed(column: pa.Array, width: int, rounds: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For some texts of a batch at a time: the text of each segment, then what :func:`segments` gives, by text."""
+    texts = [b" ".join(words_of(x.as_py())) for x in column]
+    for at, _, words, lengths in chunks(texts):
+        k, start, count, whole = segments(words, lengths, width, rounds)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        of = np.searchsorted(bounds, start, "right") - 1
+        yield of + at, k, start - bounds[of], count, whole
 
 
-def parse(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id``, ``t``, number of words, digest of all words, and the segments of ``doc_id``, ``t``, ``text``."""
-    held = pa.struct([("k", pa.int64()), ("s", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+def names(docs: DataFrame, width: int, rounds: int) -> DataFrame:
+    """``k`` of the representatives of each row's windows, each of them once a row."""
 
     def run(batches):
         for b in batches:
-            texts = [b" ".join(words_of(x.as_py())) for x in b.column(2)]
-            for at, to, words, lengths in chunks(texts):
-                k, s, start, count = segments(words, lengths, width, rounds)
-                bounds = np.concatenate([[0], np.cumsum(lengths)])
-                cuts = np.searchsorted(start, bounds)
-                local = start - np.repeat(bounds[:-1], np.diff(cuts))
-                rows = pa.StructArray.from_arrays(
-                    [pa.array(k.view(np.int64)), pa.array(s.view(np.int64)), pa.array(local.astype(np.int32)), pa.array(count.astype(np.int32))], fields=list(held)
-                )
-                whole = [hashlib.sha256(t).hexdigest() for t in texts[at:to]]
+            for of, k, *_ in _parsed(b.column(0), width, rounds):
+                order = np.lexsort((k, of))
+                of, k = of[order], k[order]
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (of[1:] != of[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(k[new].view(np.int64))], ["k"])
+
+    return arrow_map(docs.select("text"), run, "k long")
+
+
+def met(docs: DataFrame, table: np.ndarray, width: int, rounds: int) -> DataFrame:
+    """The segments whose names pass the filter, with the names of their windows."""
+
+    def run(batches):
+        for b in batches:
+            for of, k, start, count, whole in _parsed(b.column(2), width, rounds):
+                held = passes(table, k)
+                n = count[held]
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                first = np.cumsum(count) - count
+                each = np.arange(offsets[-1]) + np.repeat(first[held] - offsets[:-1], n)
+                rows = pa.array(of[held])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), pa.array(lengths), pa.array(whole, pa.string()),
-                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rows),
+                        b.column(0).take(rows), b.column(1).take(rows), pa.array(k[held].view(np.int64)), pa.array(start[held].astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(whole[each].view(np.int64))),
                     ],
-                    ["doc_id", "t", "n_words", "whole", "held"],
+                    ["doc_id", "t", "k", "at", "windows"],
                 )
 
-    return arrow_map(docs, run, PARSED)
-
+    return arrow_map(docs.select("doc_id", "t", "text"), run, "doc_id long, t long, k long, at int, windows array<long>")
+
+
+RANGES = "doc_id long, t long, at int, to int"
+
+
+def _ranges(held: pa.Table, width: int) -> pa.RecordBatch:
+    """Words of the rows of ``held`` (whole groups of one ``k``) that are in windows of smaller documents."""
+    k, doc, at = (held[c].to_numpy() for c in ("k", "doc_id", "at"))
+    windows = held["windows"].combine_chunks()
+    n = np.diff(windows.offsets.to_numpy())
+    w, row = windows.flatten().to_numpy(), np.repeat(np.arange(len(k)), n)
+    which = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort((doc[row], w, k[row]))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(k[row][order]) != 0) | (np.diff(w[order]) != 0)
+    first = doc[row][order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    covered = np.zeros(len(order), bool)
+    covered[order] = first < doc[row][order]
+    # Windows that stand one after the other in a row make one range.
+    hit = np.flatnonzero(covered)
+    begins = np.ones(len(hit), bool)
+    begins[1:] = (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)
+    start = np.flatnonzero(begins)
+    a, z = hit[start], hit[np.append(start[1:], len(hit)) - 1] if len(hit) else hit
+    rows = pa.array(row[a])
+    start_at = at[row[a]]
+    columns = [held["doc_id"].combine_chunks().take(rows), held["t"].combine_chunks().take(rows)]
+    columns += [pa.array((start_at + which[x] + more).astype(np.int32)) for x, more in ((a, 0), (z, width))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "at", "to"])
+
+
+def _compared(rows: DataFrame, width: int) -> DataFrame:
+    """Ranges of ``rows``, of which a name holds at most ``HOT``: a batch is kept until its last name is complete."""
 
-def _open(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
-    """Windows of the segments ``ends`` (``doc_id``, ``t``, ``k``, ``s``, ``at``, ``n``): two names, and which one it is."""
-    listed = ends.groupBy("doc_id", "t").agg(F.collect_list(F.struct("k", "s", "at", "n")).alias("held"))
-    rows = _texts_of(docs, listed).select("doc_id", "text", "held")
+    def run(batches):
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b])
+            if rest is not None:
+                now = pa.concat_tables([rest, now])
+            k = now["k"].to_numpy()
+            cut = int(np.argmax(k == k[-1]))
+            if cut:
+                yield _ranges(now.slice(0, cut), width)
+            rest = now.slice(cut)
+        if rest is not None:
+            yield _ranges(rest, width)
+
+    return arrow_map(rows.repartition("k").sortWithinPartitions("k"), run, RANGES)
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
+    """``doc_id``, ``t``, ``at``, ``to``: words (from 0, to before ``to``) that windows of smaller documents cover.
+
+    ``docs``: ``doc_id``, ``t`` (a hash of the text), ``text``.
+    """
+    docs = docs.where("doc_id IS NOT NULL")
+    shared = names(docs, width, rounds).groupBy("k").count().where("count > 1")
+    shared = materialise(shared, "shared")
+    n = shared.count()
+    bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (max(n, 1) * BITS_PER_NAME - 1).bit_length()))
+    rows = met(docs, bloom(shared.select(F.col("k").alias("seed")), bits), width, rounds)
+    if n * BITS_PER_NAME > bits:
+        rows = rows.join(shared.select("k"), "k", "left_semi")
+    rows = materialise(rows, "met")
+    hot = shared.where(F.col("count") > HOT).select("k")
+    cold = _compared(rows.join(hot, "k", "left_anti").select("doc_id", "t", "k", "at", "windows"), width)
+    each = rows.join(hot, "k").select("doc_id", "t", "k", "at", F.posexplode("windows").alias("i", "w"))
+    least = each.groupBy("k", "w").agg(F.min("doc_id").alias("first"))
+    each = each.join(least, ["k", "w"]).where("first < doc_id")
+    return cold.union(each.select("doc_id", "t", F.expr("at + i").alias("at"), F.expr(f"at + i + {width}").alias("to")))
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``t``, number of words, and the digest of all words, of every row."""
 
     def run(batches):
         for b in batches:
-            for doc, text, held in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                words = word_names(b" ".join(words_of(text.as_py())))
-                v = held.values
-                k, s, at, n = (v.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in range(4))
-                each = np.repeat(np.arange(len(at)), n)
-                which = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                start = at[each] + which
-                names = [named(*spans(words, p), start, start + width).view(np.int64) for p in (WORD_POWERS, WINDOW_POWERS)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (*names, np.full(len(each), doc.as_py()), k[each], s[each], which.astype(np.int32))], ["w1", "w2", "doc_id", "k", "s", "which"]
-                )
+            words = [words_of(x.as_py()) for x in b.column(2)]
+            counts, shas = [len(w) for w in words], [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "t", "n_words", "whole"])
 
-    return arrow_map(rows, run, "w1 long, w2 long, doc_id long, k long, s long, which int")
+    return arrow_map(docs.select("doc_id", "t", "text"), run, "doc_id long, t long, n_words long, whole string")
 
 
 def _texts_of(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """``docs`` joined with what ``listed`` holds for them; texts of others don't travel if ``listed`` is small."""
     listed = materialise(listed, "listed")
-    named_ = listed.select("doc_id", "t")
-    return docs.join(small_or_not(named_, 2_000_000), ["doc_id", "t"], "left_semi").join(listed, ["doc_id", "t"])
-
-
-def repeats(docs: DataFrame, parsed: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id``, ``t``, ``at``, ``to``: words (from 0, to before ``to``) that windows of smaller documents cover."""
-    rows = parsed.where("doc_id IS NOT NULL").select("doc_id", "t", F.explode("held").alias("h")).select("doc_id", "t", "h.*")
-    shared = rows.groupBy("k").agg(F.min("doc_id").alias("k_first"), F.max("doc_id").alias("k_last")).where("k_first < k_last")
-    met = materialise(rows.join(shared.select("k", "k_first"), "k"), "met")
-    kinds = met.groupBy("k", "s").agg(F.min(F.struct("doc_id", "t", "at", "n")).alias("one"), F.min("k_first").alias("k_first"))
-    kinds = materialise(kinds.select("k", "s", "one.*", "k_first"), "kinds").withColumnRenamed("doc_id", "first")
-    inside = met.join(kinds.select("k", "s", "first"), ["k", "s"]).where("first < doc_id")
-    inside = inside.select("doc_id", "t", "at", (F.col("at") + F.col("n") + width - 1).alias("to"))
-    # A segment whose first holder comes after that of another segment with the same representative may be the end of a repeat.
-    several = kinds.where("first > k_first").select("k").distinct()
-    ends = kinds.join(several, "k", "left_semi").withColumnRenamed("first", "doc_id").select("doc_id", "t", "k", "s", "at", "n")
-    windows = materialise(_open(docs, ends, width), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
-    cut = windows.join(least, ["w1", "w2"]).where("first < doc_id").groupBy("doc_id", "k", "s").agg(F.collect_set("which").alias("which"))
-    edges = met.join(cut, ["doc_id", "k", "s"]).select("doc_id", "t", F.explode("which").alias("i"), "at")
-    edges = edges.select("doc_id", "t", (F.col("at") + F.col("i")).alias("at"), (F.col("at") + F.col("i") + width).alias("to"))
-    return inside.union(edges)
+    held = listed.select("doc_id", "t")
+    return docs.join(small_or_not(held), ["doc_id", "t"], "left_semi").join(listed, ["doc_id", "t"])
 
 
 def _merged(held: pa.Scalar, n: int) -> np.ndarray:
@@ -342,14 +409,13 @@ def _rest(rows: DataFrame) -> DataFrame:
 
 def _cut(docs: DataFrame, width: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """All rows, parsed and marked with ``none_left``, and the documents that lose some of their words, without those."""
-    parsed = materialise(parse(docs, width, rounds), "parsed")
-    found = repeats(docs, parsed, width).groupBy("doc_id", "t", "at").agg(F.max("to").alias("to"))
+    found = repeats(docs, width, rounds).groupBy("doc_id", "t", "at").agg(F.max("to").alias("to"))
     listed = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "to")).alias("held"))
     # Where ranges join up from the first word to the last, the text isn't needed.
     ordered = F.array_sort("held")
     reach = F.aggregate(ordered, F.lit(0), lambda to, r: F.when(r["at"] <= to, F.greatest(to, r["to"])).otherwise(to))
     listed = materialise(listed.withColumn("reach", reach), "ranges")
-    light = parsed.select("doc_id", "t", "n_words", "whole")
+    light = materialise(whole(docs), "whole")
     light = light.join(listed.select("doc_id", "t", "reach"), ["doc_id", "t"], "left")
     part = light.where("reach < n_words").select("doc_id", "t").distinct()
     part = listed.join(part, ["doc_id", "t"], "left_semi").select("doc_id", "t", "held")

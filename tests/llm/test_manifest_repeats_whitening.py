@@ -193,11 +193,20 @@ def test_a_family_of_near_copies(spark):
     assert dedup(spark, rows) == plain_dedup(rows)
 
 
+def test_hot_names_and_a_full_filter(spark, monkeypatch):
+    """Names kept apart, and rows joined with the shared names, give what the plain way gives."""
+    monkeypatch.setattr(recompression, "HOT", 3)
+    monkeypatch.setattr(recompression, "MOST_BITS", 1 << 6)
+    rows = corpus(8, 150, [f"w{i}" for i in range(300)], 100) + [(7, "q r s t u v w x y z 1 2 3 4 5")] * 40
+    assert dedup(spark, rows) == plain_dedup(rows)
+
+
 def test_segments_hold_every_window_once():
     rng = np.random.default_rng(5)
     lengths = np.array([0, 5, 12, 13, 14, 200, 0, 40])
     words = rng.integers(0, 4, lengths.sum()).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    _, _, start, count = recompression.segments(words, lengths, 13, 4)
+    _, start, count, windows = recompression.segments(words, lengths, 13, 4)
+    assert len(windows) == count.sum()
     held = [s + i for s, n in zip(start, count, strict=True) for i in range(n)]
     ends = np.repeat(np.cumsum(lengths), lengths)
     assert held == [i for i in range(len(words)) if i + 13 <= ends[i]]
