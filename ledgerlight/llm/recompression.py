@@ -19,7 +19,8 @@ first. The filter only saves rows; beyond its size the rows are also joined with
 passage that a third of the documents hold is never one task's work. Windows are equal if two hashes of 64 bits are, that
 of the window and that of its representative's words.
 
-Only documents that lose some of their words have their text read again; their ids are broadcast if a count allows it,
+Rows with the whole text of a smaller document lose everything and, if a count says that their ids can be broadcast, are
+left out of the comparison. Only documents that lose some of their words have their text read again; their ids are broadcast if a count allows it,
 and joined otherwise.
 
 Defined results: null and empty texts have no words; a document with fewer words than a window loses none; rows repeated
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, mix, small_or_not
+from .common import BROADCAST_ROWS, arrow_map, materialise, mix, small_or_not
 from .decontamination import MOST_BITS, bloom, passes
 
 WIDTH = 13
@@ -244,6 +245,13 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``t`` of the rows whose whole text a smaller document has."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "t", F.xxhash64(F.lit(WIDTH), "text").alias("t2"))
+    first = rows.groupBy("t", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return rows.join(first, ["t", "t2"]).where("first < doc_id").select("doc_id", "t").distinct()
+
+
 def _parsed(column: pa.Array, width: int, rounds: int) -> Iterator[tuple[np.ndarray, ...]]:
     """For some texts of a batch at a time: the text of each segment, then what :func:`segments` gives, by text."""
     texts = [b" ".join(words_of(x.as_py())) for x in column]
@@ -370,8 +378,11 @@ def whole(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            words = [words_of(x.as_py()) for x in b.column(2)]
-            counts, shas = [len(w) for w in words], [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+            counts, shas = [], []
+            for text in b.column(2):
+                words = words_of(text.as_py())
+                counts.append(len(words))
+                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "t", "n_words", "whole"])
 
     return arrow_map(docs.select("doc_id", "t", "text"), run, "doc_id long, t long, n_words long, whole string")
@@ -409,7 +420,11 @@ def _rest(rows: DataFrame) -> DataFrame:
 
 def _cut(docs: DataFrame, width: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """All rows, parsed and marked with ``none_left``, and the documents that lose some of their words, without those."""
-    found = repeats(docs, width, rounds).groupBy("doc_id", "t", "at").agg(F.max("to").alias("to"))
+    same = materialise(copies(docs), "copies")
+    others = docs
+    if same.count() <= BROADCAST_ROWS:  # more of them are compared like all other texts, with the same result
+        others = docs.join(F.broadcast(same), ["doc_id", "t"], "left_anti").select(*docs.columns)
+    found = repeats(others, width, rounds).groupBy("doc_id", "t", "at").agg(F.max("to").alias("to"))
     listed = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "to")).alias("held"))
     # Where ranges join up from the first word to the last, the text isn't needed.
     ordered = F.array_sort("held")
@@ -417,6 +432,8 @@ def _cut(docs: DataFrame, width: int, rounds: int) -> tuple[DataFrame, DataFrame
     listed = materialise(listed.withColumn("reach", reach), "ranges")
     light = materialise(whole(docs), "whole")
     light = light.join(listed.select("doc_id", "t", "reach"), ["doc_id", "t"], "left")
+    light = light.join(same.withColumn("copy", F.lit(True)), ["doc_id", "t"], "left")
+    light = light.withColumn("reach", F.when(F.col("copy") & (F.col("n_words") >= width), F.col("n_words")).otherwise(F.col("reach")))
     part = light.where("reach < n_words").select("doc_id", "t").distinct()
     part = listed.join(part, ["doc_id", "t"], "left_semi").select("doc_id", "t", "held")
     return light, _rest(_texts_of(docs, part))
