@@ -21,7 +21,6 @@ columns of the input, whatever their names, are not read.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -31,7 +30,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, texts
+from .common import arrow_map, remembers, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TOKENS_SCHEMA = "doc_id long, ids array<int>"
@@ -46,26 +45,55 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Bytes of a piece to ids. ``max_edges`` and ``max_pieces`` bound what a worker remembers."""
+    """Bytes of a piece to ids.
 
-    def __init__(self, ranks: dict[bytes, int], max_edges: int = 500_000, max_pieces: int = 400_000):
+    What a worker remembers is bounded by ``max_edges`` (some 370 bytes each, with their states), ``max_pieces`` (some 230
+    bytes each, in two generations of that size) and ``max_pairs`` (some 140 bytes each): about 330 MB. All of it is
+    numbers, bytes and tuples of them, which no cycles tie together, so what is forgotten is freed at once.
+    """
+
+    #: States are told apart by the last emitted token itself only if more tokens than this could follow it.
+    FOLLOWERS = 24
+
+    def __init__(self, ranks: dict[bytes, int], max_edges: int = 400_000, max_pieces: int = 200_000, max_pairs: int = 600_000):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.beginnings = {token[:k] for token in ranks for k in range(1, len(token))}
-        self.max_edges, self.max_pieces = max_edges, max_pieces
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # Beginning of tokens -> the tokens that go on from it, or None if they are many.
+        self.beginnings: dict[bytes, tuple[int, ...] | None] = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                held = self.beginnings.get(token[:k], ())
+                self.beginnings[token[:k]] = held + (rank,) if held is not None and len(held) < self.FOLLOWERS else None
+        self.max_edges, self.max_pieces, self.max_pairs = max_edges, max_pieces, max_pairs
+        self.pairs: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self._forget()
 
     def _forget(self) -> None:
         # A state: the token emitted last, the bytes since then, and the last token of each prefix of these bytes.
-        # Each state has a row of edges: byte -> (row of the next state, next state, emitted tokens).
-        self.start = (-1, b"", ())
-        self.rows: dict[tuple[int, bytes], dict[int, tuple]] = {(-1, b""): {}}
-        self.edges = 0
+        # An edge: 256 * state + byte -> 2 ** 24 * next state + number of the emitted tokens.
+        self.states: list[tuple[int, bytes, tuple[int, ...]]] = [(-1, b"", ())]
+        self.numbers: dict[tuple, int] = {}
+        self.edges: dict[int, int] = {}
+        self.outputs: list[tuple[int, ...]] = [()]
+        self.output_numbers: dict[tuple[int, ...], int] = {(): 0}
+
+    def _number(self, state: tuple[int, bytes, tuple[int, ...]]) -> int:
+        """The state's number. Of the token emitted last only matters which tokens may not follow it."""
+        before, data, last = state
+        followers = self.beginnings.get(data) if data else None
+        if followers is not None:
+            key = tuple([t for t in followers if not self.compatible(before, t)]), last
+        else:
+            key = before, last
+        number = self.numbers.setdefault(key, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        return number
 
     def merged(self, data: bytes, before: int = 1 << 60) -> list[int]:
         """The merges of rank less than ``before``, in order of rank, over the few bytes of a token."""
@@ -98,11 +126,12 @@ class Transducer:
         The merges beside the seam are undone, the latest first. If the parts that then meet at the seam could
         have merged before the one just undone, they would have.
         """
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.halves(right) != (-1, -1) and (left < 0 or self.seam_holds(left, right))
+            known = self.pairs[pair] = self.halves(right) != (-1, -1) and (left < 0 or self.seam_holds(left, right))
         return known
 
     def seam_holds(self, x: int, y: int) -> bool:
@@ -156,29 +185,35 @@ class Transducer:
         out.reverse()
         return out
 
+    def _edge(self, state: int, byte: int) -> int:
+        after, emitted = self.step(self.states[state], byte)
+        output = self.output_numbers.setdefault(emitted, len(self.outputs))
+        if output == len(self.outputs):
+            self.outputs.append(emitted)
+        edge = self.edges[state << 8 | byte] = self._number(after) << 24 | output
+        return edge
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
-        known = self.pieces.get(piece)
-        if known is not None:
-            return known
-        if self.edges >= self.max_edges:
-            self._forget()
-        out: list[int] = []
-        state, row = self.start, self.rows[-1, b""]
-        for byte in piece.encode():
-            edge = row.get(byte)
-            if edge is None:
-                after, emitted = self.step(state, byte)
-                edge = row[byte] = (self.rows.setdefault(after[:2], {}), after, emitted)
-                self.edges += 1
-            row, state, emitted = edge
-            if emitted:
-                out += emitted
-        last = state[2]
-        out += [last[p - 1] for p in self.chain(last, len(last))]
-        ids = tuple(out)
+        ids = self.pieces.get(piece) or self.older.get(piece)
+        if ids is None:
+            if len(self.edges) >= self.max_edges:
+                self._forget()
+            out: list[int] = []
+            state, known, outputs = 0, self.edges.get, self.outputs
+            for byte in piece.encode():
+                edge = known(state << 8 | byte)
+                if edge is None:
+                    edge = self._edge(state, byte)
+                state = edge >> 24
+                if edge & 0xFFFFFF:
+                    out += outputs[edge & 0xFFFFFF]
+            last = self.states[state][2]
+            out += [last[p - 1] for p in self.chain(last, len(last))]
+            ids = tuple(out)
         if len(piece) <= 64:
+            # Two generations: a piece that is met again moves to the younger one, so common pieces are never forgotten.
             if len(self.pieces) >= self.max_pieces:
-                self.pieces.clear()
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = ids
         return ids
 
@@ -250,6 +285,7 @@ class Decoder:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
+remembers(__name__, _ENCODERS.clear)
 
 
 def encoder(path: str, pattern: str = public_tokenizers.PATTERN) -> Encoder:
@@ -307,6 +343,5 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                 [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-            gc.freeze()  # what the encoder remembers needn't be searched for garbage again
 
     return arrow_map(docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text"), run, SCHEMA)

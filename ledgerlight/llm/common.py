@@ -20,10 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: How a worker drops what an operator remembers between tasks, by the operator's module.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, clear: Callable[[], None]) -> None:
+    _REMEMBERED[module] = clear
+
+
+def take_turn(module: str) -> None:
+    """A worker is used again by later stages: what other operators remember in it is dropped."""
+    for other, clear in _REMEMBERED.items():
+        if other != module:
+            clear()
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow``; workers that were started elsewhere also find this package beside the driver's copy."""
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    return df.mapInArrow(fn, schema)
+    module = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(module)
+        return fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 #: Most rows of two longs that are sent to all executors: about 100 MB as a hash table.

@@ -13,7 +13,7 @@ window are found by runs of words as long as any allowed replacements leave one.
 The filter only saves rows of the join: a larger benchmark passes more places that the join then drops.
 
 Defined results: null, empty and short texts contain nothing; texts of any length are read whole; rows that repeat an
-id are one document, of which the best overlap is reported; rows without an id can't be named and aren't reported;
+id are one document, of which the best overlap is reported (each text is only aligned with its own hits); rows without an id can't be named and aren't reported;
 items without an id are named by a hash of their text; items without words are contained in nothing; of two alignments that are equally good the first counts; empty tables
 give an empty one; further columns, whatever their names, are not read (``keep_clean`` hands them on).
 """
@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, materialise, small_or_not, texts, windows
+from .common import WordHashes, arrow_map, materialise, remembers, small_or_not, texts, windows
 
 WINDOW, LEAST = 13, 0.8
 #: Offsets of the words that count; any two other words of thirteen may differ for one of the masks.
@@ -34,6 +35,7 @@ MASKS = ((0, 2, 3, 4, 6, 7, 8), (0, 1, 2, 5, 7, 8, 9), (0, 1, 4, 5, 6, 9, 11))
 BITS_PER_SEED, MOST_BITS, PROBES = 64, 1 << 27, 4
 
 _WORDS = WordHashes()
+remembers(__name__, _WORDS.clear)
 _VIEW = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -64,15 +66,15 @@ def seeds(words: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     return windows(words, offsets, seed=sum((o + 1) * 31**i for i, o in enumerate(offsets)) & 0xFFFFFFFF)
 
 
-def item_seeds(benchmark: DataFrame, window: int, least: float) -> DataFrame:
-    """``item_id``, ``n_words``, ``mask`` as text, ``place``, ``seed``."""
+def item_seeds(benchmark: DataFrame, window: int, least: float, min_words: int = 1) -> DataFrame:
+    """``item_id``, ``mask`` as text, ``place``, ``seed`` of the items with ``min_words`` or more."""
 
     def run(batches):
         for b in batches:
             out = []
             for item, text in zip(b.column(0), texts(b.column(1)), strict=True):
                 words = words_of(text)
-                for offsets in masks_for(len(words), window, least):
+                for offsets in masks_for(len(words), window, least) if len(words) >= min_words else ():
                     name = ",".join(map(str, offsets))
                     out += [(item.as_py(), name, i, s) for i, s in enumerate(seeds(words, offsets).view(np.int64).tolist())]
             columns = zip(*out, strict=True) if out else ((), (), (), ())
@@ -115,7 +117,7 @@ def passes(table: np.ndarray, seeds_: np.ndarray) -> np.ndarray:
 
 
 def suspects(docs: DataFrame, masks: list[tuple[int, ...]], table: np.ndarray) -> DataFrame:
-    """Documents with places that pass the filter: their words, the seeds there and the places."""
+    """Documents with places that pass the filter: their words and a hash of these, the seeds there and the places."""
 
     def run(batches):
         for b in batches:
@@ -129,12 +131,13 @@ def suspects(docs: DataFrame, masks: list[tuple[int, ...]], table: np.ndarray) -
                     hit += s[places].view(np.int64).tolist()
                     at += places.tolist()
                 if hit:
-                    out.append((doc.as_py(), words.tobytes(), hit, at))
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            types = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "words", "seeds", "places"])
+                    raw = words.tobytes()
+                    out.append((doc.as_py(), xxhash.xxh3_64_intdigest(raw) - (1 << 63), raw, hit, at))
+            columns = zip(*out, strict=True) if out else ((),) * 5
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "row", "words", "seeds", "places"])
 
-    return arrow_map(docs, run, "doc_id long, words binary, seeds array<long>, places array<int>")
+    return arrow_map(docs, run, "doc_id long, row long, words binary, seeds array<long>, places array<int>")
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int, least: float) -> tuple[int, int] | None:
@@ -149,24 +152,27 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int, least: f
     return a + shift, int(same[-1])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``doc_id``, ``item_id``, ``first_word``, ``n_equal``, ``n_words`` of each document and item in it."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", min_words: int = 1) -> DataFrame:
+    """``doc_id``, ``item_id``, ``first_word``, ``n_equal``, ``n_words`` of each document and item in it.
+
+    Items of fewer than ``min_words`` words are left out; :func:`left_out` lists them.
+    """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("long"), F.xxhash64("text")).alias("item_id"), F.col("text").alias("text"))
-    found = materialise(item_seeds(items, window, least), "seeds")
+    found = materialise(item_seeds(items, window, least, min_words), "seeds")
     n = found.count()
     bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (max(n, 1) * BITS_PER_SEED - 1).bit_length()))
     masks = sorted(tuple(map(int, r["mask"].split(","))) for r in found.select("mask").distinct().collect())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     held = materialise(suspects(rows, masks, bloom(found, bits)), "suspects")
-    places = held.select("doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
-    places = places.select("doc_id", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("at"))
-    aligned = places.join(found.select("seed", "item_id", "place"), "seed").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    places = held.select("doc_id", "row", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
+    places = places.select("doc_id", "row", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("at"))
+    aligned = places.join(found.select("seed", "item_id", "place"), "seed").select("doc_id", "row", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
 
     def item_words(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([words_of(t).tobytes() for t in texts(b.column(1))], pa.binary())], ["item_id", "item"])
 
-    with_words = aligned.join(arrow_map(items, item_words, "item_id long, item binary"), "item_id").join(held.select("doc_id", "words"), "doc_id")
+    with_words = aligned.join(arrow_map(items, item_words, "item_id long, item binary"), "item_id").join(held.select("doc_id", "row", "words").distinct(), ["doc_id", "row"])
 
     def verify(batches):
         for b in batches:
@@ -184,6 +190,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
     return checked.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
+def left_out(benchmark: DataFrame, min_words: int, text_col: str = "text") -> DataFrame:
+    """The items with fewer than ``min_words`` words, which say too little to condemn a text that holds them."""
+
+    def run(batches):
+        for b in batches:
+            short = [len(words_of(t)) < min_words for t in texts(b.column(at))]
+            yield b.filter(pa.array(short, pa.bool_()))
+
+    at = benchmark.columns.index(text_col)
+    return arrow_map(benchmark, run, benchmark.schema)
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents, with all their columns, that contain no passage of an item."""
     taken = overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, remembers
 
 #: A-Z lowered; other ASCII characters than letters and digits become spaces.
 WORD_VIEW = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -96,6 +96,7 @@ class Terms(dict):
 
 
 _TERMS: dict[Spec, Terms] = {}
+remembers(__name__, _TERMS.clear)
 _COUNTED = np.zeros(256, np.int64)
 for _k, _chars in enumerate(CLASSES.values()):
     _COUNTED[list(_chars)] = _k + 1

@@ -42,10 +42,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, materialise, mix, small_or_not, texts, windows
+from .common import WordHashes, arrow_map, materialise, mix, remembers, small_or_not, texts, windows
 from .components import components
 
 _WORDS = WordHashes()
+remembers(__name__, _WORDS.clear)
 
 SETS = "doc_id long, n_shingles long, same binary, parts array<long>, rooms array<int>"
 

@@ -249,7 +249,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``t`` of the rows whose whole text a smaller document has."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "t", F.xxhash64(F.lit(WIDTH), "text").alias("t2"))
     first = rows.groupBy("t", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return rows.join(first, ["t", "t2"]).where("first < doc_id").select("doc_id", "t").distinct()
+    return rows.join(small_or_not(materialise(first, "first")), ["t", "t2"]).where("first < doc_id").select("doc_id", "t").distinct()
 
 
 def _parsed(column: pa.Array, width: int, rounds: int) -> Iterator[tuple[np.ndarray, ...]]:

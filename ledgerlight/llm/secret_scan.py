@@ -147,11 +147,11 @@ def blanked(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns; each span, or run of overlapping spans, of the text is replaced by ``mark``.
 
-    ``length_col`` is brought up to date where a text changed. A null text stays null.
+    ``length_col`` is brought up to date where a text changed, if it holds whole numbers of any width. A null text stays null.
     """
     names = docs.columns
     at, n_at = names.index(text_col), names.index(length_col) if length_col in names else None
-    whole = None if n_at is None else isinstance(docs.schema[n_at].dataType, T.LongType)
+    whole = None if n_at is None else isinstance(docs.schema[n_at].dataType, T.IntegralType)
 
     def run(batches):
         use = scanner()
@@ -162,7 +162,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
             arrays[at] = pa.array(new, column.type)
             if whole:
                 old = zip(column, new, b.column(n_at), strict=True)
-                arrays[n_at] = pa.array([n.as_py() if t.as_py() == u else len(u) for t, u, n in old], pa.int64())
+                arrays[n_at] = pa.array([n.as_py() if t.as_py() == u else len(u) for t, u, n in old], b.schema.field(n_at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
 
     return arrow_map(docs, run, docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import arrow_map, run_dir, texts
+from .common import arrow_map, remembers, run_dir, texts
 
 BLOCK, END = 2048, 1
 #: Words of a text by Unicode's white space: the tokenizer drops it, and nothing is merged across it.
@@ -105,6 +105,7 @@ class Words:
 
 
 _WORDS: dict[tuple[str, bool], Words] = {}
+remembers(__name__, _WORDS.clear)
 
 
 def tokenizer(path: str, added_tokens: bool = False) -> Words:

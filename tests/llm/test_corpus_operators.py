@@ -413,3 +413,23 @@ def test_bodies_come_from_the_response(spark):
 
 def test_revisits_of_nothing(spark):
     assert revisits.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_repeated_id_is_verified_row_by_row(spark, monkeypatch):
+    """One id in a third of the rows: each text meets its own hits, not those of all rows of the id."""
+    item = " ".join(WORDS[:15])
+    rows = [(7, f"{w} {item}") for w in WORDS[20:120]] + [(i, " ".join(WORDS[i : i + 30])) for i in range(20, 220)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    counted = []
+    monkeypatch.setattr(decontamination, "arrow_map", lambda df, fn, schema, keep=decontamination.arrow_map: (counted.append(df), keep(df, fn, schema))[1])
+    found = decontamination.overlaps(spark.createDataFrame(rows, DOCS), bench)
+    assert [tuple(r) for r in found.collect()] == [(7, 1, 1, 15, 15)]
+    assert counted[-1].count() == 100
+
+
+def test_short_items_are_left_out(spark):
+    docs = spark.createDataFrame([(1, "yes we can"), (2, " ".join(WORDS[:20])), (3, "no")], DOCS)
+    bench = spark.createDataFrame([(1, "yes"), (2, " ".join(WORDS[:15])), (3, None)], "item_id long, text string")
+    assert sorted(r[0] for r in decontamination.keep_clean(docs, bench).collect()) == [3]
+    assert sorted(r[0] for r in decontamination.keep_clean(docs, bench, min_words=13).collect()) == [1, 3]
+    assert sorted(r[0] for r in decontamination.left_out(bench, 13).collect()) == [1, 3]

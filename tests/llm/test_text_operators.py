@@ -173,3 +173,49 @@ def test_empty_tables(spark):
 
 def test_crc_of_nothing():
     assert zlib.crc32(b"") == 0
+
+
+def test_byte_bpe_memory_stays_flat(bpe):
+    """Over many forgettings what is traced stops growing."""
+    import gc
+    import tracemalloc
+
+    encoder, rng = byte_bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(6)
+    t = encoder.transducer
+    t.max_edges, t.max_pieces, t.max_pairs = 2000, 1000, 3000
+    forgotten, forget = [], t._forget
+    t._forget = lambda: (forgotten.append(1), forget())
+
+    def some(times):
+        while len(forgotten) < times:
+            text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 12))) for _ in range(50))
+            assert encoder.encode(text) == bpe.encode_ordinary(text)
+        gc.collect()
+        return tracemalloc.get_traced_memory()[0]
+
+    some(10)
+    tracemalloc.start()
+    try:
+        early, late = some(25), some(75)
+    finally:
+        tracemalloc.stop()
+    assert late < early + 2_000_000
+    assert len(t.pieces) <= 1000 and len(t.older) <= 1000 and len(t.pairs) <= 3000
+
+
+def test_redaction_counts_in_narrow_columns(spark):
+    docs = spark.createDataFrame([("password: hunter2hunter2", 24)], "text string, n_chars int")
+    out = secret_scan.redact(docs)
+    assert out.schema == docs.schema
+    row = out.first()
+    assert row["n_chars"] == len(row["text"]) < 24
+
+
+def test_workers_drop_what_other_operators_remember():
+    from ledgerlight.llm import common, decontamination
+
+    decontamination.words_of("some words")
+    common.take_turn(decontamination.__name__)
+    assert decontamination._WORDS
+    common.take_turn(byte_bpe.__name__)
+    assert not decontamination._WORDS
