@@ -27,7 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    """Items of fewer words than a window are left out: a word or two would condemn every text that holds them."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"), min_words=decontamination.WINDOW)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
