@@ -47,21 +47,24 @@ def window_sums(costs, as_of, keys, tenant_id=None, aws_account_id=None) -> Data
     )
 
 
-def _avg(column: str, days: int) -> Column:
-    return F.coalesce(F.col(column), F.lit(0)).cast("double") / days
+def _avg(column: str | Column, days: int) -> Column:
+    return F.coalesce(_column(column), F.lit(0)).cast("double") / days
 
 
-def _avg_usd(column: str, days: int) -> Column:
-    return per_day(F.coalesce(F.col(column), F.lit(0)), days, 2)
+def _avg_usd(column: str | Column, days: int) -> Column:
+    return per_day(F.coalesce(_column(column), F.lit(0)), days, 2)
+
+
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 CURRENT, BASELINE = ("cur", CURRENT_DAYS), ("base", BASELINE_DAYS)
 
 
-def _shape(df, type_, severity, service, region, current, baseline, pct, description) -> DataFrame:
-    return df.select(
-        "tenant_id", "aws_account_id",
-        F.lit(type_).alias("anomaly_type"),
+def _fields(type_, severity, service, region, current, baseline, pct, description) -> list[Column]:
+    return [
+        type_.alias("anomaly_type"),
         severity.alias("severity"),
         service.cast("string").alias("service"),
         region.cast("string").alias("region"),
@@ -69,9 +72,12 @@ def _shape(df, type_, severity, service, region, current, baseline, pct, descrip
         F.round(baseline, 2).cast(MONEY).alias("baseline_value"),
         F.round(pct, 2).cast(PERCENT).alias("percent_change"),
         description.alias("description"),
-    )
+    ]
 
 
+def _shape(df, type_, *fields) -> DataFrame:
+    return df.select("tenant_id", "aws_account_id", *_fields(F.lit(type_), *fields))
+
 
 def spend_spikes(costs, as_of, by_region=False, threshold_pct=SPIKE_PCT, tenant_id=None, aws_account_id=None) -> DataFrame:
     """Scopes whose daily mean rose by more than 50 % over a positive baseline."""
@@ -211,22 +217,111 @@ def baseline_stats(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFra
     )
 
 
+def account_vectors(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFrame:
+    """One row per account, from one scan: its services and regions with both windows' sums, and its days.
+
+    Facts are summed to days per service and region first, so the grouping sets expand cells and not the facts. The
+    three lists are as long as an account has services, regions and days of the 97. A sum is NULL without rows.
+    """
+    current, keys = is_current(as_of), ["tenant_id", "aws_account_id", "service", "region", "date"]
+    cells = window_rows(costs, as_of, tenant_id, aws_account_id).groupBy(*keys).agg(F.sum("cost_usd").alias("cost_usd"))
+    sets = cells.groupingSets([[*keys[:2], k] for k in keys[2:]], *keys).agg(
+        F.grouping_id(*keys).cast("int").alias("gid"),
+        F.sum(F.when(current, F.col("cost_usd"))).cast(TOTAL).alias("cur"),
+        F.sum(F.when(~current, F.col("cost_usd"))).cast(TOTAL).alias("base"),
+    )
+
+    def listed(gid, *fields):
+        return F.collect_list(F.when(F.col("gid") == gid, F.struct(*fields)))
+
+    return sets.groupBy("tenant_id", "aws_account_id").agg(
+        listed(0b011, F.col("service").alias("name"), "cur", "base").alias("services"),
+        listed(0b101, F.col("region").alias("name"), "cur", "base").alias("regions"),
+        listed(0b110, "date", "cur", "base").alias("days"),
+    )
+
+
+def _service_events(threshold_pct) -> Column:
+    """Spikes and new services; no service is both."""
+    def event(s):
+        current, baseline = _avg(s["cur"], CURRENT_DAYS), _avg(s["base"], BASELINE_DAYS)
+        pct = (current - baseline) / F.when(baseline > 0, baseline) * 100
+        spike = s["cur"].isNotNull() & (pct > threshold_pct)
+        fresh = s["base"].isNull() & (s["cur"] > 0)
+        severity = F.when(fresh | (pct < 100), "info").when(pct < 200, "warning").otherwise("critical")
+        text = F.concat(s["name"], F.when(fresh, " was not used in the 90 days before").otherwise(" daily spend is above its 90-day mean"))
+        kind = F.when(fresh, "new_service").otherwise("spend_spike")
+        found = F.struct(*_fields(
+            kind, severity, s["name"], F.lit(None), _avg_usd(s["cur"], CURRENT_DAYS), _avg_usd(s["base"], BASELINE_DAYS),
+            F.when(fresh, 0.0).otherwise(pct), text,
+        ))
+        return F.when(spike | fresh, found)
+
+    return F.transform("services", event)
+
+
+def _region_events(points) -> Column:
+    def whole(c):
+        total = F.aggregate("regions", F.lit(0).cast(TOTAL), lambda acc, r: (acc + F.coalesce(r[c], F.lit(0))).cast(TOTAL))
+        return total.cast("double")
+
+    sums = F.struct(whole("cur").alias("cur"), whole("base").alias("base"))
+
+    def event(r, t):
+        def share(c):
+            return F.when(t[c] > 0, F.coalesce(r[c], F.lit(0)).cast("double") / t[c] * 100)
+
+        change = share("cur") - share("base")
+        severity = F.when(F.abs(change) < 2 * points, "info").otherwise("warning")
+        text = F.concat(F.lit("Share of "), r["name"], F.lit(" in account spend shifted"))
+        found = F.struct(*_fields(
+            F.lit("regional_shift"), severity, F.lit(None), r["name"], _avg_usd(r["cur"], CURRENT_DAYS), _avg_usd(r["base"], BASELINE_DAYS), change, text,
+        ))
+        return F.when(F.abs(change) >= points, found)
+
+    # The totals are worked out once an account, as the only element of an array.
+    return F.flatten(F.transform(F.array(sums), lambda t: F.transform("regions", lambda r: event(r, t))))
+
+
+def _day_events(z_min) -> Column:
+    past = F.filter("days", lambda d: d["base"].isNotNull())
+
+    def stats(d):
+        same = F.filter(past, lambda p: F.dayofweek(p["date"]) == F.dayofweek(d["date"]))
+        total = F.aggregate(same, F.lit(0).cast(TOTAL), lambda acc, p: (acc + p["base"]).cast(TOTAL))
+        mean = F.when(F.size(same) > 0, (total / F.size(same)).cast("decimal(32,10)"))
+        return F.struct(d.alias("d"), same.alias("same"), mean.alias("mean"))
+
+    def spread(s):
+        values = F.transform(s["same"], lambda p: p["base"].cast("double"))
+        n = F.size(values)
+        mean = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / F.when(n > 0, n)
+        squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+        return F.struct(s["d"].alias("d"), s["mean"].alias("mean"), n.alias("n"), F.sqrt(squares / F.when(n > 1, n - 1)).alias("sd"))
+
+    def event(s):
+        total, mean = s["d"]["cur"].cast("double"), s["mean"].cast("double")
+        z = (total - mean) / F.when(s["sd"] > 0, s["sd"])
+        severity = F.when(F.abs(z) < 2 * z_min, "warning").otherwise("critical")
+        text = F.concat(F.lit("Spend of "), s["d"]["date"].cast("string"), F.lit(" is unusual for its weekday"))
+        found = F.struct(*_fields(
+            F.lit("unusual_pattern"), severity, F.lit(None), F.lit(None), s["d"]["cur"], s["mean"], F.when(mean != 0, (total - mean) / mean * 100), text,
+        ))
+        return F.when((s["n"] >= SEASONAL_MIN_SAMPLES) & (F.abs(z) >= z_min), found)
+
+    now = F.filter("days", lambda d: d["cur"].isNotNull())
+    return F.transform(F.transform(F.transform(now, stats), spread), event)
+
+
 def anomaly_events(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFrame:
     """All detectors in the shape of the anomaly table.
 
-    The detectors filter the same window, so the plan computes the cost records of
-    that window once and reuses the exchange.
+    One scan and one row per account; every detector is a fold over the account's lists.
     """
-    parts = [
-        spend_spikes(costs, as_of, tenant_id=tenant_id, aws_account_id=aws_account_id),
-        new_services(costs, as_of, tenant_id, aws_account_id),
-        regional_shift(costs, as_of, tenant_id=tenant_id, aws_account_id=aws_account_id),
-        seasonal_deviation(costs, as_of, tenant_id=tenant_id, aws_account_id=aws_account_id),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    vectors = account_vectors(costs, as_of, tenant_id, aws_account_id)
+    found = F.concat(_service_events(SPIKE_PCT), _region_events(SHIFT_POINTS), _day_events(SEASONAL_Z))
+    rows = vectors.select("tenant_id", "aws_account_id", F.inline(F.array_compact(found)))
     key = [F.col(c) for c in ("tenant_id", "aws_account_id", "anomaly_type", "service", "region", "description")]
-    return out.select(
+    return rows.select(
         stable_id("anomaly", *key, F.lit(as_date(as_of))).alias("id"), *ANOMALY_COLUMNS,
     )

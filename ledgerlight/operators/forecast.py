@@ -21,7 +21,6 @@ from .anomaly import filled_moments
 
 HISTORY_DAYS = 60
 DEFAULT_BUDGET = 10000
-DEFAULT_DAYS_REMAINING = 15
 Z_80 = 1.2816  # two-sided 80 % of a normal distribution
 LOGISTIC = 1.702  # scale that brings the logistic curve close to the normal one
 
@@ -128,16 +127,23 @@ def forecast_linear(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFr
 def forecast_exponential(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFrame:
     """Trend of the logarithm over days with positive spend; none with fewer than two such days."""
     series = account_series(costs, as_of, tenant_id, aws_account_id).where(F.col("ln_slope").isNotNull())
+    return _shape(series, "exponential", *_exponential(as_of))
+
+
+def _exponential(as_of) -> tuple[Column, Column]:
     rest = F.aggregate(
         _future(as_of), F.lit(0.0), lambda acc, x: acc + F.exp(F.col("ln_icept") + F.col("ln_slope") * x)
     )
-    return _shape(series, "exponential", F.col("mtd").cast("double") + rest, F.coalesce("ln_r2", F.lit(1.0)))
+    return F.col("mtd").cast("double") + rest, F.coalesce("ln_r2", F.lit(1.0))
 
 
 def forecast_seasonal(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFrame:
     """Every remaining day costs the mean of its weekday. Confidence is the share of
     the variance explained by the weekday."""
-    series = account_series(costs, as_of, tenant_id, aws_account_id)
+    return _shape(account_series(costs, as_of, tenant_id, aws_account_id), "seasonal", *_seasonal(as_of))
+
+
+def _seasonal(as_of) -> tuple[Column, Column]:
     weights = _weekday_weights(as_of)
     rest, between = F.lit(0.0), F.lit(0.0)
     for d, (past, ahead) in weights.items():
@@ -145,7 +151,7 @@ def forecast_seasonal(costs, as_of, tenant_id=None, aws_account_id=None) -> Data
         rest = rest + mean * ahead
         between = between + past * (mean - F.col("mean")) * (mean - F.col("mean"))
     confidence = F.when(F.col("syy") > 0, between / F.col("syy")).otherwise(F.lit(1.0))
-    return _shape(series, "seasonal", F.col("mtd").cast("double") + rest, confidence)
+    return F.col("mtd").cast("double") + rest, confidence
 
 
 def forecast_interval(costs, as_of, days_ahead: int = 30, tenant_id=None, aws_account_id=None) -> DataFrame:
@@ -180,13 +186,30 @@ def budget_breach(costs, budgets, as_of, tenant_id=None, aws_account_id=None, de
     when it is not reached this month. An account without a budget, or with a limit
     of 0, is measured against the default.
     """
-    n = remaining_days(as_of)
     series = _with_trend(account_series(costs, as_of, tenant_id, aws_account_id))
     series = series.withColumn("projected", _linear_projection(as_of))
     rows = series.join(account_budgets(budgets), ["tenant_id", "aws_account_id"], "left").withColumn(
-        "budget_limit", F.coalesce(F.nullif(F.col("limit_usd"), F.lit(0).cast(MONEY)), F.lit(default_budget).cast(MONEY))
+        "budget_limit", _limit_or_default(F.col("limit_usd"), default_budget)
     )
-    limit, mtd = F.col("budget_limit").cast("double"), F.col("mtd").cast("double")
+    probability, days = _breach(F.col("budget_limit"), as_of)
+    return rows.select(
+        "tenant_id", "aws_account_id", "budget_id",
+        F.col("mtd").alias("mtd_usd"),
+        F.round("projected", 4).alias("projected_month_end_usd"),
+        "budget_limit",
+        probability.alias("budget_breach_probability"),
+        days.alias("days_to_breach"),
+    )
+
+
+def _limit_or_default(limit: Column, default_budget) -> Column:
+    return F.coalesce(F.nullif(limit, F.lit(0).cast(MONEY)), F.lit(default_budget).cast(MONEY))
+
+
+def _breach(budget_limit: Column, as_of) -> tuple[Column, Column]:
+    """Chance and first day of the linear forecast exceeding a limit."""
+    n = remaining_days(as_of)
+    limit, mtd = budget_limit.cast("double"), F.col("mtd").cast("double")
     gap, spread = F.col("projected") - limit, F.col("sd") * n**0.5
     probability = F.when(spread > 0, 1 / (1 + F.exp(-LOGISTIC * gap / spread))).otherwise(
         F.when(gap >= 0, 1.0).otherwise(0.0)
@@ -198,45 +221,50 @@ def budget_breach(costs, budgets, as_of, tenant_id=None, aws_account_id=None, de
         return F.struct(spent.alias("spent"), hit.cast("int").alias("hit"))
 
     start = F.struct(mtd.alias("spent"), F.when(mtd >= limit, 0).cast("int").alias("hit"))
-    days = F.aggregate(_future(as_of), start, step)["hit"]
-    return rows.select(
-        "tenant_id", "aws_account_id", "budget_id",
-        F.col("mtd").alias("mtd_usd"),
-        F.round("projected", 4).alias("projected_month_end_usd"),
-        "budget_limit",
-        F.round(probability, 4).alias("budget_breach_probability"),
-        days.alias("days_to_breach"),
-    )
+    return F.round(probability, 4), F.aggregate(_future(as_of), start, step)["hit"]
 
 
-def forecast_records(costs, budgets, as_of, tenant_id=None, aws_account_id=None) -> DataFrame:
+def forecast_records(costs, budgets, as_of, tenant_id=None, aws_account_id=None, default_budget=DEFAULT_BUDGET) -> DataFrame:
     """All methods in the shape of the forecast table; the tightest budget is attached
-    to the linear rows."""
-    methods = [
-        f(costs, as_of, tenant_id, aws_account_id) for f in (forecast_linear, forecast_exponential, forecast_seasonal)
-    ]
-    rows = methods[0].unionByName(methods[1]).unionByName(methods[2])
-    breach = (
-        budget_breach(costs, budgets, as_of, tenant_id, aws_account_id)
-        .groupBy("tenant_id", "aws_account_id")
-        .agg(
-            F.min("budget_limit").alias("budget_limit"),
-            F.max("budget_breach_probability").alias("budget_breach_probability"),
-            F.min("days_to_breach").alias("days_to_breach"),
+    to the linear rows.
+
+    One scan and one row per account, from which every method is a struct of an array; the budgets of an account
+    are a list beside it.
+    """
+    key = ["tenant_id", "aws_account_id"]
+    limits = account_budgets(budgets).groupBy(*key).agg(F.collect_list(F.struct("limit_usd")).alias("limits"))
+    series = _with_trend(account_series(costs, as_of, tenant_id, aws_account_id)).withColumn("projected", _linear_projection(as_of))
+    rows = series.join(limits, key, "left")
+    none = F.array(F.struct(F.lit(None).cast(MONEY).alias("limit_usd")))
+    held = F.transform(F.coalesce("limits", none), lambda b: _limit_or_default(b["limit_usd"], default_budget))
+    rows = rows.withColumn("limits", held)
+
+    def method(name, projected, confidence, limit=None, probability=None, days=None):
+        return F.struct(
+            F.lit(name).alias("method"),
+            F.round(projected, 4).alias("projected"),
+            F.round(_clip01(confidence), 4).alias("confidence"),
+            (F.lit(None) if limit is None else limit).cast(MONEY).alias("budget_limit"),
+            (F.lit(None) if probability is None else probability).cast("double").alias("probability"),
+            (F.lit(None) if days is None else days).cast("int").alias("days_to_breach"),
         )
-        .withColumn("method", F.lit("linear"))
+
+    linear = method(
+        "linear", F.col("projected"), F.col("r2"), F.array_min("limits"),
+        F.array_max(F.transform("limits", lambda b: _breach(b, as_of)[0])), F.array_min(F.transform("limits", lambda b: _breach(b, as_of)[1])),
     )
-    joined = rows.join(breach, ["tenant_id", "aws_account_id", "method"], "left")
+    exponential = F.when(F.col("ln_slope").isNotNull(), method("exponential", *_exponential(as_of)))
+    methods = F.array_compact(F.array(linear, exponential, method("seasonal", *_seasonal(as_of))))
     day = F.lit(as_date(as_of))
-    return joined.select(
+    return rows.select(*key, F.inline(methods)).select(
         stable_id("forecast", F.col("tenant_id"), F.col("aws_account_id"), F.col("method"), day).alias("id"),
-        "tenant_id", "aws_account_id",
+        *key,
         F.lit("monthly").alias("forecast_period"),
         day.alias("forecast_date"),
-        F.round("projected_month_end_usd", 2).cast(MONEY).alias("forecasted_cost_usd"),
-        F.round("confidence_level", 2).cast("decimal(3,2)").alias("confidence_level"),
+        F.round("projected", 2).cast(MONEY).alias("forecasted_cost_usd"),
+        F.round("confidence", 2).cast("decimal(3,2)").alias("confidence_level"),
         "method", "budget_limit",
-        F.round("budget_breach_probability", 2).cast("decimal(3,2)").alias("budget_breach_probability"),
+        F.round("probability", 2).cast("decimal(3,2)").alias("budget_breach_probability"),
         "days_to_breach",
         F.lit("").alias("notes"),
     )

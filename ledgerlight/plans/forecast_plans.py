@@ -76,26 +76,31 @@ def forecasts_table_query(spark, sf):
     return forecasts_table(docs, AS_OF)
 
 
-@query(
-    "cost_report",
-    f"""SELECT t.tenant_id, 'weekly' AS report_type, {D} - 7 AS period_start, {D} AS period_end,
+def report_sql(report_type):
+    days, year = R.REPORT_DAYS[report_type]
+    return f"""SELECT t.tenant_id, '{report_type}' AS report_type, {D} - {days} AS period_start, {D} AS period_end,
   cast(round(c, 2) AS DECIMAL(24,2)) AS total_usd, cast(round(p, 2) AS DECIMAL(24,2)) AS previous_usd,
   cast(round(y, 2) AS DECIMAL(24,2)) AS year_ago_usd,
   CASE WHEN p > 0 THEN round((c::DOUBLE - p::DOUBLE) / p::DOUBLE * 100, 1) END AS pct_previous,
   CASE WHEN y > 0 THEN round((c::DOUBLE - y::DOUBLE) / y::DOUBLE * 100, 1) END AS pct_year_ago,
   d.top_drivers, coalesce(b.warning, 0) AS budgets_warning, coalesce(b.critical, 0) AS budgets_critical, coalesce(a.n, 0) AS anomalies
-FROM (SELECT tenant_id, coalesce(sum(cost_usd) FILTER (WHERE date >= {D} - 7 AND date < {D}), 0) AS c,
-    coalesce(sum(cost_usd) FILTER (WHERE date >= {D} - 14 AND date < {D} - 7), 0) AS p,
-    coalesce(sum(cost_usd) FILTER (WHERE date >= {D} - 371 AND date < {D} - 364), 0) AS y
-  FROM cost_records WHERE (date >= {D} - 14 AND date < {D}) OR (date >= {D} - 371 AND date < {D} - 364) GROUP BY 1) t
+FROM (SELECT tenant_id, coalesce(sum(cost_usd) FILTER (WHERE date >= {D} - {days} AND date < {D}), 0) AS c,
+    coalesce(sum(cost_usd) FILTER (WHERE date >= {D} - {2 * days} AND date < {D} - {days}), 0) AS p,
+    coalesce(sum(cost_usd) FILTER (WHERE date >= {D} - {year + days} AND date < {D} - {year}), 0) AS y
+  FROM cost_records WHERE (date >= {D} - {2 * days} AND date < {D}) OR (date >= {D} - {year + days} AND date < {D} - {year}) GROUP BY 1) t
 LEFT JOIN (SELECT tenant_id, string_agg(service, ', ' ORDER BY t DESC, service) AS top_drivers FROM (
     SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY t DESC, service) AS rn FROM (
-      SELECT tenant_id, service, sum(cost_usd) AS t FROM cost_records WHERE date >= {D} - 7 AND date < {D} GROUP BY 1, 2)) WHERE rn <= 3 GROUP BY 1) d
+      SELECT tenant_id, service, sum(cost_usd) AS t FROM cost_records WHERE date >= {D} - {days} AND date < {D} GROUP BY 1, 2)) WHERE rn <= 3 GROUP BY 1) d
   ON d.tenant_id = t.tenant_id
 LEFT JOIN (SELECT tenant_id, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'critical') AS critical
   FROM ({status_sql(f"SELECT * FROM tenant_status WHERE is_active AND as_of = {D}")}) GROUP BY 1) b ON b.tenant_id = t.tenant_id
-LEFT JOIN (SELECT tenant_id, count(*) AS n FROM anomaly_list GROUP BY 1) a ON a.tenant_id = t.tenant_id""",
-)
-def cost_report(spark, sf):
-    costs = sample.cost_records(spark, sf)
-    return R.cost_report(costs, sample.budgets(spark, sf, costs), AS_OF, "weekly")
+LEFT JOIN (SELECT tenant_id, count(*) AS n FROM anomaly_list GROUP BY 1) a ON a.tenant_id = t.tenant_id"""
+
+
+for _name, _type in [("cost_report", "weekly"), ("cost_report_daily", "daily"), ("cost_report_monthly", "monthly")]:
+
+    def _report(spark, sf, report_type=_type):
+        costs = sample.cost_records(spark, sf)
+        return R.cost_report(costs, sample.budgets(spark, sf, costs), AS_OF, report_type)
+
+    query(_name, report_sql(_type))(_report)

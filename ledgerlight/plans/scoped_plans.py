@@ -2,6 +2,7 @@
 
 from ..functions.dates import days_before
 from ..operators import anomaly as A
+from ..operators import budgets as B
 from ..operators import costs as C
 from ..operators import inventory as I
 from ..operators import quality as Q
@@ -9,11 +10,11 @@ from ..schemas import COST, DOMAINS
 from ..sinks import run_dir, write_cost_table
 from ..sources import feed, sample, tables
 from ..sources.sample import AS_OF, EVENTS_AS_OF, PRIOR_AS_OF
-from .budget_plans import ALERT, BUDGET, stamp, status, stored_alerts
+from .budget_plans import ALERT, ALERTS_SQL, BUDGET, stamp, status_sql, stored_alerts
 from .ingest_plans import RECORD, RECORD_SQL
 from .registry import CATALOG, query
-from .sync import run_ingestion, stored_sync
-from .views import D
+from .sync import run_ingestion, stored_sync, sync_tables
+from .views import D, P
 
 TENANT, ACCOUNT = sample.TENANTS[1], sample.ACCOUNTS[5]
 OF_TENANT = f"tenant_id = '{TENANT}'"
@@ -42,7 +43,8 @@ def daily_costs_one_tenant(spark, sf):
 
 @query("budget_status_one_tenant", of_tenant("budget_status"))
 def budget_status_one_tenant(spark, sf):
-    return status(spark, sf).where(f"tenant_id = '{TENANT}'")
+    costs = sample.cost_records(spark, sf)
+    return B.budget_status(costs, sample.budgets(spark, sf, costs), AS_OF, "account", sample.accounts(spark, sf), tenant_id=TENANT)
 
 
 @query("active_budgets_one_account", f"SELECT {', '.join(BUDGET)} FROM budgets WHERE is_active AND {OF_TENANT} AND (aws_account_id IS NULL OR aws_account_id = '{ACCOUNT}')")
@@ -94,6 +96,33 @@ def sync_fact_table(spark, sf):
     return spark.read.parquet(facts).select(*STORED.split(", "))
 
 
+def synced_tables(spark, sf):
+    """A sync of a week ago and one of today, which ran twice, into a folder of their own."""
+    folder = run_dir(spark, "sync")
+    costs = sample.cost_records(spark, sf)
+    write_cost_table(costs.where(f"date < DATE'{PRIOR_AS_OF}'"), f"{folder}/cost_records")
+    lines, owners, limits = sample.usage_lines(spark, sf), sample.accounts(spark, sf), sample.budgets(spark, sf, costs)
+    for batch, day in ((0, PRIOR_AS_OF), (1, AS_OF), (1, AS_OF)):
+        sync_tables(spark, lines, owners, limits, folder, batch, day, stamp(day))
+    return folder
+
+
+EVENTS_NOW = f"""SELECT tenant_id, budget_id, aws_account_id, severity, current_usd AS current_value, limit_usd AS threshold_value,
+  cast(percent_used AS DECIMAL(18,1)) AS percent_used, row_number() OVER (PARTITION BY tenant_id, budget_id ORDER BY evaluated_account) AS rn FROM """
+SYNCED = "tenant_id, budget_id, aws_account_id, severity, current_value, threshold_value, percent_used, triggered_at"
+
+
+@query(
+    "sync_alerts",
+    f"""WITH w AS (SELECT *, cast({P} AS TIMESTAMP) AS triggered_at FROM ({EVENTS_NOW} ({status_sql("SELECT * FROM account_status_prior")}) WHERE firing) WHERE rn = 1),
+n AS (SELECT *, cast({D} AS TIMESTAMP) AS triggered_at FROM ({EVENTS_NOW} ({ALERTS_SQL})) WHERE rn = 1)
+SELECT {SYNCED} FROM w UNION ALL SELECT {SYNCED} FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.tenant_id = n.tenant_id AND w.budget_id = n.budget_id)""",
+)
+def sync_alerts(spark, sf):
+    """The stored alerts: one firing per budget over both syncs, none lost by the repetition."""
+    return spark.read.parquet(f"{synced_tables(spark, sf)}/alerts").select(*SYNCED.split(", "))
+
+
 def outside(source, name, column, domain):
     allowed = ", ".join(f"'{v}'" for v in DOMAINS[domain])
     return f"SELECT '{name}.{column}' AS check_name, count(*) FILTER (WHERE {column} IS NULL OR {column} NOT IN ({allowed})) AS violations FROM ({source}) AS t"
@@ -103,9 +132,11 @@ CHECKED = {
     "cost_records": ("SELECT * FROM cost_records", {"granularity": "granularity", "service_group": "service_group"}),
     "budgets": ("SELECT * FROM budgets", {"period": "budget_period"}),
     "alerts": ("SELECT * FROM stored_alerts", {"severity": "severity", "state": "alert_state"}),
+    "events": (CATALOG["alert_event_types"].sql, {"alert_type": "alert_type", "severity": "severity"}),
     "anomalies": (CATALOG["anomaly_events"].sql, {"anomaly_type": "anomaly_type", "severity": "severity"}),
     "forecasts": (CATALOG["forecast_records"].sql, {"method": "forecast_method"}),
     "agent_runs": ("SELECT * FROM agent_log", {"status": "run_status"}),
+    "recommendations": (CATALOG["recommendations_table"].sql, {"status": "recommendation_status"}),
     "inventory": ("SELECT * FROM inventory", {"state": "resource_state"}),
     "pulled": ("SELECT 'MONTHLY' AS granularity, service AS service_group FROM cost_records", {"granularity": "granularity", "service_group": "service_group"}),
 }
@@ -122,9 +153,11 @@ def domain_violations(spark, sf):
         "cost_records": costs,
         "budgets": sample.budgets(spark, sf, costs),
         "alerts": stored_alerts(spark, sf),
+        "events": CATALOG["alert_event_types"].build(spark, sf),
         "anomalies": A.anomaly_events(costs, AS_OF),
         "forecasts": CATALOG["forecast_records"].build(spark, sf),
         "agent_runs": sample.agent_runs(spark, sf),
+        "recommendations": CATALOG["recommendations_table"].build(spark, sf),
         "inventory": I.resource_inventory(sample.resource_utilization(spark, sf), EVENTS_AS_OF),
         "pulled": costs.selectExpr("'MONTHLY' AS granularity", "service AS service_group"),
     }

@@ -2,15 +2,17 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import months_back
 from ..operators import alerts as AL
+from ..operators import anomaly as A
 from ..operators import budgets as B
 from ..operators import forecast as FC
 from ..operators.jobs import account_alias_enrich
-from ..sinks import alert_dedup_append, append_table, upsert_cost_records, write_cost_table
+from ..schemas import ALERTS
+from ..sinks import alert_dedup_append, anomalies_table, append_table, earlier_batches, forecasts_table, upsert_cost_records, write_cost_table
 from ..sources import feed
 from ..sources.tables import scoped
 
@@ -75,9 +77,31 @@ def run_ingestion(
 
 
 def stored_sync(sync: Sync, costs_path: str, alerts_path: str, batch_id: int) -> None:
-    """Store what a sync changed. A sync that is run again under its batch id leaves the same tables.
+    """Store what a sync changed. A sync that is run again under its batch id leaves the same tables, if its alerts were
+    found against ``earlier_batches``.
 
     Alerts go first: they are found against the alerts stored before, and the fact table may be read by their plan.
     """
     append_table(sync.alerts, alerts_path, batch_id)
     write_cost_table(sync.costs, costs_path)
+
+
+def sync_tables(
+    spark: SparkSession, lines: DataFrame, accounts: DataFrame, budgets: DataFrame, folder: str, batch_id: int, as_of, now: Column
+) -> Sync:
+    """One sync against the tables in ``folder``, stored there: cost records, alerts, anomalies and forecasts.
+
+    ``batch_id`` counts syncs from 0. Everything is found against the fact table and the batches before, so a sync that
+    stopped anywhere is simply run again. Anomalies and forecasts are those of the fact table after the sync.
+    """
+    facts = f"{folder}/cost_records"
+    stored = earlier_batches(spark, f"{folder}/alerts", ALERTS, batch_id)
+    done = run_ingestion(lines, accounts, budgets, spark.read.parquet(facts), stored, as_of, now)
+    stored_sync(done, facts, f"{folder}/alerts", batch_id)
+    after = spark.read.parquet(facts)
+    append_table(anomalies_table(A.anomaly_events(after, as_of).withColumn("suspected_cause", F.lit("")), now), f"{folder}/anomalies", batch_id)
+    breaches = FC.budget_breach(after, budgets, as_of).withColumns(
+        {"forecast_period": F.lit("monthly"), "method": F.lit("linear"), "notes": F.lit(""), "confidence_level": F.lit(0)}
+    )
+    append_table(forecasts_table(breaches, as_of), f"{folder}/forecasts", batch_id)
+    return done

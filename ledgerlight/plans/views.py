@@ -297,3 +297,5 @@ SELECT event_id AS change_id, {event_account()} AS aws_account_id, 'i-' || user_
   CASE WHEN event_type = 'signup' THEN 'created' ELSE 'terminated' END AS action, ts AS changed_at
 FROM events WHERE event_type IN ('signup', 'error')""",
 }
+# The same a week earlier, in the same month.
+VIEWS["account_status_prior"] = VIEWS["account_status"].replace(f"s.date < {D}", f"s.date < {P}")

@@ -29,6 +29,12 @@ COST_RECORDS = _struct(
     raw_service_name=STRING, created_at=STAMP,
 )
 
+ALERTS = _struct(
+    tenant_id=STRING, budget_id=STRING, aws_account_id=STRING, alert_type=STRING, severity=STRING, title=STRING,
+    message=STRING, current_value=T.DecimalType(24, 2), threshold_value=T.DecimalType(24, 2),
+    percent_used=T.DecimalType(18, 1), state=STRING, triggered_at=STAMP,
+)
+
 # One page of the provider's nested cost feed. Amounts arrive as text.
 _METRIC = _struct(Amount=STRING, Unit=STRING)
 _GROUP = _struct(Keys=T.ArrayType(STRING), Metrics=T.MapType(STRING, _METRIC))

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Only for a session on one machine that names no folder, such as a trial in a shell.
@@ -63,6 +64,14 @@ def append_table(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
 
 
+def earlier_batches(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """What batches before ``batch_id`` appended. A batch that is run again doesn't see its own first attempt."""
+    if batch_id <= 0:
+        return spark.createDataFrame([], schema)
+    full = T.StructType(list(schema.fields)).add("batch_id", T.LongType())
+    return spark.read.schema(full).parquet(path).where(F.col("batch_id") < int(batch_id)).drop("batch_id")
+
+
 def json_export(df: DataFrame, name: str = "json") -> DataFrame:
     """Every row as JSON text with sorted keys. Decimals are written as numbers."""
     fields = sorted(df.columns)

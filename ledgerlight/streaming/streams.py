@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..schemas import TOTAL
 from ..sinks.alerts import alert_dedup_append
+from ..sinks.store import append_table, earlier_batches
 from ..sinks.upsert import write_delta
 
 LATE = "32 days"  # how long the provider restates costs
@@ -92,14 +93,8 @@ def stream_alert_dedup(alerts: DataFrame, path: str, checkpoint: str, seq: str =
     stored_schema = alerts.drop(seq).schema
 
     def on_batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        if batch_id == 0:
-            stored = spark.createDataFrame([], stored_schema)
-        else:
-            full = T.StructType(list(stored_schema.fields)).add("batch_id", T.LongType())
-            stored = spark.read.schema(full).parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
-        fresh = alert_dedup_append(df, stored, seq)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        stored = earlier_batches(df.sparkSession, path, stored_schema, batch_id)
+        append_table(alert_dedup_append(df, stored, seq), path, batch_id)
 
     run_available(alerts, checkpoint, on_batch)
 

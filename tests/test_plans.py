@@ -62,9 +62,10 @@ def test_rollup_is_a_hash_aggregation_in_codegen(spark, sf_dir):
 
 def test_anomaly_detectors_share_the_fact(spark, sf_dir):
     df = QUERIES["anomaly_events"](spark, sf_dir)
+    # One planned scan: stricter than a second one that would be replaced by a reused exchange.
+    assert scans(plan(df), "lineitem") == 1
     df.collect()
-    final = plan(df).split("== Initial Plan ==")[0]
-    assert scans(final, "lineitem") == 1 and "ReusedExchange" in final
+    assert scans(plan(df).split("== Initial Plan ==")[0], "lineitem") == 1
 
 
 def test_budget_match_is_an_equi_join(spark, sf_dir):

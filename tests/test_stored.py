@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.operators import anomaly, budgets, costs, forecast, rollups, rootcause
 from ledgerlight.plans.sync import touched_months
-from ledgerlight.sinks import append_table, upsert_cost_records, write_cost_table
+from ledgerlight.sinks import append_table, earlier_batches, upsert_cost_records, write_cost_table
 from ledgerlight.sources import feed, sample, tables
 from ledgerlight.sources.sample import AS_OF
 
@@ -152,3 +152,36 @@ def test_open_anomalies_keep_their_changes(spark):
     assert near() == {1, 2, 3}
     assert near(as_of=dt.datetime(2026, 6, 4)) == {1, 2, 3, 4}
     assert near(as_of=dt.datetime(2026, 6, 1)) == {1}
+
+
+@pytest.mark.parametrize("name", ["anomaly_events", "forecast_records"])
+def test_one_scan_for_all_detectors_and_methods(spark, sf_dir, fact_path, name):
+    facts = spark.read.parquet(fact_path)
+    limits = sample.budgets(spark, sf_dir, sample.cost_records(spark, sf_dir))
+    df = anomaly.anomaly_events(facts, AS_OF) if name == "anomaly_events" else forecast.forecast_records(facts, limits, AS_OF)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    found = [s for s in re.findall(r"FileScan parquet.*?PartitionFilters: \[(.*?)\], PushedFilters", text, re.S) if "month" in s]
+    assert len(found) == 1 and ">=" in found[0], text
+
+
+@pytest.mark.parametrize("kind", ["daily", "weekly", "monthly"])
+def test_reports_read_two_windows_of_months(spark, sf_dir, fact_path, kind, monkeypatch):
+    plans, write = [], rollups.materialise
+    monkeypatch.setattr(rollups, "materialise", lambda df, name: (plans.append(df), write(df, name))[1])
+    limits = sample.budgets(spark, sf_dir, sample.cost_records(spark, sf_dir))
+    plans.append(rollups.cost_report(spark.read.parquet(fact_path), limits, AS_OF, kind))
+    scans = []
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        scans += [s for s in re.findall(r"FileScan parquet.*?PartitionFilters: \[(.*?)\], PushedFilters", text, re.S) if "month" in s]
+    assert len(scans) == 2 and all(">=" in s and "<=" in s for s in scans), scans
+
+
+def test_a_repeated_batch_does_not_see_itself(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([("a",)], "x string")
+    assert earlier_batches(spark, path, rows.schema, 0).count() == 0
+    append_table(rows, path, 0)
+    for _ in range(2):
+        assert [r.x for r in earlier_batches(spark, path, rows.schema, 1).collect()] == ["a"]
+        append_table(spark.createDataFrame([("b",)], "x string"), path, 1)
+    assert sorted(r.x for r in earlier_batches(spark, path, rows.schema, 2).collect()) == ["a", "b"]
