@@ -291,19 +291,28 @@ def linked_components(docs, meet: DataFrame, n: int, num: int, den: int, id_col:
     parts = materialise(parts.withColumn("found", F.coalesce("found", "doc_id")), "parts")
     sums = parts.groupBy("group", "found").agg(F.count("*").alias("docs"), F.sum("size").alias("total"))
     main = sums.groupBy("group").agg(F.max_by("found", F.struct("docs", "found")).alias("main"), F.count("*").alias("n")).where("n > 1")
-    outside = sums.join(main, "group").where("found <> main").groupBy("group").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
+    # Sets that link are at most one class of sizes apart, so strays of a class meet only the classes beside it.
+    width = 1.001 * max(math.log(den / num), 0.05)
+    classed = parts.drop("chunks").join(main.select("group", "main"), "group").withColumn("c", F.floor(F.log("size") / width).cast("int"))
+    classed = materialise(classed, "classes")
+    sums_of = [F.count("*").alias("docs"), F.sum("size").alias("total")]
     count, _ = _chunks(rows, shingles)
-    outside = materialise(outside.select("group", count.alias("strays")).join(main.select("group", "main"), "group"), "groups")
-    if outside.isEmpty():
+    inside = classed.groupBy("group", "c").agg(*sums_of).select("group", "c", count)
+    outside = classed.where("found <> main").groupBy("group", "c").agg(*sums_of).select("group", F.col("c").alias("s"), count.alias("strays"))
+    outside = outside.withColumn("c", F.explode(F.expr("array(s - 1, s, s + 1)")))
+    pairs = materialise(inside.join(outside, ["group", "c"]), "pairs")
+    if pairs.isEmpty():
         return near, labels
-    left = sets.select("doc_id", "shingles", F.col("label").alias("group")).join(parts.select("doc_id", "group", "found", "chunks"), ["doc_id", "group"])
-    left = left.join(outside, "group").withColumn("label", F.col("found"))
+    left = sets.select("doc_id", "shingles", F.col("label").alias("group")).join(classed.select("doc_id", "group", "found", "main", "c"), ["doc_id", "group"])
+    left = left.withColumn("label", F.col("found"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     stray = F.pmod(F.xxhash64("doc_id"), F.col("strays")).cast("int")
-    columns = ["group", "chunk", "stray", "doc_id", "label", "shingles"]
-    everyone = left.withColumn("chunk", own).withColumn("stray", F.explode(F.expr("sequence(0, strays - 1)"))).select(*columns)
-    strays = left.where("found <> main").withColumn("stray", stray).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-    far = searched(everyone.union(strays.select(*columns)), ["group", "chunk", "stray"], num, den)
+    keys = ["group", "c", "s", "chunk", "stray"]
+    columns = [*keys, "doc_id", "label", "shingles"]
+    everyone = left.join(pairs, ["group", "c"]).withColumn("chunk", own).withColumn("stray", F.explode(F.expr("sequence(0, strays - 1)"))).select(*columns)
+    strays = left.where("found <> main").withColumnRenamed("c", "s").join(pairs, ["group", "s"]).withColumn("stray", stray)
+    strays = strays.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
+    far = searched(everyone.union(strays.select(*columns)), keys, num, den)
     far = materialise(far, "links")
     return near.union(far), labels if far.isEmpty() else None
 
