@@ -9,6 +9,35 @@ from ..schemas import TOTAL
 from ..sources.tables import scoped
 
 OPEN_HOURS = 24
+WIDTHS = [1, 16, 256, 4096]  # hours of the pieces that a time span is cut into
+
+
+def hour_of(ts):
+    """Hours since 1970 of a wall-clock time."""
+    return (F.date_diff(ts.cast("date"), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)).cast("bigint")
+
+
+def span_pieces(first, last):
+    """The hours ``first`` to ``last`` as pieces ``(level, piece)``, piece number p of level l being the hours from
+    ``p * WIDTHS[l]`` on. Larger pieces fill the middle and smaller ones the ends, so a year has under 100 pieces; each hour lies in exactly one."""
+    pieces, lo, hi = [], first, last + 1
+    for level, width in enumerate(WIDTHS):
+        def run(start, stop):
+            n = F.greatest(F.floor((stop - start) / width), F.lit(0))
+            steps = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0))))
+            numbers = F.coalesce(steps, F.array().cast("array<bigint>"))
+            at = F.floor(start / width)
+            return F.transform(numbers, lambda i: F.struct(F.lit(level).alias("level"), (at + i).alias("piece")))
+
+        if level + 1 == len(WIDTHS):
+            pieces.append(run(lo, hi))
+            break
+        wider = WIDTHS[level + 1]
+        up, down = F.ceil(lo / wider) * wider, F.floor(hi / wider) * wider
+        middle = up < down
+        pieces += [run(lo, F.when(middle, up).otherwise(hi)), run(down, F.when(middle, hi).otherwise(down))]
+        lo, hi = F.when(middle, up).otherwise(hi), F.when(middle, down).otherwise(hi)
+    return F.concat(*pieces)
 
 
 def change_pairs(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 60, as_of=None) -> DataFrame:
@@ -16,21 +45,28 @@ def change_pairs(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 6
 
     An anomaly that has no end yet is open until ``as_of``, or for a day after its start where that isn't given.
 
-    A range join through hour buckets: an anomaly is copied to the hours it spans, a
-    change falls into one hour, so every pair meets exactly once on the equi key
-    (account, hour). A busy account is spread over its hours.
+    A range join through pieces of time: an anomaly is copied to the few pieces of growing length that its span is cut
+    into, a change lies in one piece of each of the four lengths, so every pair meets exactly once on the equi key
+    (account, level, piece), however long the anomaly is open. A busy account is spread over its pieces.
     """
     lead = F.expr(f"interval {int(lead_minutes)} minutes")
     by_now = F.lit(None) if as_of is None else F.lit(str(as_of))
     until = F.greatest("start_at", F.coalesce(by_now.cast("timestamp_ntz"), F.col("start_at") + F.expr(f"interval {OPEN_HOURS} hours")))
-    spans = anomalies.withColumn("end_at", F.coalesce("end_at", until)).select(
+    hours = anomalies.withColumn("end_at", F.coalesce("end_at", until)).withColumns(
+        {"a_from": hour_of(F.col("start_at") - lead), "a_to": hour_of(F.col("end_at"))}
+    )
+    spans = hours.select(
         "anomaly_id", F.col("aws_account_id").alias("a_account"), "start_at", "end_at",
-        F.explode(
-            F.sequence(F.date_trunc("hour", F.col("start_at") - lead), F.date_trunc("hour", "end_at"), F.expr("interval 1 hour"))
-        ).alias("a_hour"),
+        F.inline(span_pieces(F.col("a_from"), F.col("a_to"))),
+    )
+    lies_in = F.array(*[
+        F.struct(F.lit(level).alias("c_level"), F.floor(F.col("c_hour") / width).alias("c_piece")) for level, width in enumerate(WIDTHS)
+    ])
+    dated = changes.withColumn("c_hour", hour_of(F.col("changed_at"))).select(*changes.columns, F.inline(lies_in))
+    pairs = spans.join(
+        dated,
+        (F.col("a_account") == F.col("aws_account_id")) & (F.col("level") == F.col("c_level")) & (F.col("piece") == F.col("c_piece")),
     )
-    hours = changes.withColumn("c_hour", F.date_trunc("hour", "changed_at"))
-    pairs = spans.join(hours, (F.col("a_account") == F.col("aws_account_id")) & (F.col("a_hour") == F.col("c_hour")))
     near = pairs.where((F.col("changed_at") >= F.col("start_at") - lead) & (F.col("changed_at") <= F.col("end_at")))
     lag_seconds = F.unix_micros(F.col("start_at").cast("timestamp")) - F.unix_micros(F.col("changed_at").cast("timestamp"))
     return near.select(
@@ -39,14 +75,22 @@ def change_pairs(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 6
     )
 
 
-def rca_change_correlation(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 60, as_of=None) -> DataFrame:
+def rca_change_correlation(anomalies: DataFrame, changes: DataFrame, lead_minutes: int = 60, as_of=None, top: int | None = None) -> DataFrame:
     """Every candidate change of every anomaly, ranked by closeness to its start.
 
     ``lag_minutes`` is positive before the start. Changes in the same minute share a
     rank. Ranks come from counts per minute, whose number is bounded by the window,
     so an anomaly with very many changes is not sorted in one task.
+
+    With ``top`` only so many changes of an anomaly are returned, of the same minute those of smaller ``change_id``; each
+    task passes on no more than that of an anomaly.
     """
     pairs = change_pairs(anomalies, changes, lead_minutes, as_of).withColumn("distance", F.abs("lag_minutes"))
+    if top is not None:
+        closest = Window.partitionBy("anomaly_id").orderBy("distance", "change_id")
+        kept = pairs.withColumn("n", F.row_number().over(closest)).where(F.col("n") <= int(top)).drop("n")
+        rank = F.rank().over(Window.partitionBy("anomaly_id").orderBy("distance"))
+        return kept.withColumn("closeness_rank", rank.cast("bigint")).drop("distance")
     per_minute = pairs.groupBy("anomaly_id", "distance").agg(F.count("*").alias("c"))
     closer = Window.partitionBy("anomaly_id").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
     ranks = per_minute.select(

@@ -186,6 +186,21 @@ def rca_change_correlation(spark, sf):
     return RC.rca_change_correlation(event_anomalies(spark, sf), sample.resource_changes(spark, sf))
 
 
+@query(
+    "rca_top_changes",
+    """SELECT * EXCLUDE (n) FROM (SELECT anomaly_id, aws_account_id, change_id, resource_id, action, changed_at, lag_minutes,
+  rank() OVER (PARTITION BY anomaly_id ORDER BY abs(lag_minutes)) AS closeness_rank,
+  row_number() OVER (PARTITION BY anomaly_id ORDER BY abs(lag_minutes), change_id) AS n
+FROM (SELECT a.anomaly_id, c.*, cast(floor((epoch_us(a.start_at) - epoch_us(c.changed_at)) / 60000000.0) AS BIGINT) AS lag_minutes
+  FROM event_anomalies a JOIN changes c ON c.aws_account_id = a.aws_account_id
+    AND c.changed_at >= a.start_at - INTERVAL 60 MINUTE AND c.changed_at <= TIMESTAMP '2024-12-31 00:00:00')) WHERE n <= 5""",
+)
+def rca_top_changes(spark, sf):
+    """The five closest changes of anomalies that are still open at the end of the year."""
+    still_open = event_anomalies(spark, sf).withColumn("end_at", F.lit(None).cast("timestamp_ntz"))
+    return RC.rca_change_correlation(still_open, sample.resource_changes(spark, sf), as_of="2024-12-31", top=5)
+
+
 @query(
     "rca_change_sessions",
     """SELECT aws_account_id, min(changed_at) AS started_at, max(changed_at) + INTERVAL 30 MINUTE AS ended_at, count(*) AS changes FROM (

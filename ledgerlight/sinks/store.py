@@ -72,6 +72,22 @@ def earlier_batches(spark: SparkSession, path: str, schema: T.StructType, batch_
     return spark.read.schema(full).parquet(path).where(F.col("batch_id") < int(batch_id)).drop("batch_id")
 
 
+def carried(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The state that the batch before ``batch_id`` left behind with :func:`carry`."""
+    if batch_id <= 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{(int(batch_id) - 1) % 2}")
+
+
+def carry(state: DataFrame, path: str, batch_id: int) -> None:
+    """Leave the state for the next batch; ids have to follow one another, as those of a stream do.
+
+    Two folders take turns: a batch that is run again finds what its predecessor left, whatever it wrote itself, and
+    nothing ever has to be deleted.
+    """
+    state.write.mode("overwrite").parquet(f"{path}/{int(batch_id) % 2}")
+
+
 def json_export(df: DataFrame, name: str = "json") -> DataFrame:
     """Every row as JSON text with sorted keys. Decimals are written as numbers."""
     fields = sorted(df.columns)

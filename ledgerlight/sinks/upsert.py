@@ -4,6 +4,9 @@ On a known id only cost, usage and ingestion time are replaced; every other colu
 keeps its first value. Inside a batch rows count in the order of ``seq``.
 """
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,7 @@ from pyspark.sql import types as T
 from ..schemas import COST_RECORDS
 
 KEY = "id"
+BASES = "_bases"  # names of the bases of a log; hidden from plain reads of it, like the bases themselves
 REPLACED = ["cost_usd", "usage_quantity", "ingested_at"]
 KEPT = [c for c in COST_RECORDS.fieldNames() if c not in REPLACED and c != KEY]
 LOG = (
@@ -70,10 +74,53 @@ def write_delta(batch: DataFrame, path: str, batch_id: int, seq: str = "seq") ->
     rows.write.mode("overwrite").partitionBy("month").parquet(f"{path}/batch_id={int(batch_id)}")
 
 
+def _base(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The last batch that is folded into a base, and the folder of that base."""
+    try:
+        newest = spark.read.schema("upto bigint, folder string").parquet(f"{path}/{BASES}").orderBy(F.desc("upto"), "folder").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1, None
+    return (newest.upto, newest.folder) if newest else (-1, None)
+
+
+def _log(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest base, and the batches after it."""
+    done, folder = _base(spark, path)
+    later = F.col("batch_id") > done
+    if upto is not None:
+        later = later & (F.col("batch_id") <= int(upto))
+    log = spark.read.schema(LOG).parquet(path).where(later).drop("batch_id")
+    if folder is None:
+        return log
+    base = T.StructType([f for f in LOG.fields if f.name != "batch_id"])
+    return spark.read.schema(base).parquet(f"{path}/{folder}").unionByName(log)
+
+
+def compact_log(spark: SparkSession, path: str, upto: int) -> None:
+    """Fold the batches up to ``upto``, which must be finished, into a base; reads then open it and later batches only.
+
+    The base goes to a folder of its own and counts from the moment one row naming it is added, so a run that stops at
+    any step changes nothing, and a run that is repeated adds another base of the same rows. Writers and readers go on
+    meanwhile. Older bases and folded batches are no longer read by anyone who starts after that; removing them is left
+    to the store's retention rules.
+    """
+    done, _ = _base(spark, path)
+    if upto <= done:
+        return
+    folder = f"_base-{uuid.uuid4().hex[:12]}"
+    rows = _log(spark, path, upto)
+    folded = fold(rows, "first_seq", "last_seq").withColumn("month", F.trunc("date", "MM")).hint("rebalance", "month")
+    folded.write.partitionBy("month").parquet(f"{path}/{folder}")
+    named = spark.createDataFrame([(int(upto), folder)], "upto bigint, folder string")
+    named.coalesce(1).write.mode("append").parquet(f"{path}/{BASES}")
+
+
 def merge_on_read(spark: SparkSession, path: str, months: list | None = None) -> DataFrame:
-    """The table a log of batches stands for. Appending a batch never rewrites the
-    table; with ``months`` only those partitions are read."""
-    log = spark.read.schema(LOG).parquet(path)
+    """The table a log of batches stands for: its newest base, if there is one, and what came after. Appending a batch
+    never rewrites the table; with ``months`` only those partitions are read."""
+    log = _log(spark, path)
     if months is not None:
         log = log.where(F.col("month").isin(months))
     return fold(log, "first_seq", "last_seq").drop("first_seq", "last_seq")

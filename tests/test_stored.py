@@ -154,6 +154,30 @@ def test_open_anomalies_keep_their_changes(spark):
     assert near(as_of=dt.datetime(2026, 6, 1)) == {1}
 
 
+def test_a_year_is_cut_into_few_pieces(spark):
+    spans = [(0, 0), (5, 20), (16, 31), (15, 4097), (1, 8760), (4000, 60000), (-40, 300), (7, 6)]
+    frame = spark.createDataFrame(spans, "a bigint, b bigint")
+    for r in frame.select("a", "b", rootcause.span_pieces(F.col("a"), F.col("b")).alias("p")).collect():
+        hours = [p.piece * rootcause.WIDTHS[p.level] + i for p in r.p for i in range(rootcause.WIDTHS[p.level])]
+        assert sorted(hours) == list(range(r.a, r.b + 1)), (r.a, r.b)
+        assert len(r.p) < 100 + (r.b - r.a) // 4096
+
+
+def test_top_changes_of_an_open_anomaly(spark):
+    start = dt.datetime(2026, 6, 2, 14)
+    at = lambda i: start + dt.timedelta(minutes=(i * 7919) % 500_000 - 30)
+    changes = [(i, "a", "r", "created", at(i)) for i in range(3000)] + [(9000 + i, "a", "r", "created", start) for i in range(4)]
+    frame = spark.createDataFrame(changes, "change_id int, aws_account_id string, resource_id string, action string, changed_at timestamp_ntz")
+    open_one = spark.createDataFrame([("x", "a", start, None), ("y", "b", start, None)], "anomaly_id string, aws_account_id string, start_at timestamp_ntz, end_at timestamp_ntz")
+    whole = rootcause.rca_change_correlation(open_one, frame, as_of=dt.datetime(2027, 6, 2)).collect()
+    assert {r.change_id for r in whole} == {c[0] for c in changes}
+    best = sorted(whole, key=lambda r: (abs(r.lag_minutes), r.change_id))
+    for top in (0, 3, 50):
+        got = rootcause.rca_change_correlation(open_one, frame, as_of=dt.datetime(2027, 6, 2), top=top)
+        assert sorted((r.change_id, r.closeness_rank) for r in got.collect()) == sorted((r.change_id, r.closeness_rank) for r in best[:top])
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["anomaly_events", "forecast_records"])
 def test_one_scan_for_all_detectors_and_methods(spark, sf_dir, fact_path, name):
     facts = spark.read.parquet(fact_path)
