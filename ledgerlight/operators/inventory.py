@@ -45,6 +45,11 @@ def resource_inventory(samples: DataFrame, as_of) -> DataFrame:
         F.sum("mem_sum").alias("mem_sum"), F.sum("mem_n").alias("mem_n"),
         F.min("first_seen").alias("first_seen"),
     )
+    return _flags(agg, start)
+
+
+def _flags(agg: DataFrame, start) -> DataFrame:
+    """The inventory's columns from a resource's sums over the days since ``start``, first day and newest sample."""
 
     def mean(s, n):
         return F.when(F.col(n) > 0, F.col(s).cast("double") / F.col(n))
@@ -66,6 +71,73 @@ def resource_inventory(samples: DataFrame, as_of) -> DataFrame:
     )
 
 
+RESOURCE = ["tenant_id", "aws_account_id", "resource_id"]
+ATTRIBUTES = ["monthly_cost_usd", "resource_type", "service_group", "region", "name"]
+SUMS = ["cpu_sum", "cpu_n", "mem_sum", "mem_n"]
+
+
+def _rings(samples: DataFrame, first_day) -> DataFrame:
+    day = F.col("ts").cast("date")
+    kept_day = F.when(day >= F.lit(first_day), day)
+    versions = samples.groupBy(*RESOURCE, *ATTRIBUTES, kept_day.alias("day")).agg(
+        F.max("ts").alias("ts"), F.min(day).alias("first_seen"),
+        F.sum("cpu_pct").alias("cpu_sum"), F.count("cpu_pct").alias("cpu_n"),
+        F.sum("memory_pct").alias("mem_sum"), F.count("memory_pct").alias("mem_n"),
+    )
+    days = versions.groupBy(*RESOURCE, "day").agg(
+        F.max(F.struct("ts", *ATTRIBUTES)).alias("n"), F.min("first_seen").alias("first_seen"), *[F.sum(c).alias(c) for c in SUMS]
+    )
+    return days.groupBy(*RESOURCE).agg(
+        F.max("n").alias("n"), F.min("first_seen").alias("first_seen"),
+        F.collect_list(F.when(F.col("day").isNotNull(), F.struct("day", *SUMS))).alias("days"),
+    )
+
+
+def resource_rings(samples: DataFrame, as_of) -> DataFrame:
+    """What an inventory needs to know of each resource before ``as_of``: its newest sample, the first day it was seen
+    and the sums of each of the last 14 days on which it was. Made once from all samples, then carried on by
+    :func:`advance_rings`."""
+    return _rings(samples.where(F.col("ts").cast("date") < F.lit(as_date(as_of))), days_before(as_of, IDLE_DAYS))
+
+
+def advance_rings(rings: DataFrame, samples: DataFrame, day) -> DataFrame:
+    """The rings at the end of ``day``, from those before it and the samples of that day, which alone are read.
+
+    A day that is folded in again replaces itself. A resource without samples that day keeps its ring, less the day that
+    has grown too old; it stays in the inventory as one that stopped.
+    """
+    day = as_date(day)
+    at = F.col("ts").cast("date")
+    new = _rings(samples.where((at >= F.lit(day)) & (at < F.lit(days_before(day, -1)))), day)
+    new = new.select(*[F.col(c).alias(f"new_{c}") for c in new.columns])
+    met = rings.join(new, [F.col(c).eqNullSafe(F.col(f"new_{c}")) for c in RESOURCE], "full_outer")
+    none = F.array().cast(rings.schema["days"].dataType)
+    oldest = F.lit(days_before(day, IDLE_DAYS - 1))
+    kept = F.filter(F.coalesce("days", none), lambda d: (d["day"] >= oldest) & (d["day"] < F.lit(day)))
+    known = F.col("n").isNotNull()
+    return met.select(
+        *[F.when(known, F.col(c)).otherwise(F.col(f"new_{c}")).alias(c) for c in RESOURCE],
+        F.greatest("n", "new_n").alias("n"),
+        F.least("first_seen", "new_first_seen").alias("first_seen"),
+        F.concat(kept, F.coalesce("new_days", none)).alias("days"),
+    )
+
+
+def inventory_from_rings(rings: DataFrame, as_of) -> DataFrame:
+    """What :func:`resource_inventory` gives, from rings that were carried on to the day before ``as_of``."""
+    start, end = days_before(as_of, IDLE_DAYS), as_date(as_of)
+    days = F.filter("days", lambda d: (d["day"] >= F.lit(start)) & (d["day"] < F.lit(end)))
+
+    def total(column):
+        values = F.transform("days", lambda d: d[column])
+        kind = rings.schema["days"].dataType.elementType[column].dataType
+        zero = F.lit(0).cast(kind)
+        return F.aggregate(values, zero, lambda acc, v: (acc + F.coalesce(v, zero)).cast(kind))
+
+    sums = rings.withColumn("days", days).select(*RESOURCE, "n", "first_seen", *[total(c).alias(c) for c in SUMS])
+    return _flags(sums, start)
+
+
 def _cost():
     return F.sum(F.coalesce("monthly_cost_usd", F.lit(0))).cast(TOTAL)
 

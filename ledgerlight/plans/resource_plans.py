@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.dates import days_before
 from ..operators import inventory as I
 from ..operators import recommend as RE
 from ..operators import rollups as R
 from ..operators import tags as TG
-from ..sinks import materialise, recommendations_table
+from ..sinks import carried, carry, materialise, recommendations_table, run_dir
 from ..sinks.tables import recommendation_rows
 from ..sources import sample, tables
 from ..sources.sample import AS_OF, EVENTS_AS_OF
@@ -36,6 +37,19 @@ def resource_idle_flags(spark, sf):
     return inventory(spark, sf).select(*INV, "last_seen_at")
 
 
+@query("resource_idle_flags_daily", f"SELECT {', '.join(INV)}, last_seen_at FROM inventory")
+def resource_idle_flags_daily(spark, sf):
+    """The same from rings that were made a week ago and carried on day by day."""
+    samples, path = sample.resource_utilization(spark, sf), run_dir(spark, "rings")
+    rings = I.resource_rings(samples, days_before(EVENTS_AS_OF, 7))
+    carry(rings, path, 0)
+    for run in range(1, 8):
+        last = carried(spark, path, rings.schema, run)
+        carry(I.advance_rings(last, samples, days_before(EVENTS_AS_OF, 8 - run)), path, run)
+    now = carried(spark, path, rings.schema, 8)
+    return I.inventory_from_rings(now, EVENTS_AS_OF).select(*INV, "last_seen_at")
+
+
 @query("scan_inventory", f"SELECT {', '.join(INV)} FROM inventory WHERE is_idle")
 def scan_inventory(spark, sf):
     return tables.scan_inventory(inventory(spark, sf), idle_only=True).select(*INV)
