@@ -3,8 +3,9 @@ returns the resulting table."""
 
 from pyspark.sql import functions as F
 
+from ..operators.costs import monthly_spend_view
 from ..schemas import COST_RECORDS
-from ..sinks import merge_on_read, run_dir
+from ..sinks import merge_on_read, run_dir, view_cells
 from ..sources import sample
 from ..streaming import streams as S
 from .registry import query
@@ -126,6 +127,21 @@ def stream_upsert_compacted(spark, sf):
     return merge_on_read(spark, f"{out}/table").select("id", "account_alias", "cost_usd", "ingested_at", "created_at")
 
 
+@query(
+    "stream_monthly_spend_view",
+    f"""SELECT tenant_id, aws_account_id, 'all' AS account_alias, cast(date_trunc('month', date) AS DATE) AS month, 'other' AS service_group,
+  cast(sum(cost) AS DECIMAL(28,6)) AS total_usd, count(DISTINCT event_type) AS service_count
+FROM (SELECT {event_tenant()} AS tenant_id, {event_account()} AS aws_account_id, cast(ts AS DATE) AS date, event_type, {REGION} AS region,
+    arg_max(cast(value AS DECIMAL(18,6)), event_id) AS cost FROM events GROUP BY ALL) GROUP BY 1, 2, 4""",
+)
+def stream_monthly_spend_view(spark, sf):
+    """The monthly view over sums that followed each batch of restated records; the facts are not read for it."""
+    out = run_dir(spark, "views")
+    records = event_records(event_stream(spark, sf)).withColumn("account_alias", F.lit("all"))
+    S.stream_upsert_cost(records, f"{out}/table", f"{out}/checkpoint", compact_every=2, views_path=f"{out}/cells")
+    return monthly_spend_view(view_cells(spark, f"{out}/cells"))
+
+
 def event_alerts(ev):
     """Every event as an alert on its user's budget; clicks belong to no budget."""
     return ev.selectExpr(

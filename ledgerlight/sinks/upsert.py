@@ -124,3 +124,18 @@ def merge_on_read(spark: SparkSession, path: str, months: list | None = None) ->
     if months is not None:
         log = log.where(F.col("month").isin(months))
     return fold(log, "first_seq", "last_seq").drop("first_seq", "last_seq")
+
+
+def changed_rows(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """What a batch of the log changed: each record it touched as it was before (``sign`` -1) and is after it (1).
+
+    Before means the batches with smaller ids, so a batch that is run again finds the same changes. Ids contain the
+    date: only the months that the batch touches are read, and of them the ids in it.
+    """
+    batch = spark.read.schema(LOG).parquet(path).where(F.col("batch_id") == int(batch_id)).drop("batch_id")
+    months = [r.month for r in batch.select("month").distinct().collect()]
+    log = _log(spark, path, batch_id - 1).where(F.col("month").isin(months))
+    before = log.join(batch.select(KEY).distinct(), KEY, "left_semi").select(*batch.columns)
+    old, new = fold(before, "first_seq", "last_seq"), fold(before.unionByName(batch), "first_seq", "last_seq")
+    signed = [rows.drop("first_seq", "last_seq").withColumn("sign", F.lit(sign)) for rows, sign in ((old, -1), (new, 1))]
+    return signed[0].unionByName(signed[1])

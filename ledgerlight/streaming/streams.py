@@ -13,6 +13,7 @@ from ..schemas import TOTAL
 from ..sinks.alerts import alert_changes, alert_dedup_append
 from ..sinks.store import append_table, carried, carry
 from ..sinks.upsert import compact_log, write_delta
+from ..sinks.views import update_view_cells
 
 LATE = "32 days"  # how long the provider restates costs
 
@@ -127,14 +128,19 @@ def latest_updates(spark: SparkSession, path: str, schema, keys: list[str]) -> D
     return newest.select(*keys, "v.*")
 
 
-def stream_upsert_cost(records: DataFrame, path: str, checkpoint: str, seq: str = "seq", compact_every: int | None = None) -> None:
+def stream_upsert_cost(
+    records: DataFrame, path: str, checkpoint: str, seq: str = "seq", compact_every: int | None = None, views_path: str | None = None
+) -> None:
     """Upsert a stream of cost records; read the result with ``merge_on_read``.
 
-    With ``compact_every`` the batches before the current one are folded into a base each time so many have come.
+    With ``compact_every`` the batches before the current one are folded into a base each time so many have come. With
+    ``views_path`` the sums under the spend views follow each batch; read them with ``view_cells``.
     """
 
     def on_batch(df: DataFrame, batch_id: int) -> None:
         write_delta(df, path, batch_id, seq)
+        if views_path:
+            update_view_cells(df.sparkSession, path, views_path, batch_id)
         if compact_every and batch_id and batch_id % compact_every == 0:
             compact_log(df.sparkSession, path, batch_id - 1)
 
