@@ -106,20 +106,20 @@ def build_overview(
     )
 
 
+def gate(total_usd, resource_types):
+    """Whether there is anything to report on, and the word for it."""
+    no_data = (total_usd <= 0) & (resource_types == 0)
+    return ~no_data, F.when(no_data, "no_data").otherwise("ready")
+
+
 def insights_gate(overview: DataFrame) -> DataFrame:
     """Whether a tenant has anything to report on.
 
     Spend of at most zero and no resource type means no data. A failed read raises
     instead of looking like an empty one.
     """
-    no_data = (F.col("total_usd") <= 0) & (F.col("total_resource_types") == 0)
-    return overview.select(
-        "tenant_id", "total_usd", "total_resource_types",
-        (~no_data).alias("success"),
-        F.when(no_data, "no_data")
-        .otherwise("ready")
-        .alias("message"),
-    )
+    success, message = gate(F.col("total_usd"), F.col("total_resource_types"))
+    return overview.select("tenant_id", "total_usd", "total_resource_types", success.alias("success"), message.alias("message"))
 
 
 # Length in days of a report and the distance to the same days a year earlier.

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_before
+from ..operators import insights as IN
 from ..operators import inventory as I
 from ..operators import recommend as RE
 from ..operators import rollups as R
@@ -174,11 +175,11 @@ PRIORITY_SQL = f"""SELECT *, CASE WHEN pr >= 2.0 / 3 THEN 'high' WHEN pr >= 1.0
 SELECT *, percent_rank() OVER (PARTITION BY tenant_id ORDER BY estimated_savings_monthly_usd) AS pr FROM ({REC_SQL}))"""
 
 
-@query(
-    "top_recommendations",
-    f"""SELECT {', '.join(REC)}, priority, rn::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id
-  ORDER BY estimated_savings_monthly_usd DESC, title, aws_account_id) AS rn FROM ({PRIORITY_SQL})) WHERE rn <= 5""",
-)
+TOP_SQL = f"""SELECT {', '.join(REC)}, priority, rn::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id
+  ORDER BY estimated_savings_monthly_usd DESC, title, aws_account_id) AS rn FROM ({PRIORITY_SQL})) WHERE rn <= 5"""
+
+
+@query("top_recommendations", TOP_SQL)
 def top_recommendations(spark, sf):
     recs = materialise(recommendations(spark, sf), "recommendations")
     return RE.top_recommendations(recs).select(*REC, "priority", "rank")
@@ -194,6 +195,39 @@ def created():
     return stamp(EVENTS_AS_OF)
 
 
+def insights(spark, sf):
+    return IN.monitoring_insights(sample.cost_records(spark, sf), inventory(spark, sf), AS_OF, tenants=sample.accounts(spark, sf))
+
+
+@query(
+    "monitoring_insights",
+    f"""SELECT o.tenant_id, NOT (total_usd <= 0 AND total_resource_types = 0) AS success,
+  CASE WHEN total_usd <= 0 AND total_resource_types = 0 THEN 'no_data' ELSE 'ready' END AS message, total_usd, services_total, idle_total,
+  CASE WHEN total_usd <= 0 AND total_resource_types = 0 THEN '' ELSE coalesce(r.best, '') END AS best
+FROM ({OVERVIEW_SQL}) o LEFT JOIN (SELECT tenant_id, string_agg(rank || '|' || title || '|' || cast(estimated_savings_monthly_usd AS VARCHAR) || '|' || priority,
+  ';' ORDER BY rank) AS best FROM ({TOP_SQL}) GROUP BY 1) r USING (tenant_id)""",
+)
+def monitoring_insights(spark, sf):
+    """The recommendations as text, best first."""
+    item = lambda r: F.concat_ws("|", r["rank"].cast("string"), r["title"], r["estimated_savings_monthly_usd"].cast("string"), r["priority"])
+    best = F.array_join(F.transform("recommendations", item), ";").alias("best")
+    return insights(spark, sf).select("tenant_id", "success", "message", "total_usd", "services_total", "idle_total", best)
+
+
+@query(
+    "stored_recommendations",
+    f"""SELECT substr(sha256(concat_ws('|', 'rec', tenant_id, aws_account_id, recommendation_type, title)), 1, 32) AS id, tenant_id, aws_account_id,
+  'optimizer' AS agent_type, recommendation_type, title, priority, estimated_savings_monthly_usd AS estimated_savings_usd, confidence_score,
+  'pending' AS status, 0 AS batch_id FROM ({TOP_SQL})""",
+)
+def stored_recommendations(spark, sf):
+    """What a run of the insights stored, that was run again."""
+    path, found = run_dir(spark, "stored-recommendations"), insights(spark, sf)
+    for _ in range(2):
+        IN.store_recommendations(found, path, 0, created())
+    return spark.read.parquet(path).drop("description", "action_steps", "created_at")
+
+
 @query(
     "recommendations_table",
     """SELECT substr(sha256(concat_ws('|', 'rec', tenant_id, aws_account_id, kind, title)), 1, 32) AS id, tenant_id, aws_account_id,

@@ -13,7 +13,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import anomaly, budgets, costs, forecast, inventory, rollups, rootcause
+from ledgerlight.operators import anomaly, budgets, costs, forecast, insights, inventory, rollups, rootcause
 from ledgerlight.plans.sync import touched_months
 from ledgerlight.sinks import append_table, carried, carry, earlier_batches, upsert_cost_records, write_cost_table
 from ledgerlight.sources import feed, sample, tables
@@ -245,3 +245,18 @@ def test_a_repeated_batch_does_not_see_itself(spark, tmp_path):
         assert [r.x for r in earlier_batches(spark, path, rows.schema, 1).collect()] == ["a"]
         append_table(spark.createDataFrame([("b",)], "x string"), path, 1)
     assert sorted(r.x for r in earlier_batches(spark, path, rows.schema, 2).collect()) == ["a", "b"]
+
+
+def test_insights_of_a_tenant_without_data(spark, sf_dir):
+    costs = sample.cost_records(spark, sf_dir)
+    stock = inventory.resource_inventory(sample.resource_utilization(spark, sf_dir), sample.EVENTS_AS_OF)
+    tenants = spark.createDataFrame([("nobody",), ("BUILDING",)], "tenant_id string")
+    rows = {r.tenant_id: r for r in insights.monitoring_insights(costs, stock, AS_OF, tenants=tenants, n=3).collect()}
+    nobody, someone = rows["nobody"], rows["BUILDING"]
+    assert (nobody.success, nobody.message, nobody.recommendations) == (False, "no_data", [])
+    assert someone.success and [r["rank"] for r in someone.recommendations] == [1, 2, 3]
+    assert someone.recommendations[0].action_steps[0].step == 1
+    one = insights.monitoring_insights(costs, stock, AS_OF, tenant_id="BUILDING").collect()
+    assert [r.tenant_id for r in one] == ["BUILDING"]
+    with pytest.raises(ValueError):
+        insights.monitoring_insights(costs, stock, AS_OF, days=367)
