@@ -154,6 +154,71 @@ def _seasonal(as_of) -> tuple[Column, Column]:
     return F.col("mtd").cast("double") + rest, confidence
 
 
+LEARNING_DAYS, HELD_DAYS = 14, 14
+# Weights of level, trend and weekday that are tried, in this order.
+SMOOTHING = [(level, trend, weekday) for level in (0.1, 0.3, 0.6) for trend in (0.0, 0.1) for weekday in (0.1, 0.4)]
+
+
+def forecast_ml(costs, as_of, tenant_id=None, aws_account_id=None) -> DataFrame:
+    """Exponential smoothing with a trend and weekdays, with the weights that predict held-back days best.
+
+    Level and weekdays start from the first two weeks; each later day is predicted, then learned from. Of the weights in
+    ``SMOOTHING`` those with the smallest squared error over the last two weeks are taken (the first of several), each
+    day of which is predicted before it is seen. Confidence is the share of these days' squares around the mean day that
+    the predictions explain. Days without spend count as zero; no projected day is below zero.
+
+    An account is one row with an array of its 60 days; the smoothing is a fold over it.
+    """
+    mtd = F.coalesce(F.sum(F.when(F.col("date") >= F.lit(month_start(as_of)), F.col("total"))), F.lit(0))
+    early = F.coalesce(F.sum(F.when(F.col("x") < LEARNING_DAYS, F.col("total"))), F.lit(0))
+    series = daily_totals(costs, as_of, tenant_id, aws_account_id).groupBy("tenant_id", "aws_account_id").agg(
+        mtd.cast(TOTAL).alias("mtd"),
+        (early.cast("double") / LEARNING_DAYS).alias("start"),
+        (F.sum("total").cast("double") / HISTORY_DAYS).alias("mean"),
+        F.map_from_entries(F.collect_list(F.struct("x", F.col("total").cast("double").alias("y")))).alias("known"),
+    )
+    days = F.transform(F.sequence(F.lit(0), F.lit(HISTORY_DAYS - 1)), lambda x: F.coalesce(F.try_element_at("known", x), F.lit(0.0)))
+    weekdays = F.array(*[(F.col("days")[i] + F.col("days")[i + 7]) / 2 - F.col("start") for i in range(7)])
+    rows = series.withColumn("days", days).withColumn("weekdays", weekdays)
+    weights = F.array(*[
+        F.struct(F.lit(a).alias("level"), F.lit(b).alias("trend"), F.lit(c).alias("weekday"), F.lit(i).alias("no"))
+        for i, (a, b, c) in enumerate(SMOOTHING)
+    ])
+    fits = F.transform(weights, lambda w: _smoothed(w))
+    # Structs compare field by field: the error first, then the number of the weights.
+    best = rows.withColumn("fit", F.array_min(fits))
+    level, trend, season = (F.col(f"fit.{c}") for c in ("level", "trend", "season"))
+    ahead = F.sequence(F.lit(1), F.lit(remaining_days(as_of)))
+    rest = F.aggregate(
+        ahead, F.lit(0.0), lambda acc, h: acc + F.greatest(F.lit(0.0), level + h * trend + F.get(season, (h - 1) % 7))
+    )
+    spread = F.aggregate(F.slice("days", -HELD_DAYS, HELD_DAYS), F.lit(0.0), lambda acc, y: acc + (y - F.col("mean")) * (y - F.col("mean")))
+    # Both sums are squares: nothing varies and nothing was missed, or else a share.
+    confidence = F.when(F.col("spread") > 0, 1 - F.col("fit.held") / F.col("spread")).otherwise(F.when(F.col("fit.held") == 0, 1.0).otherwise(0.0))
+    return _shape(best.withColumn("spread", spread), "ml", F.col("mtd").cast("double") + rest, confidence)
+
+
+def _smoothed(w: Column) -> Column:
+    """The state after the history: the error over the held-back days, the number of the weights, level, trend, and the
+    weekdays from the day after the history on."""
+
+    def step(acc, x):
+        y, season = F.get("days", x), acc["season"]
+        miss = y - (acc["level"] + acc["trend"] + F.get(season, F.lit(0)))
+        return F.struct(
+            (acc["held"] + F.when(x >= HISTORY_DAYS - HELD_DAYS, miss * miss).otherwise(0.0)).alias("held"),
+            acc["no"].alias("no"),
+            (acc["level"] + acc["trend"] + w["level"] * miss).alias("level"),
+            (acc["trend"] + w["level"] * w["trend"] * miss).alias("trend"),
+            F.concat(F.slice(season, 2, 6), F.array(F.get(season, F.lit(0)) + w["weekday"] * miss)).alias("season"),
+        )
+
+    start = F.struct(
+        F.lit(0.0).alias("held"), w["no"].alias("no"), F.col("start").alias("level"), F.lit(0.0).alias("trend"), F.col("weekdays").alias("season")
+    )
+    return F.aggregate(F.sequence(F.lit(LEARNING_DAYS), F.lit(HISTORY_DAYS - 1)), start, step)
+
+
 def forecast_interval(costs, as_of, days_ahead: int = 30, tenant_id=None, aws_account_id=None) -> DataFrame:
     """Total of the next days with an 80 % interval around the daily mean."""
     series = account_series(costs, as_of, tenant_id, aws_account_id)

@@ -23,6 +23,33 @@ for _name, _op, _method in [
     query(_name, f"SELECT * FROM forecasts WHERE method = '{_method}'")(_run)
 
 
+# The recursion day by day, for each account and each of the tried weights.
+ML_SQL = f"""WITH RECURSIVE d AS (SELECT tenant_id, aws_account_id, date, sum(cost_usd) AS t FROM cost_records WHERE date >= {D} - 60 AND date < {D} GROUP BY ALL),
+a AS (SELECT tenant_id, aws_account_id, coalesce(sum(t) FILTER (WHERE date >= date_trunc('month', {D})), 0) AS mtd,
+  coalesce(sum(t) FILTER (WHERE date < {D} - 46), 0)::DOUBLE / 14 AS start, sum(t)::DOUBLE / 60 AS mean FROM d GROUP BY ALL),
+s AS (SELECT a.*, (SELECT list(coalesce(t, 0)::DOUBLE ORDER BY x) FROM range(60) r(x)
+  LEFT JOIN d ON d.date = {D} - 60 + x::INTEGER AND d.tenant_id = a.tenant_id AND d.aws_account_id = a.aws_account_id) AS days FROM a),
+w AS (SELECT row_number() OVER (ORDER BY wl, wt, ww) AS no, wl, wt, ww FROM (SELECT unnest([0.1, 0.3, 0.6])::DOUBLE AS wl), (SELECT unnest([0.0, 0.1])::DOUBLE AS wt),
+  (SELECT unnest([0.1, 0.4])::DOUBLE AS ww)),
+r AS (SELECT s.*, w.*, 14 AS x, start AS level, 0::DOUBLE AS trend, list_transform(range(1, 8), lambda i: (days[i] + days[i + 7]) / 2 - start) AS season,
+    0::DOUBLE AS held, 0::DOUBLE AS spread FROM s, w
+  UNION ALL
+  SELECT tenant_id, aws_account_id, mtd, start, mean, days, no, wl, wt, ww, x + 1, level + trend + wl * miss, trend + wl * wt * miss,
+    list_append(season[2:7], season[1] + ww * miss), held + CASE WHEN x >= 46 THEN miss * miss ELSE 0 END,
+    spread + CASE WHEN x >= 46 THEN (days[x + 1] - mean) * (days[x + 1] - mean) ELSE 0 END
+  FROM (SELECT *, days[x + 1] - (level + trend + season[1]) AS miss FROM r WHERE x < 60))
+SELECT tenant_id, aws_account_id, 'ml' AS method, cast(mtd AS DECIMAL(28,6)) AS mtd_usd,
+  round(mtd::DOUBLE + list_sum(list_transform(range(1, {FC.remaining_days(AS_OF) + 1}), lambda h: greatest(0, level + h * trend + season[1 + (h - 1) % 7]))), 4)
+    AS projected_month_end_usd,
+  round(greatest(0, least(1, CASE WHEN spread > 0 THEN 1 - held / spread WHEN held = 0 THEN 1 ELSE 0 END)), 4) AS confidence_level
+FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, aws_account_id ORDER BY held, no) AS rn FROM r WHERE x = 60) WHERE rn = 1"""
+
+
+@query("forecast_ml", ML_SQL)
+def forecast_ml(spark, sf):
+    return FC.forecast_ml(sample.cost_records(spark, sf), AS_OF)
+
+
 @query(
     "forecast_interval",
     f"""SELECT tenant_id, aws_account_id, {D} AS period_start, {D} + 30 AS period_end,

@@ -260,3 +260,19 @@ def test_insights_of_a_tenant_without_data(spark, sf_dir):
     assert [r.tenant_id for r in one] == ["BUILDING"]
     with pytest.raises(ValueError):
         insights.monitoring_insights(costs, stock, AS_OF, days=367)
+
+
+def test_smoothing_learns_weekdays_and_trends(spark):
+    first, as_of = dt.date(2026, 4, 2), "2026-06-01"
+    weekly = lambda i: Decimal(10 + 5 * (i % 7 == 3))
+    rising = lambda i: Decimal(100 + 2 * i)
+    rows = [("t", name, first + dt.timedelta(days=i), "DAILY", f(i)) for name, f in (("weekly", weekly), ("rising", rising)) for i in range(60)]
+    rows.append(("t", "once", first + dt.timedelta(days=20), "DAILY", Decimal(7)))
+    facts = spark.createDataFrame(rows, "tenant_id string, aws_account_id string, date date, granularity string, cost_usd decimal(18,6)")
+    got = {r.aws_account_id: r for r in forecast.forecast_ml(facts, as_of).collect()}
+    month = range(60, 90)
+    assert got["weekly"].projected_month_end_usd == sum(weekly(i) for i in month) and got["weekly"].confidence_level == 1
+    whole = float(sum(rising(i) for i in month))
+    assert abs(got["rising"].projected_month_end_usd - whole) < 0.1 * whole
+    assert got["once"].projected_month_end_usd >= 0 and 0 <= got["once"].confidence_level <= 1
+    assert forecast.forecast_ml(facts.limit(0), as_of).count() == 0
