@@ -4,12 +4,17 @@
    on: the smallest id stands for all of them, so copies are never paired with each other.
 2. *Who has to meet.* Two sets that link differ in few elements, at most d by the size of the larger. If shingles are
    dealt by hash to d + 1 + s parts, s + 1 parts at least hold the same shingles in both sets. A part is weak if it is
-   empty or more than two documents hold it. Documents meet by the hash of a part that isn't weak. If all the s + 1 are
-   weak, both documents have more than s weak parts; such documents meet by all their parts, and those with more than
-   s empty ones also by a constant. s is above the empty parts to be expected, so the constant is rare, and a line that
-   many documents have brings together no documents that differ otherwise.
+   empty or more than two documents hold it. Two documents that alone hold some parts meet if these and the weak ones
+   that both may have are more than s. If all the s + 1 are weak, both documents have more than s weak parts; such
+   documents meet by their weak parts without the most common ones, as many as may differ (in one order of all parts,
+   the rarest that both hold is left in both), and those with more than s empty ones also by a constant. s is above the
+   empty parts to be expected, so the constant is rare, and a line that many documents have brings together no
+   documents that differ otherwise.
    Sizes fall into bands with their own d and s; a set near the upper end of its band is dealt in the next one too.
-   Documents are joined by edges to the first one they meet by a part; the components are the groups that are searched.
+   Documents that meet by a weak part are joined to the first of them; the components are the groups that are searched.
+   Chance meetings chain documents of many families into one large group as the corpus grows. Groups of more than
+   ``rows`` documents are therefore dealt again by another hash, where documents meet within their group only: what
+   links meets in every dealing, chance meetings fall apart. This goes on while it at least halves what large groups hold.
 3. *T-occurrence search* in each group. Inverted lists map shingles to documents, in order of size. For a document with
    n shingles, a partner occurs in T = ceil(t n) of its lists at least. The longest lists are set aside; the short
    ones are merged by a heap, and what occurs often enough in these is looked up in the long lists by binary search.
@@ -39,7 +44,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, arrow_map, materialise, mix, remembers, small_or_not, texts, windows
@@ -100,19 +105,23 @@ def parts_of(band: int, num: int, den: int) -> tuple[int, int]:
     return most + 1 + spare, spare
 
 
-def dealt_parts(shingles: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray, int]]:
+def dealt_parts(shingles: np.ndarray, num: int, den: int, seed: int = 0) -> list[tuple[int, np.ndarray, int]]:
     """(band, keys of the parts, weak ones allowed beside the empty) for each band a set is dealt in.
 
+    ``seed`` chooses the hash that deals.
+
     The lowest bit of a key is that of the band. Below 0 the set has too many empty parts, and a constant is added.
     """
     size, out = len(shingles), []
+    with np.errstate(over="ignore"):
+        dealer = mix(shingles + np.uint64(seed)) if seed else shingles
     band, high = band_of(size, num, den)
     # A partner may lie in the next band.
     for number in (band, band + 1) if size * den // num >= high else (band,):
         parts, spare = parts_of(number, num, den)
         if not parts:
             continue
-        at = (shingles % np.uint64(parts)).astype(np.int64)
+        at = (dealer % np.uint64(parts)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         held, first = np.unique(at[order], return_index=True)
         with np.errstate(over="ignore"):
@@ -131,7 +140,7 @@ def part_hashes(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def sets_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
     def run(batches):
         for b in batches:
             sizes, same, parts, rooms = [], [], [], []
@@ -139,7 +148,7 @@ def sets_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                 s = shingle_set(text, n)
                 sizes.append(len(s))
                 same.append(xxhash.xxh3_128_digest(s.tobytes()))
-                dealt = dealt_parts(s, num, den) if len(s) else []
+                dealt = dealt_parts(s, num, den, seed) if len(s) else []
                 parts.append(np.concatenate([keys for _, keys, _ in dealt]).view(np.int64) if dealt else [])
                 room = {band & 1: room for band, _, room in dealt}
                 rooms.append([room.get(0, 0), room.get(1, 0)])
@@ -149,19 +158,66 @@ def sets_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SETS)
 
 
+#: A document of more weak parts than this, as one id with very many texts may be, meets by all of them unsorted.
+SORTED_PARTS = 1 << 16
+
+
 def meetings(firsts: DataFrame) -> DataFrame:
-    """Edges ``a``, ``b`` whose components hold all sets that may link; ``firsts``: ``doc_id``, ``parts``, ``rooms``."""
+    """Edges ``a``, ``b`` whose components hold all sets that may link; ``firsts``: ``doc_id``, ``parts``, ``rooms``.
+
+    Of an id with several sets the smallest room and all weak parts count, which can only add edges.
+    """
+    odd = F.expr("cast(part & 1 AS int)").alias("odd")
     listed = firsts.select(F.explode("parts").alias("part"), "doc_id")
-    listed = listed.selectExpr("part", "doc_id", "min(doc_id) OVER (PARTITION BY part) AS other", "count(*) OVER (PARTITION BY part) AS holders")
-    weak = F.col("holders") > 2
-    held = listed.where("holders > 1").select("doc_id", F.when(~weak, F.col("other")).alias("other"), F.when(weak, F.col("part")).alias("part"))
-    held = materialise(held.where("part IS NOT NULL OR other <> doc_id"), "parts")
-    shared = held.where("part IS NOT NULL").select("doc_id", "part", F.expr("cast(part & 1 AS int)").alias("odd"))
+    held = listed.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("holders"))
+    held = materialise(held.where("holders > 1"), "parts")
+    weak = held.where("holders > 2").select("part", "holders")
+    shared = materialise(listed.join(small_or_not(weak), "part").distinct().select("doc_id", odd, "part", "holders"), "weak")
     counts = shared.groupBy("doc_id", "odd").agg(F.count("*").alias("weak"))
-    over = firsts.select("doc_id", "rooms").join(counts, "doc_id").where("weak > rooms[odd]").select("doc_id", "odd")
-    used = shared.join(over, ["doc_id", "odd"]).select("doc_id", F.expr("min(doc_id) OVER (PARTITION BY part)").alias("other"))
-    met = held.where("part IS NULL").select("doc_id", "other").union(used.where("other <> doc_id"))
-    return met.select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
+    rooms = firsts.groupBy("doc_id").agg(*[F.min(F.col("rooms")[i]).alias(f"r{i}") for i in (0, 1)])
+    rooms = rooms.select("doc_id", F.expr("stack(2, 0, r0, 1, r1) AS (odd, room)")).join(counts, ["doc_id", "odd"], "left")
+    rooms = materialise(rooms.select("doc_id", "odd", "room", F.coalesce("weak", F.lit(0)).alias("weak")), "rooms")
+    # Sets that link agree in more than ``room`` parts: those of these two alone, counted, and weak ones at the most.
+    pairs = held.where("holders = 2 AND a < b").groupBy("a", "b", odd).agg(F.count("*").alias("alone"))
+    for end in ("a", "b"):
+        pairs = pairs.join(rooms.select(F.col("doc_id").alias(end), "odd", F.col("room").alias(f"room_{end}"), F.col("weak").alias(f"weak_{end}")), [end, "odd"])
+    met = pairs.where("alone + least(weak_a, weak_b) > greatest(room_a, room_b)").select("a", "b")
+    # Those that agree in weak parts alone agree in more than ``room`` of them, so in one that is left without the ``room`` most common.
+    over = shared.join(rooms.where("weak > room"), ["doc_id", "odd"])
+    place = F.row_number().over(Window.partitionBy("doc_id", "odd").orderBy("holders", "part"))
+    used = over.where(F.col("weak") <= SORTED_PARTS).withColumn("place", place).where("place <= weak - room").select("doc_id", "part")
+    used = materialise(used.union(over.where(F.col("weak") > SORTED_PARTS).select("doc_id", "part")), "used")
+    first = used.groupBy("part").agg(F.min("doc_id").alias("a"))
+    return met.union(used.join(first, "part").where("a <> doc_id").select("a", F.col("doc_id").alias("b")))
+
+
+#: Dealings at most; each after the first only looks at the documents of large groups.
+DEALS = 5
+
+
+def meeting_groups(docs: DataFrame, firsts: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """``id``, ``label`` of the documents in groups that hold all sets that may link; who meets no one is in none.
+
+    ``firsts`` as in ``meetings``. Groups of more than ``rows`` documents are dealt again, see the module's text.
+    """
+    meet, before = components(meetings(firsts)), None
+    for seed in range(1, DEALS):
+        large = meet.groupBy("label").agg(F.count("*").alias("docs")).where(F.col("docs") > rows).select("label")
+        large = materialise(large, "large")
+        held = materialise(meet.join(large, "label").select("id", "label"), "held")
+        count = held.count()
+        if not count or (before is not None and 2 * count > before):
+            break
+        before = count
+        ids = small_or_not(held.select(F.col("id").alias("doc_id")))
+        again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+        again = sets_of(again, n, num, den, "doc_id", "text", seed).where("n_shingles > 0").join(held.withColumnRenamed("id", "doc_id"), "doc_id")
+        # A part's key is that of its group; the lowest bit stays that of the band.
+        own = F.expr("transform(parts, p -> (xxhash64(label, p) & -2L) | (p & 1L))")
+        again = materialise(again.select("doc_id", own.alias("parts"), "rooms"), "again")
+        meet = meet.join(large, "label", "left_anti").select("id", "label").union(components(meetings(again)))
+        meet = materialise(meet, "meet")
+    return meet
 
 
 class Forest:
@@ -341,7 +397,7 @@ def set_links(
     base = materialise(sets_of(docs, n, num, den, id_col, text_col), "shingles")
     named = base.where("doc_id IS NOT NULL AND n_shingles > 0")
     firsts = named.join(named.groupBy("same").agg(F.min("doc_id").alias("doc_id")), ["same", "doc_id"])
-    wanted = components(meetings(firsts)).select(F.col("id").alias("doc_id"), "label")
+    wanted = meeting_groups(docs, firsts, n, num, den, id_col, text_col, rows).select(F.col("id").alias("doc_id"), "label")
 
     def name(batches):
         for b in batches:
@@ -381,7 +437,8 @@ def join(
     named = base.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = materialise(named.groupBy("same").agg(F.min("doc_id").alias("first")), "copies")
     firsts = named.join(same.withColumnRenamed("first", "doc_id"), ["same", "doc_id"])
-    found, labels = linked_components(docs, components(meetings(firsts)), n, num, den, id_col, text_col, rows, shingles)
+    meet = meeting_groups(docs, firsts, n, num, den, id_col, text_col, rows)
+    found, labels = linked_components(docs, meet, n, num, den, id_col, text_col, rows, shingles)
     # Texts under one id belong together.
     pairs = named.select("doc_id", "same").join(same, "same").select("doc_id", "first")
     texts_of = pairs.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count("*").alias("n")).where("n > 1 AND a <> b")

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -232,6 +233,29 @@ def test_a_common_line_brings_no_documents_together(spark):
     assert components.components(jaccard_join.meetings(base)).count() <= 30
 
 
+def test_chance_meetings_chain_no_families(spark):
+    """Passages that two or three documents share lead from each to all others, but only what links has to meet."""
+    rng = random.Random(16)
+    passages = [rng.choices(WORDS, k=25) for _ in range(450)]
+    docs = [" ".join(sum((rng.choices(WORDS, k=60) + rng.choice(passages) for _ in range(2)), [])) for _ in range(500)]
+    for i in range(0, 500, 10):
+        words = docs[i].split()
+        words[rng.randrange(len(words))] = "changed"
+        docs[i + 1] = " ".join(words)
+    frame = spark.createDataFrame(list(enumerate(docs)), DOCS)
+    base = jaccard_join.sets_of(frame, 5, 80, 100, "doc_id", "text")
+    met = {r["id"]: r["label"] for r in jaccard_join.meeting_groups(frame, base, 5, 80, 100, "doc_id", "text", 8).collect()}
+    assert max(Counter(met.values()).values()) <= 16
+    assert all(met[i] == met[i + 1] for i in range(0, 500, 10))
+
+
+def test_an_id_of_very_many_weak_parts_meets_by_all(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SORTED_PARTS", 3)
+    rows = families(8)
+    got = [tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, DOCS), n=5, num=80, rows=4).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain_components(rows, 5, 80, 100)))
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(159, 50), (7, 7), (None, 3), (3, None)]
     got = {r["id"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
