@@ -1,5 +1,7 @@
 """Root causes: changes near an anomaly, and what a spend delta is made of."""
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,3 +149,56 @@ def rca_contribution(costs: DataFrame, as_of, window_days: int = 30, by=("servic
             F.round(F.col("delta_usd").cast("double") / F.col("account_delta_usd").cast("double") * 100, 4),
         ).alias("share_pct"),
     )
+
+
+def rca_joint_split(
+    costs: DataFrame, as_of, window_days: int = 30, by=("service", "region"), part_pct: int = 80, most: int | None = 20, tenant_id=None
+) -> DataFrame:
+    """The smallest set of slices of one grouping that explains ``part_pct`` percent of the change of an account.
+
+    The groupings are all non-empty subsets of ``by``. The slices of a grouping don't overlap, so their shares add up, and
+    the largest first reach the part with the fewest. Of groupings that need equally few, the one of fewer columns is
+    taken (a slice is rolled up where that explains as much), then the one that explains more, then the one that
+    names earlier columns of ``by``. Slices that moved against the account are in no set.
+
+    Columns that are rolled up are null, and ``grouping`` names the others. Accounts without a change have no rows, nor
+    have those where more than ``most`` slices are needed in every grouping; None sets no such limit. With one, a task
+    passes on no more than ``most`` slices of a grouping.
+    """
+    start = days_before(as_of, window_days)
+    rows = scoped(costs, tenant_id, None, "DAILY", days_before(start, window_days), as_of)
+    account = ["tenant_id", "aws_account_id"]
+    signed = F.when(F.col("date") >= F.lit(start), F.col("cost_usd")).otherwise(-F.col("cost_usd"))
+    slices = rows.groupBy(*account, *by).agg(F.sum(signed).cast(TOTAL).alias("delta_usd"))
+    whole = slices.groupBy(*account).agg(F.sum("delta_usd").cast(TOTAL).alias("account_delta_usd")).where("account_delta_usd <> 0")
+    groupings = [c for n in range(1, len(by) + 1) for c in itertools.combinations(by, n)]
+    keys = [*account, *by]
+    cells = slices.groupingSets([[*account, *g] for g in groupings], *keys).agg(
+        F.grouping_id(*keys).cast("int").alias("gid"), F.sum("delta_usd").cast(TOTAL).alias("delta_usd")
+    )
+    moved = cells.join(whole, account)
+    gain = F.when(F.col("account_delta_usd") > 0, F.col("delta_usd")).otherwise(-F.col("delta_usd"))
+    moved = moved.withColumn("gain", gain).where("gain > 0")
+    order = [F.col("gain").desc(), *[F.col(c).asc_nulls_first() for c in by]]
+    largest = Window.partitionBy(*account, "gid").orderBy(*order)
+    ranked = moved.withColumn("rank", F.row_number().over(largest))
+    if most is not None:
+        ranked = ranked.where(F.col("rank") <= int(most))
+    so_far = F.sum("gain").over(largest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = F.abs("account_delta_usd") * int(part_pct)
+    needed = ranked.withColumn("reached", so_far).where((F.col("reached") - F.col("gain")) * 100 < asked)
+    sets = needed.groupBy(*account, "gid", "account_delta_usd").agg(F.max("rank").alias("slices"), F.max("reached").alias("reached"))
+    sets = sets.where(F.col("reached") * 100 >= asked)
+    # A bit is set for each column that is rolled up.
+    chosen = sets.groupBy(*account).agg(F.min(F.struct("slices", (-F.bit_count("gid")).alias("columns"), (-F.col("reached")).alias("less"), "gid")).alias("best"))
+    chosen = chosen.select(*account, "best.gid", "best.slices", (-F.col("best.less")).alias("explained"))
+    names = F.concat_ws(",", *[F.when(F.col("gid").bitwiseAND(1 << (len(by) - 1 - i)) == 0, F.lit(c)) for i, c in enumerate(by)])
+
+    def share(c):
+        return F.round(F.col(c).cast("double") / F.abs("account_delta_usd").cast("double") * 100, 4)
+
+    return needed.join(chosen, [*account, "gid"]).select(
+        *account, names.alias("grouping"), "rank", *by, money(F.col("delta_usd")).alias("delta_usd"),
+        share("gain").alias("share_pct"), share("reached").alias("cumulative_pct"), share("explained").alias("explained_pct"),
+        "slices",
+    )

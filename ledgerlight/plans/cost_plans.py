@@ -224,6 +224,37 @@ JOIN (SELECT tenant_id, aws_account_id, sum(CASE WHEN date >= {D} - 30 THEN cost
 )
 
 
+def joint_split_sql(source, start, middle, end, by):
+    """The sets by running sums over each grouping, written out one by one."""
+    first, second = by
+    cells = " UNION ALL ".join(
+        f"SELECT tenant_id, aws_account_id, '{','.join(g)}' AS g, {len(g)} AS n, {k} AS o, "
+        + ", ".join(c if c in g else f"NULL AS {c}" for c in by)
+        + ", sum(d) AS d FROM s GROUP BY ALL"
+        for k, g in enumerate([(first,), (second,), by])
+    )
+    return f"""SELECT tenant_id, aws_account_id, g AS grouping, rank::INTEGER AS rank, {first}, {second}, cast(round(d, 2) AS DECIMAL(24,2)) AS delta_usd,
+  round(gain::DOUBLE / abs(t)::DOUBLE * 100, 4) AS share_pct, round(reached::DOUBLE / abs(t)::DOUBLE * 100, 4) AS cumulative_pct,
+  round(best::DOUBLE / abs(t)::DOUBLE * 100, 4) AS explained_pct, slices::INTEGER AS slices
+FROM (SELECT *, min(q) OVER (PARTITION BY tenant_id, aws_account_id) AS least FROM (
+  SELECT *, row(slices, n, -best, o) AS q FROM (
+    SELECT *, count(*) OVER (PARTITION BY tenant_id, aws_account_id, g) AS slices, max(reached) OVER (PARTITION BY tenant_id, aws_account_id, g) AS best
+    FROM (SELECT *, row_number() OVER w AS rank, sum(gain) OVER (w ROWS UNBOUNDED PRECEDING) AS reached FROM (
+      SELECT c.*, t, CASE WHEN t > 0 THEN d ELSE -d END AS gain FROM (
+        WITH s AS (SELECT tenant_id, aws_account_id, {first}, {second}, sum(CASE WHEN date >= {middle} THEN cost_usd ELSE -cost_usd END) AS d
+          FROM {source} WHERE date >= {start} AND date < {end} GROUP BY ALL) {cells}) c
+      JOIN (SELECT tenant_id, aws_account_id, sum(CASE WHEN date >= {middle} THEN cost_usd ELSE -cost_usd END) AS t
+        FROM {source} WHERE date >= {start} AND date < {end} GROUP BY ALL) a
+        ON a.tenant_id = c.tenant_id AND a.aws_account_id = c.aws_account_id)
+      WHERE gain > 0 WINDOW w AS (PARTITION BY tenant_id, aws_account_id, g ORDER BY gain DESC, {first} NULLS FIRST, {second} NULLS FIRST))
+    WHERE (reached - gain) * 100 < abs(t) * 80 AND rank <= 20)
+  WHERE best * 100 >= abs(t) * 80))
+WHERE q = least"""
+
+
+plain("rca_joint_split", RC.rca_joint_split, joint_split_sql("cost_records", f"{D} - 60", f"{D} - 30", D, ("service", "region")))
+
+
 # ---- anomalies -------------------------------------------------------------------
 
 ANOMALY_SQL = f"""SELECT tenant_id, aws_account_id, anomaly_type, severity, service, region,

@@ -1,6 +1,7 @@
 """Totals that must agree, and hot keys against brute force."""
 
 import datetime as dt
+import itertools
 import random
 from decimal import Decimal
 
@@ -67,6 +68,40 @@ def test_contribution_shares_add_up(fact):
     assert all(abs(r.s - 100) < 0.01 for r in sums.collect())
 
 
+def test_joint_split_is_the_smallest_of_all_subsets(fact):
+    """Every subset of the slices of every grouping, for accounts of few slices."""
+    got = {}
+    for r in rootcause.rca_joint_split(fact, AS_OF, most=None).collect():
+        got.setdefault((r.tenant_id, r.aws_account_id), []).append(r)
+    slices = {}
+    for r in rootcause.rca_contribution(fact, AS_OF).collect():
+        slices.setdefault((r.tenant_id, r.aws_account_id), []).append(r)
+    checked = 0
+    for account, parts in slices.items():
+        total = sum(p.delta_usd for p in parts)
+        best = None
+        for grouping in (("service",), ("region",), ("service", "region")):
+            cells = {}
+            for p in parts:
+                key = tuple(p[c] for c in grouping)
+                cells[key] = cells.get(key, 0) + p.delta_usd
+            if len(cells) > 12:
+                break
+            for n in range(1, len(cells) + 1):
+                if any(abs(sum(c)) * 100 >= abs(total) * 80 and sum(c) * total > 0 for c in itertools.combinations(cells.values(), n)):
+                    best = min(best or n, n)
+                    break
+        else:
+            if best is None:
+                assert account not in got
+                continue
+            mine = got[account]
+            assert len(mine) == best == mine[0].slices
+            assert abs(sum(r.share_pct for r in mine) - mine[0].explained_pct) < 0.01 and mine[0].explained_pct >= 80
+            checked += 1
+    assert checked > 5
+
+
 def test_fact_table_is_partitioned_by_month(fact):
     plan = fact.where("month = DATE'2001-09-01'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan

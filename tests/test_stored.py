@@ -38,6 +38,7 @@ DATED = {
     "regional_shift": lambda f: anomaly.regional_shift(f, AS_OF),
     "forecast_linear": lambda f: forecast.forecast_linear(f, AS_OF),
     "rca_contribution": lambda f: rootcause.rca_contribution(f, AS_OF),
+    "rca_joint_split": lambda f: rootcause.rca_joint_split(f, AS_OF),
     "month_to_date_slices": lambda f: budgets.month_to_date_slices(f, AS_OF),
     "multi_account_rollup": lambda f: rollups.multi_account_rollup(tables.scoped(f, start="2001-08-01", end=AS_OF)),
     "touched_months": lambda f: touched_months(f, AS_OF),
