@@ -158,6 +158,16 @@ def sets_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SETS)
 
 
+def firsts_of(named: DataFrame, same: DataFrame) -> DataFrame:
+    """The rows of ``named`` whose id is the first of their set, by ``same`` (``same``, ``first``).
+
+    Parts take more room than texts do, and are read twice. So the copies to leave out are sent to them, as long as a
+    count allows it, and only ids and names of sets are shuffled.
+    """
+    copies = named.select("same", "doc_id").join(same, "same").where("doc_id <> first").select("same", "doc_id").distinct()
+    return named.join(small_or_not(materialise(copies, "copies")), ["same", "doc_id"], "left_anti")
+
+
 #: A document of more weak parts than this, as one id with very many texts may be, meets by all of them unsorted.
 SORTED_PARTS = 1 << 16
 
@@ -396,7 +406,8 @@ def set_links(
     """
     base = materialise(sets_of(docs, n, num, den, id_col, text_col), "shingles")
     named = base.where("doc_id IS NOT NULL AND n_shingles > 0")
-    firsts = named.join(named.groupBy("same").agg(F.min("doc_id").alias("doc_id")), ["same", "doc_id"])
+    same = named.groupBy("same").agg(F.min("doc_id").alias("first"))
+    firsts = firsts_of(named, same)
     wanted = meeting_groups(docs, firsts, n, num, den, id_col, text_col, rows).select(F.col("id").alias("doc_id"), "label")
 
     def name(batches):
@@ -436,7 +447,7 @@ def join(
     base = materialise(sets_of(docs, n, num, den, id_col, text_col), "shingles")
     named = base.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = materialise(named.groupBy("same").agg(F.min("doc_id").alias("first")), "copies")
-    firsts = named.join(same.withColumnRenamed("first", "doc_id"), ["same", "doc_id"])
+    firsts = firsts_of(named, same)
     meet = meeting_groups(docs, firsts, n, num, den, id_col, text_col, rows)
     found, labels = linked_components(docs, meet, n, num, den, id_col, text_col, rows, shingles)
     # Texts under one id belong together.

@@ -224,6 +224,41 @@ def test_hardly_any_set_has_too_many_empty_parts(num):
         assert sum(room < 0 for room in rooms) <= 1
 
 
+def test_the_parts_of_sets_are_not_shuffled_to_leave_out_copies(spark, monkeypatch):
+    """Parts take more room than texts; a join that Spark itself would not broadcast moved them, twice."""
+
+    class Seen(Exception):
+        pass
+
+    def meetings(firsts):
+        raise Seen(firsts._jdf.queryExecution().executedPlan().toString(), sorted({r["doc_id"] for r in firsts.collect()}))
+
+    rows = families(9) + [(900 + i, "the same words for every one of these") for i in range(5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    held = {}
+    for i, t in rows:
+        if i is not None and (t or "").split():
+            held.setdefault(jaccard_join.shingle_set(t).tobytes(), set()).add(i)
+    want = sorted({min(ids) for ids in held.values()})
+    monkeypatch.setattr(jaccard_join, "meetings", meetings)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for run in (jaccard_join.join, jaccard_join.set_links):
+            with pytest.raises(Seen) as seen:
+                run(docs)
+            plan, ids = seen.value.args
+            assert "hashpartitioning" not in plan and ids == want
+        # Copies too many to be sent to all executors are left out by a shuffled join.
+        monkeypatch.setattr(jaccard_join, "small_or_not", lambda df: df)
+        with pytest.raises(Seen) as seen:
+            jaccard_join.join(docs)
+        plan, ids = seen.value.args
+        assert "hashpartitioning" in plan and ids == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_a_common_line_brings_no_documents_together(spark):
     rng = random.Random(15)
     line = rng.choices(WORDS, k=20)
