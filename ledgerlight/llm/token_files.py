@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,11 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .common import arrow_map, remembers, run_dir, texts
 
-BLOCK, END = 2048, 1
+BLOCK, END = 262_144, 1
+#: Documents that are tokenised at once.
+TEXTS = 2000
+#: Ids that are coded at once, at least, if a task has so many.
+FLUSH = 6 << 20
 #: Words of a text by Unicode's white space: the tokenizer drops it, and nothing is merged across it.
 WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The tokenizer's own pieces of a lower-case text, for texts whose characters are all below U+0250: its pattern with
@@ -58,50 +63,111 @@ PIECES = "file int, number long, doc_id long, begin long, end long, at long, n l
 class Words:
     """Ids of words, remembered for at most ``limit`` of them; the tokenizer is asked for the others in one batch.
 
-    ``split_like_tokenizer`` says that the tokenizer's own pieces are those of ``PIECE``; otherwise words are what
-    stands between white space. With ``added_tokens`` texts are first cut at the tokenizer's added tokens.
+    Words are what stands between white space. ``split_like_tokenizer`` says that the tokenizer's own pieces of them are
+    those of ``PIECE``, wherever it can tell, which are then all asked for in one text; it says, too, that the last token
+    of a piece, and no other, has the tokenizer's mark for the end of a word. With ``added_tokens`` texts are first cut
+    at the tokenizer's added tokens.
     """
 
     def __init__(self, path: str, split_like_tokenizer: bool = True, limit: int = 400_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence as Steps
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.latin = split_like_tokenizer
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # 16 bits an id
+        self.pieces: dict[str, bytes] = {}
         self.limit = limit
         self.added, self.cut = {}, None
         if added_tokens:
             tokens = self.tokenizer.get_added_tokens_decoder()
             if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens.values()):
                 raise ValueError("added tokens are found only as they are written")
-            self.added = {t.content: (i,) for i, t in tokens.items()}
+            self.added = {t.content: i for i, t in tokens.items()}
             if tokens:
                 self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")")
+        # For pieces that are normalised and cut already; printable ASCII stands for itself as bytes, too.
+        self.bare = [Tokenizer.from_file(path) for _ in range(2)]
+        by_space = CharDelimiterSplit(" ")
+        for bare, steps in zip(self.bare, (by_space, Sequence([by_space, ByteLevel(add_prefix_space=False, use_regex=False)])), strict=True):
+            bare.normalizer, bare.pre_tokenizer, bare.encode_special_tokens = Steps([]), steps, True
+        mark = self.tokenizer.model.end_of_word_suffix
+        self.closes = np.zeros(1 << 16, bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if mark and token.endswith(mark)]] = True
 
     def encode(self, text: str) -> np.ndarray:
-        if self.cut is None or not self.cut.search(text):
-            return self._encode(text)
-        pieces = self.cut.split(text)  # every second one is a token
-        return np.concatenate([np.array(self.added[x], np.uint16) if i % 2 else self._encode(x) for i, x in enumerate(pieces)])
-
-    def _encode(self, text: str) -> np.ndarray:
-        low = text.lower() if self.latin and ALL_LATIN.fullmatch(text) else None
-        words = PIECE.findall(low) if low is not None and ALL_LATIN.fullmatch(low) else WORD.findall(text)
-        try:
-            return self._ids(words)
-        except KeyError:
-            missing = [w for w in set(words) if w not in self.known]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by the id ``end``, if any, and how many each text has."""
+        parts, closing, n_parts = [], [], []
+        for text in texts:
+            cut = self.cut.split(text) if self.cut is not None and any(x in text for x in self.added) else [text]
+            parts += map(self._spaced, cut[::2])
+            closing += [self.added[x] for x in cut[1::2]]  # every second one is a token
+            closing.append(-1 if end is None else end)
+            n_parts.append(len(cut[::2]))
+        lists = pc.ascii_split_whitespace(pa.array(parts, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        ids_of = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        length = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) >> 1
+        begin = np.cumsum(length) - length
+        size = length[which]
+        to = np.cumsum(size)
+        ids = np.frombuffer(b"".join(ids_of), np.uint16)[np.repeat(begin[which] - to + size, size) + np.arange(size.sum())]
+        # The id that closes each part goes behind its words.
+        offsets = np.asarray(lists.offsets)
+        ends = np.append(0, to)[offsets - offsets[0]][1:]
+        closing = np.array(closing, np.int64)
+        closed = np.flatnonzero(closing >= 0)
+        out = np.insert(ids, ends[closed], closing[closed].astype(np.uint16))
+        ends = ends + np.cumsum(closing >= 0)
+        last = np.cumsum(n_parts, dtype=np.int64) - 1
+        return out, np.diff(ends[last], prepend=0)
+
+    def _spaced(self, text: str) -> str:
+        """With the same words, only ASCII's white space between them, and if possible in lower case."""
+        if text.isascii():
+            return text.lower() if self.latin else text
+        low = text.lower() if self.latin and ALL_LATIN.fullmatch(text) else text
+        return " ".join(WORD.findall(low) if any(c in low for c in "\x1c\x1d\x1e\x1f") else low.split())
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        missing = [w for w in words if w not in self.known]
         if len(self.known) + len(missing) > self.limit:
             self.known.clear()
-            missing = list(set(words))
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[w] = tuple(e.ids)
-        return self._ids(words)
-
-    def _ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.uint16)
+            self.pieces.clear()
+            missing = words
+        cut, others = {}, []
+        for w in missing:
+            low = w.lower()
+            if self.latin and (w.isascii() or ALL_LATIN.fullmatch(w) and ALL_LATIN.fullmatch(low)):
+                cut[w] = (low,) if low.isalpha() else PIECE.findall(low)
+            else:
+                others.append(w)
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, np.uint16).tobytes()
+        self._learn([p for p in set(chain.from_iterable(cut.values())) if p not in self.pieces])
+        piece = self.pieces.__getitem__
+        for w, pieces in cut.items():
+            self.known[w] = piece(pieces[0]) if len(pieces) == 1 else b"".join(map(piece, pieces))
+        return list(map(self.known.__getitem__, words))
+
+    def _learn(self, pieces: list[str]) -> None:
+        if not pieces:
+            return
+        text = " ".join(pieces)
+        bare = self.bare[not (text.isascii() and text.isprintable())]
+        ids = np.array(bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+        ends = 2 * (np.flatnonzero(self.closes[ids]) + 1)
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer doesn't mark the end of each piece")
+        raw, ends = ids.tobytes(), ends.tolist()
+        self.pieces.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
 
 _WORDS: dict[tuple[str, bool], Words] = {}
@@ -140,7 +206,7 @@ def blocks_of(docs: DataFrame, path: str, block: int, end: int, id_col: str, tex
 
     def run(batches):
         file, words = TaskContext.get().partitionId(), tokenizer(path, added_tokens)
-        rest, rest_n, done, number, held, full = [], 0, 0, 0, [], range_coder.LANES * block
+        rest, rest_n, done, number, held, full = [], 0, 0, 0, [], FLUSH // block * block or block
 
         def flush(last: bool):
             nonlocal rest, rest_n, done, held
@@ -152,12 +218,14 @@ def blocks_of(docs: DataFrame, path: str, block: int, end: int, id_col: str, tex
             held = [d for d in held if d[3] > done]
 
         for b in batches:
-            for doc, text in zip(b.column(0), texts(b.column(1)), strict=True):
-                ids = np.append(words.encode(text), np.uint16(end))
-                held.append((number, doc.as_py(), done + rest_n, done + rest_n + len(ids)))
+            for i in range(0, len(b), TEXTS):
+                some = b.slice(i, TEXTS)
+                ids, sizes = words.encode_all(list(texts(some.column(1))), end)
+                ends = done + rest_n + np.cumsum(sizes)
+                held += zip(range(number, number + len(some)), some.column(0).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True)
                 rest.append(ids)
                 rest_n += len(ids)
-                number += 1
+                number += len(some)
                 if rest_n >= full:
                     yield from flush(False)
         yield from flush(True)

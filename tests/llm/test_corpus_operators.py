@@ -40,6 +40,47 @@ def test_range_coder_round_trip():
     assert len(coded[2]) < 3000 / 8
 
 
+def test_range_coder_needs_fewer_bits_than_counts_say():
+    """Less than the entropy of the ids by their counts in the whole block, though the model begins with nothing."""
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 49408, rng.integers(1, 4)) for _ in range(8000)]
+    ids = np.concatenate([words[i] for i in rng.zipf(1.2, 90_000) % len(words)]).astype(np.uint16)
+    _, counts = np.unique(ids, return_counts=True)
+    entropy = -(counts * np.log2(counts / len(ids))).sum()
+    coded = range_coder.encode([ids])
+    assert np.array_equal(range_coder.decode(coded, [len(ids)])[0], ids)
+    assert 8 * len(coded[0]) < entropy
+
+
+@pytest.mark.parametrize("size", [1, 2047, 2048, 2049, 70_000, 262_145])
+def test_range_coder_on_ids_without_order(size):
+    rng = np.random.default_rng(size)
+    blocks = [rng.integers(0, 65536, size).astype(np.uint16), rng.permutation(1 << 16).astype(np.uint16), np.tile(np.arange(9), size)[:size].astype(np.uint16)]
+    coded = range_coder.encode(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(coded, [len(b) for b in blocks]), strict=True))
+    # Alone as together; damage is a ValueError.
+    assert range_coder.encode(blocks[2:])[0] == coded[2]
+    for at in (0, 5, len(coded[0]) - 6, len(coded[0]) - 1):
+        broken = bytearray(coded[0])
+        broken[at] ^= 0x55
+        with pytest.raises(ValueError):
+            range_coder.decode([bytes(broken)], [size])
+
+
+@pytest.mark.parametrize("limit", [3, 400_000])
+def test_texts_tokenised_together_equal_the_library(limit):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", " \n", "a\x1cb \x1d c", "é\x1cb\x1d\x85c\u2003d", "The the THE, the's <|endoftext|>", "<|startoftext|><|endoftext|> x", "\x00\x7f ~ a\x01b"]
+    texts += ["Ɓala ƏLAQƏ a\u0301 á ﬁ Σς 日本 w日本", "x" * 500, "</w> a</w>b <|endoftext |>", "don't we'll I'M 'S 12 3½ ²", "Straße\xa0ÜBER ª º µ", "İ i̇ ß"]
+    words, library = token_files.Words(path, added_tokens=True, limit=limit), Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, sizes = words.encode_all(texts, end=1)
+        assert sizes.tolist() == [len(w) + 1 for w in want]
+        assert ids.tolist() == [i for w in want for i in [*w, 1]]
+        assert [words.encode(t).tolist() for t in texts] == want
+
+
 def test_crc_of_both():
     a, b = b"some bytes", b"and more of them" * 9
     assert token_files.crc_of_both(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
