@@ -25,7 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from .common import arrow_map, remembers, run_dir, texts
 
 BLOCK, END = 262_144, 1
 #: Documents that are tokenised at once.
-TEXTS = 2000
+TEXTS = 3000
 #: Ids that are coded at once, at least, if a task has so many.
 FLUSH = 6 << 20
 #: Words of a text by Unicode's white space: the tokenizer drops it, and nothing is merged across it.
@@ -61,7 +61,7 @@ PIECES = "file int, number long, doc_id long, begin long, end long, at long, n l
 
 
 class Words:
-    """Ids of words, remembered for at most ``limit`` of them; the tokenizer is asked for the others in one batch.
+    """Ids of words, remembered for about ``limit`` of them; the tokenizer is asked for the others in one batch.
 
     Words are what stands between white space. ``split_like_tokenizer`` says that the tokenizer's own pieces of them are
     those of ``PIECE``, wherever it can tell, which are then all asked for in one text; it says, too, that the last token
@@ -69,7 +69,7 @@ class Words:
     at the tokenizer's added tokens.
     """
 
-    def __init__(self, path: str, split_like_tokenizer: bool = True, limit: int = 400_000, added_tokens: bool = False):
+    def __init__(self, path: str, split_like_tokenizer: bool = True, limit: int = 700_000, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence as Steps
@@ -79,7 +79,6 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.latin = split_like_tokenizer
         self.known: dict[str, bytes] = {}  # 16 bits an id
-        self.pieces: dict[str, bytes] = {}
         self.limit = limit
         self.added, self.cut = {}, None
         if added_tokens:
@@ -113,12 +112,14 @@ class Words:
         lists = pc.ascii_split_whitespace(pa.array(parts, pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         which = coded.indices.to_numpy()
-        ids_of = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids_of = self._ids(coded.dictionary)
         length = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) >> 1
         begin = np.cumsum(length) - length
         size = length[which]
         to = np.cumsum(size)
-        ids = np.frombuffer(b"".join(ids_of), np.uint16)[np.repeat(begin[which] - to + size, size) + np.arange(size.sum())]
+        at = np.repeat(begin[which] - to + size, size)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(ids_of), np.uint16)[at]
         # The id that closes each part goes behind its words.
         offsets = np.asarray(lists.offsets)
         ends = np.append(0, to)[offsets - offsets[0]][1:]
@@ -133,29 +134,42 @@ class Words:
         """With the same words, only ASCII's white space between them, and if possible in lower case."""
         if text.isascii():
             return text.lower() if self.latin else text
-        low = text.lower() if self.latin and ALL_LATIN.fullmatch(text) else text
+        low = text
+        if self.latin and ALL_LATIN.fullmatch(text):
+            low = text.lower()
+            if "\x85" not in low and "\xa0" not in low:
+                return low
         return " ".join(WORD.findall(low) if any(c in low for c in "\x1c\x1d\x1e\x1f") else low.split())
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        missing = [w for w in words if w not in self.known]
+    def _ids(self, distinct: pa.Array) -> list[bytes]:
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         if len(self.known) + len(missing) > self.limit:
-            self.known.clear()
-            self.pieces.clear()
-            missing = words
-        cut, others = {}, []
-        for w in missing:
+            self.known = {w: ids for w, ids in zip(words, found, strict=True) if ids is not None}
+        new = [words[i] for i in missing]
+        whole, cut, others = [], {}, []
+        if self.latin:  # a to z only: one piece
+            letters = pc.and_(pc.ascii_is_alpha(distinct), pc.ascii_is_lower(distinct)).to_numpy(zero_copy_only=False)[missing]
+            whole, new = list(compress(new, letters)), list(compress(new, ~letters))
+        for w in new:
             low = w.lower()
-            if self.latin and (w.isascii() or ALL_LATIN.fullmatch(w) and ALL_LATIN.fullmatch(low)):
-                cut[w] = (low,) if low.isalpha() else PIECE.findall(low)
-            else:
+            if not self.latin or not (w.isascii() or ALL_LATIN.fullmatch(w) and ALL_LATIN.fullmatch(low)):
                 others.append(w)
+            elif low == w and w.isalpha():
+                whole.append(w)
+            else:
+                cut[w] = PIECE.findall(low)
         for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, np.uint16).tobytes()
-        self._learn([p for p in set(chain.from_iterable(cut.values())) if p not in self.pieces])
-        piece = self.pieces.__getitem__
+        # A piece is a word, too.
+        self._learn(list({p for p in chain.from_iterable(cut.values()) if p not in self.known}.union(whole)))
+        known = self.known.__getitem__
         for w, pieces in cut.items():
-            self.known[w] = piece(pieces[0]) if len(pieces) == 1 else b"".join(map(piece, pieces))
-        return list(map(self.known.__getitem__, words))
+            self.known[w] = b"".join(map(known, pieces))
+        for i in missing:
+            found[i] = known(words[i])
+        return found
 
     def _learn(self, pieces: list[str]) -> None:
         if not pieces:
@@ -167,7 +181,7 @@ class Words:
         if len(ends) != len(pieces):
             raise ValueError("the tokenizer doesn't mark the end of each piece")
         raw, ends = ids.tobytes(), ends.tolist()
-        self.pieces.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        self.known.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
 
 _WORDS: dict[tuple[str, bool], Words] = {}
