@@ -27,7 +27,7 @@ import numpy as np
 SCALE_BITS = 28
 U, V = np.uint32, np.uint64
 SCALE = U(1 << SCALE_BITS)
-SLOT_BITS, ID_BITS = 15, 16
+SLOT_BITS, ID_BITS = 14, 16
 TOP = 7
 PROBABLE = 58_000  # of 65,536: the most that a prediction or the plain ids may claim
 #: Most runs of a block, ids in a run while there are fewer, steps between two lessons.
@@ -135,9 +135,12 @@ class Model:
 
     def count(self, ids: np.ndarray) -> np.ndarray:
         """Adds to the counts the ids of the first runs; the sums of the counts, one of each block."""
-        a, blocks = ids.shape[-1], len(self.tally)
-        cell = (self.of[:a] << ID_BITS) + ids
-        self.tally += np.bincount(cell.ravel(), minlength=blocks << ID_BITS).reshape(blocks, -1).astype(U) * U(WEIGHT)
+        for i, own in enumerate(self.runs.by_block):
+            own = [r for r in own if r < ids.shape[-1]]
+            if own:
+                side_by_side = own[-1] - own[0] == len(own) - 1
+                some = ids[:, own[0] : own[-1] + 1] if side_by_side else ids[:, own]
+                self.tally[i] += np.bincount(some.ravel(), minlength=1 << ID_BITS).astype(U) * U(WEIGHT)
         while len(full := np.flatnonzero((sums := self.tally.sum(1)) > FULL)):
             self.tally[full] >>= U(1)
         return np.maximum(sums, 1).astype(U)
@@ -172,7 +175,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((n + 2, lanes), U)  # two steps before the first
     ids[2:] = rows.T
     model, due = Model(runs, sizes), lessons(n)
-    begins, widths, plains = np.zeros((n, lanes), U), np.ones((n, lanes), U), np.zeros((n, lanes), bool)
+    begins, widths, plains = np.empty((n, lanes), U), np.empty((n, lanes), U), np.zeros((n, lanes), bool)
     total, table, counted, cuts = None, None, 0, [0, *due, n]
     for t, end_t in zip(cuts, cuts[1:], strict=False):
         if due.get(t):

@@ -172,16 +172,16 @@ class Words:
         return found
 
     def _learn(self, pieces: list[str]) -> None:
-        if not pieces:
-            return
-        text = " ".join(pieces)
-        bare = self.bare[not (text.isascii() and text.isprintable())]
-        ids = np.array(bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
-        ends = 2 * (np.flatnonzero(self.closes[ids]) + 1)
-        if len(ends) != len(pieces):
-            raise ValueError("the tokenizer doesn't mark the end of each piece")
-        raw, ends = ids.tobytes(), ends.tolist()
-        self.known.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        plain = [p.isascii() and p.isprintable() for p in pieces]
+        for bare, some in zip(self.bare, (list(compress(pieces, plain)), [p for p, x in zip(pieces, plain, strict=True) if not x]), strict=True):
+            if not some:
+                continue
+            ids = np.array(bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint16)
+            ends = 2 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer doesn't mark the end of each piece")
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
 
 _WORDS: dict[tuple[str, bool], Words] = {}
@@ -280,6 +280,7 @@ def pieces(blocks: DataFrame) -> DataFrame:
     """A row for each document and block it has ids in: their number and CRC-32."""
 
     def run(batches):
+        _WORDS.clear()  # reading needs none
         for b in batches:
             columns = {f.name: b.column(i).to_pylist() for i, f in enumerate(b.schema)}
             out = []
